@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.llm import language, toxicity
 from quarrylight.llm.common import read
+from quarrylight.llm.decontaminate import contaminated
 from quarrylight.llm.minhash import near_duplicates
 from quarrylight.llm.packing import pack_documents
 from quarrylight.llm.secrets import scan_secrets
@@ -28,6 +29,10 @@ def op5_longest_first_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=16)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
@@ -48,7 +53,8 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: A document's distinct three-word shingles, links by shared shingles, then the smallest id that links reach.
 NEAR_DUPLICATES_SQL = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w
   FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
@@ -63,11 +69,28 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM found LEFT JOIN sizes USING (doc_id)
 """
 
-ORACLE = {"op9_near_duplicates": NEAR_DUPLICATES_SQL}
+#: Distinct five-word shingles of documents and items, counted where they meet.
+DECONTAMINATION_SQL = r"""
+WITH words AS (
+  SELECT kind, id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+  FROM (SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM benchmark)),
+shingles AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s
+  FROM words),
+sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'item' GROUP BY id),
+common AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS c
+  FROM shingles d JOIN shingles i ON d.s = i.s AND d.kind = 'doc' AND i.kind = 'item' GROUP BY 1, 2)
+SELECT doc_id, item_id, n AS n_item, c AS n_shared, c / n AS containment
+FROM common JOIN sizes ON sizes.id = item_id WHERE 100 * c >= 80 * n
+"""
+
+ORACLE = {"op6_decontamination": DECONTAMINATION_SQL, "op9_near_duplicates": NEAR_DUPLICATES_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_token_files, op4_toxicity, op5_longest_first_shards, op7_language, op8_secret_scan, op9_near_duplicates, op10_best_two_fit)
+    own = (op2_token_files, op4_toxicity, op5_longest_first_shards, op6_decontamination, op7_language, op8_secret_scan, op9_near_duplicates, op10_best_two_fit)
     return {f.__name__: f for f in own}
 
 
