@@ -7,9 +7,10 @@ ordered from rare to frequent over the whole corpus, two such documents share a
 makes common stands at the end of the order and is not posted.
 
 Lists are merged by skipping. Each member is held against its list's pivot first; members that a component joins by
-then need no further comparison among themselves. What is left across components is compared in two steps: a document's
-shingles that no other listed document has bound its overlap, hence the sizes that a partner may have, and only members
-of lists that meet in such a size are paired. Pairs above the match threshold are confirmed on their full shingle sets.
+then need no further comparison among themselves. What is left across components is paired within small lists; members
+of large ones meet again on the rarest shingles of their full sets, by size, where a heavily edited copy of a text that
+thousands share shows itself by what it shares with few. The largest component of a list is never paired with itself.
+Pairs above the match threshold are confirmed on their full shingle sets.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from quarrylight.llm.shingles import mix, shingle_sets
 
 COORDINATES = 64
 MISS = 1e-6
-#: Lists of at most so many members are paired across components without bounds from unshared shingles.
+#: Lists of at most so many members are paired across components as they are.
 SMALL_LIST = 16
 #: Ids that may be broadcast to fetch documents (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -114,34 +115,60 @@ def size_class(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
 
 
+def without_major(posts: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The posts outside the largest component of their list, and all posts, of lists that meet several components; column major."""
+    by_comp = posts.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("n"))
+    lists = by_comp.groupBy(*key).agg(F.max(F.struct("n", "comp"))["comp"].alias("major"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("members"))
+    lists = materialise(lists.where("comps > 1").select(*key, "major", "members"), "lists")
+    members = materialise(posts.join(lists, key), "members")
+    return members.where("comp <> major"), members
+
+
+def paired(left: DataFrame, right: DataFrame, key: list[str], extra: list[str], condition: str) -> DataFrame:
+    """Distinct (a, b) of posts that meet under ``key`` in different components; the left ones' columns end in _1."""
+    left = left.select(*key, *(F.col(c).alias(f"{c}_1") for c in ["node", "comp", *extra]))
+    met = left.join(right, key).where(f"comp <> comp_1 and (comp = major or node_1 < node) and {condition}")
+    return met.select(F.least("node", "node_1").alias("a"), F.greatest("node", "node_1").alias("b")).distinct()
+
+
+def set_prefixes(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Posts of the listed documents' own sets: (shingle, low, high, class, node, comp, size, at).
+
+    Shingles are ordered from rare to frequent among these documents. Against partners of one size class a document
+    must share one of its first ``size - overlap + 1``, where overlap is what the similarity asks of the class's
+    smallest partner; it posts them under the pair of classes.
+    """
+    chosen = sets.join(members, sets["doc_id"] == members["node"]).select("node", "comp", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    chosen = materialise(chosen.distinct(), "listed-shingles")
+    counts = materialise(chosen.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "listed-counts")
+    known = chosen.join(counts, "shingle")
+    own = known.groupBy("node", "comp", "size").agg(F.collect_list(F.struct("n", "shingle")).alias("own"))
+    # Shingles of no one else come first in the order and take up their part of the prefix.
+    size, alone = F.col("size"), F.col("size") - F.size("own")
+    longest = size - F.ceil(size * percent / 100) + 1 - alone
+    posts = own.where(longest > 0).select("node", "comp", "size", alone.alias("alone"), F.posexplode(F.slice(F.array_sort("own"), F.lit(1), longest.cast("int"))).alias("at", "post"))
+    least = F.ceil(size * percent / 100)
+    classes = F.sequence(size_class(least), size_class(F.floor(size * 100 / percent)))
+    posts = posts.select("node", "comp", "size", F.col("post.shingle").alias("shingle"), (F.col("at") + F.col("alone")).alias("at"), size_class(size).alias("class"), F.explode(classes).alias("other"))
+    smallest = F.greatest(least, F.floor(F.pow(F.lit(SIZE_STEP), F.col("other"))))
+    overlap = F.ceil((size + smallest) * percent / (100 + percent) - 1e-9)
+    posts = posts.where(F.col("at") <= size - overlap)
+    return posts.select("shingle", F.least("class", "other").alias("low"), F.greatest("class", "other").alias("high"), "class", "node", "comp", "size", "at")
+
+
 def leftover_pairs(posts: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of listed nodes in different components that may still be similar enough."""
     placed = posts.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = materialise(placed, "placed")
-    by_comp = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-    # The largest component of a list: its members are never paired with each other.
-    lists = by_comp.groupBy("token").agg(F.max(F.struct("n", "comp"))["comp"].alias("major"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("members"))
-    lists = materialise(lists.where("comps > 1").select("token", "major", "members"), "lists")
-    members = materialise(placed.join(lists, "token"), "members")
-    # How many shingles of a node in a large list some other such node has.
-    large = members.where(F.col("members") > SMALL_LIST).select("node").distinct()
-    exploded = sets.join(large, sets["doc_id"] == large["node"], "left_semi").select("doc_id", F.explode("shingles").alias("shingle")).distinct()
-    exploded = materialise(exploded, "listed-shingles")
-    twice = materialise(exploded.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle"), "twice")
-    overlap = exploded.join(twice, "shingle").groupBy("doc_id").agg(F.count(F.lit(1)).alias("most"))
-    bounded = members.join(overlap.withColumnRenamed("doc_id", "node"), "node", "left")
-    # overlap >= p / (100 + p) * (size + other size), and overlap is at most the shared shingles and the smaller size.
-    size, most = F.col("n_shingles"), F.coalesce("most", "n_shingles")
-    low = F.ceil(size * percent / 100)
-    high = F.floor(F.least(size * 100 / percent, most * (100 + percent) / percent - size) + 1e-9)
-    bounded = materialise(bounded.withColumn("low", low).withColumn("high", high).where("low <= high"), "bounded")
-    left = bounded.where("comp <> major").withColumn("class", F.explode(F.sequence(size_class(F.col("low")), size_class(F.col("high")))))
-    left = left.select("token", "class", *(F.col(c).alias(f"{c}_1") for c in ("node", "comp", "n_shingles", "low", "high")))
-    right = bounded.withColumn("class", size_class(F.col("n_shingles")))
-    pairs = left.join(right, ["token", "class"]).where(
-        "comp <> comp_1 and n_shingles between low_1 and high_1 and n_shingles_1 between low and high and (comp = major or node_1 < node)"
-    )
-    return pairs.select(F.least("node", "node_1").alias("a"), F.greatest("node", "node_1").alias("b")).distinct()
+    minor, members = without_major(materialise(placed, "placed"), ["token"])
+    small = paired(minor.where(F.col("members") <= SMALL_LIST), members.where(F.col("members") <= SMALL_LIST), ["token"], [], "true")
+    large = materialise(members.where(F.col("members") > SMALL_LIST).select("node", "comp").distinct(), "large")
+    if large.isEmpty():
+        return small
+    key = ["shingle", "low", "high"]
+    minor, members = without_major(set_prefixes(sets, large, percent), key)
+    # Both stand at the ends of the class pair, and what follows the meeting place suffices for the overlap.
+    enough = f"least(size - at, size_1 - at_1) * {100 + percent} >= (size + size_1) * {percent}"
+    return small.unionByName(paired(minor, members, key, ["class", "size", "at"], f"class + class_1 = low + high and {enough}")).distinct()
 
 
 def fetch_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -185,3 +212,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
     found = found.join(labels, "node", "left").withColumn("component_id", F.coalesce("comp", "node"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, the one of the smallest doc_id; all columns stay.
+
+    Rows that repeat a kept doc_id with the same text are cut to one; rows without doc_id stay.
+    """
+    dropped = near_duplicates(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct()
+    few = dropped.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
+    return kept.select(*docs.columns)
