@@ -14,12 +14,18 @@ from quarrylight.llm.packing import pack_documents
 from quarrylight.llm.secrets import scan_secrets
 from quarrylight.llm.sharding import shard_documents
 from quarrylight.llm.tokenfile import token_file_digest
+from quarrylight.llm.topk import top_k
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(read(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -86,11 +92,22 @@ SELECT doc_id, item_id, n AS n_item, c AS n_shared, c / n AS containment
 FROM common JOIN sizes ON sizes.id = item_id WHERE 100 * c >= 80 * n
 """
 
-ORACLE = {"op6_decontamination": DECONTAMINATION_SQL, "op9_near_duplicates": NEAR_DUPLICATES_SQL}
+TOP_K_SQL = """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM sound q JOIN sound c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLE = {"op3_top_k": TOP_K_SQL, "op6_decontamination": DECONTAMINATION_SQL, "op9_near_duplicates": NEAR_DUPLICATES_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_token_files, op4_toxicity, op5_longest_first_shards, op6_decontamination, op7_language, op8_secret_scan, op9_near_duplicates, op10_best_two_fit)
+    own = (op2_token_files, op3_top_k, op4_toxicity, op5_longest_first_shards, op6_decontamination, op7_language, op8_secret_scan, op9_near_duplicates, op10_best_two_fit)
     return {f.__name__: f for f in own}
 
 
