@@ -13,10 +13,15 @@ from quarrylight.llm.minhash import near_duplicates
 from quarrylight.llm.packing import pack_documents
 from quarrylight.llm.secrets import scan_secrets
 from quarrylight.llm.sharding import shard_documents
+from quarrylight.llm.substrings import remove_repeats
 from quarrylight.llm.tokenfile import token_file_digest
 from quarrylight.llm.topk import top_k
 
 
+def op1_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(read(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -107,7 +112,7 @@ ORACLE = {"op3_top_k": TOP_K_SQL, "op6_decontamination": DECONTAMINATION_SQL, "o
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_token_files, op3_top_k, op4_toxicity, op5_longest_first_shards, op6_decontamination, op7_language, op8_secret_scan, op9_near_duplicates, op10_best_two_fit)
+    own = (op1_repeated_strings, op2_token_files, op3_top_k, op4_toxicity, op5_longest_first_shards, op6_decontamination, op7_language, op8_secret_scan, op9_near_duplicates, op10_best_two_fit)
     return {f.__name__: f for f in own}
 
 

@@ -13,7 +13,9 @@ import pyarrow as pa
 #: Bytes that one numpy pass takes at most, unless a single text is longer.
 CHUNK_BYTES = 1 << 20
 _RNG = np.random.default_rng(20240131)
-BYTE = _RNG.integers(1, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: A value for each byte, and the same with A-Z as a-z.
+RAW_BYTE = _RNG.integers(1, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE = RAW_BYTE.copy()
 BYTE[65:91] = BYTE[97:123]
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
