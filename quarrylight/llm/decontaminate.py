@@ -25,9 +25,18 @@ def words_of(text: Column) -> Column:
 
 
 def windows(words: Column, make) -> Column:
-    """``make`` of each WORDS words in a row; with fewer words, of all of them; nothing without words."""
-    size = F.size(words)
-    return F.when(size == 0, F.array().cast(f"array<{'bigint' if make is hash_of else 'string'}>")).when(size < WORDS, F.array(make(words))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(size - WORDS + 1, F.lit(1))), lambda i: make(F.slice(words, i, WORDS))))
+    """``make`` of each WORDS words in a row; with fewer words, of all of them; nothing without words.
+
+    The words are bound to a lambda's variable: an expression in a lambda is worked out anew for every element.
+    """
+    kind = "bigint" if make is hash_of else "string"
+
+    def of(own: Column) -> Column:
+        size = F.size(own)
+        rows = F.transform(F.sequence(F.lit(1), F.greatest(size - WORDS + 1, F.lit(1))), lambda i: make(F.slice(own, i, WORDS)))
+        return F.when(size == 0, F.array().cast(f"array<{kind}>")).when(size < WORDS, F.array(make(own))).otherwise(rows)
+
+    return F.flatten(F.transform(F.array(words), of))
 
 
 def hash_of(words: Column) -> Column:
