@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +84,12 @@ def _finder(hashes_only: bool):
     return find
 
 
+def common_prefix(a: bytes, b: bytes) -> int:
+    """How many leading bytes are equal."""
+    n = min(len(a), len(b))
+    return n - (((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8)
+
+
 def match_contexts(contexts: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
     """(number, start, end) of what LENGTH bytes or more of a context share, in place, with an earlier one of the group.
 
@@ -97,18 +102,19 @@ def match_contexts(contexts: list[tuple[int, int, bytes]]) -> list[tuple[int, in
         order = sorted(range(len(side)), key=side.__getitem__)
         most, parts = [0] * len(side), set()
         for a, b in zip(order, order[1:], strict=False):
-            shared = len(commonprefix([side[a], side[b]]))
+            shared = common_prefix(side[a], side[b])
             most[a], most[b] = max(most[a], shared), max(most[b], shared)
             parts.add(shared)
         reach.append(most)
         cuts.append(sorted(parts - {0}))
+    able = [k for k in range(len(contexts)) if reach[0][k] + reach[1][k] >= LENGTH]
+    if len(able) < 2:
+        return []
     symbols: list[int] = []
     widths: list[int] = []
     owners: list[tuple[int, int]] = []
     known: dict[tuple, int] = {}
-    for k, _ in enumerate(contexts):
-        if reach[0][k] + reach[1][k] < LENGTH:
-            continue
+    for k in able:
         pieces = []
         for side in (0, 1):
             ends = [c for c in cuts[side] if c <= reach[side][k]]
@@ -125,7 +131,7 @@ def match_contexts(contexts: list[tuple[int, int, bytes]]) -> list[tuple[int, in
         widths.append(0)
         owners.append((k, at))
     found = []
-    for at, size in enumerate(longest_earlier(symbols)) if symbols else ():
+    for at, size in enumerate(longest_earlier(symbols)):
         width = sum(widths[at : at + size]) if size else 0
         if width >= LENGTH:
             k, start = owners[at]
