@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 QUOTES, PLAIN = "‘’‚‛“”„–—− ", "''''\"\"\"--- "
 
 
-@F.pandas_udf("string")
-def compatibility_form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """NFKC; Spark has no function for it."""
-    for s in batches:
-        yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def compatibility_form(text: Column) -> Column:
+    """NFKC; Spark has no function for it. The UDF is made when it is asked for, as that needs a session."""
+
+    @F.pandas_udf("string")
+    def compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return compose(text)
 
 
 def normalize_unicode(text: Column, compose: bool = True) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylight.plans import analytics
+from quarrylight.plans import analytics, corpus
 
-PARTS = (analytics,)
+PARTS = (analytics, corpus)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
