@@ -56,10 +56,14 @@ def word_count(text: Column) -> Column:
 
 def shingles(key: Column, n: int = 3) -> Column:
     """Distinct word n-grams of a key; the whole key where it has fewer words."""
-    own = words(key)
-    size = F.size(own)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(own, i, n), " "))
-    return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(F.array_join(own, " "))).otherwise(F.array_distinct(grams))
+
+    def of(own: Column) -> Column:
+        size = F.size(own)
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(own, i, n), " "))
+        return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(F.array_join(own, " "))).otherwise(F.array_distinct(grams))
+
+    # Bound to a lambda's variable, the words are worked out once and not for every n-gram.
+    return F.flatten(F.transform(F.array(words(key)), of))
 
 
 def sentence_case(text: Column, share: float = 0.6) -> Column:

@@ -67,7 +67,7 @@ def lexical_diversity(df: DataFrame, key: str, text: str, frame: int = 50) -> Da
     last = F.least(F.col("at"), F.col("n") - F.col("width"))
     opened = placed.withColumn("windows", F.greatest(last - first + 1, F.lit(0)))
     out = opened.groupBy(key).agg(F.max("n").alias("words"), F.count_if(F.col("gap").isNull()).alias("types"), F.sum("windows").alias("opened"), F.max("width").alias("width"))
-    return out.select(key, "words", F.round(F.col("types") / F.col("words"), 6).alias("ttr"), F.round(F.col("opened") / F.col("width") / (F.col("words") - F.col("width") + 1), 6).alias("mattr"))
+    return out.select(key, "words", (F.col("types") / F.col("words")).alias("ttr"), (F.col("opened") / F.col("width") / (F.col("words") - F.col("width") + 1)).alias("mattr"))
 
 
 def source_audit(df: DataFrame, by: str, text: str, label: str) -> DataFrame:

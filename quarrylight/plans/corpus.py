@@ -105,8 +105,8 @@ def reused_sixgrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""
 WITH w AS (SELECT doc_id, list_filter(string_split({KEY}, ' '), lambda x: x <> '') AS w FROM documents),
 m AS (SELECT doc_id, w, len(w) AS n, least(50, len(w)) AS k FROM w WHERE len(w) > 0)
-SELECT doc_id, n AS words, round(len(list_distinct(w)) / n, 6) AS ttr,
-  round(list_sum(list_transform(range(1, n - k + 2), lambda i: len(list_distinct(w[i : i + k - 1])))) / k / (n - k + 1), 6) AS mattr FROM m""")
+SELECT doc_id, n AS words, len(list_distinct(w)) / n AS ttr,
+  list_sum(list_transform(range(1, n - k + 2), lambda i: len(list_distinct(w[i : i + k - 1]))))::BIGINT / k / (n - k + 1) AS mattr FROM m""")
 def lexical_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.lexical_diversity(read(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -226,10 +226,12 @@ def streamed_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
     out = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = read(spark, sf_dir, "events").schema
-    events = read_stream(spark, f"{sf_dir}/events.parque[t]", schema)
+    events = read_stream(spark, f"{sf_dir}/events.parque[t]", schema).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = windowed_counts(events, "ts", ["event_type"], "1 day", "0 seconds")
     run_available(counts, f"{out}/rows", f"{out}/state", "append")
     rows = spark.read.schema("window_start timestamp, event_type string, n long").parquet(f"{out}/rows")
     # The last window stays open in append mode; the batch side adds it.
-    tail = read(spark, sf_dir, "events").groupBy(F.window("ts", "1 day")["start"].alias("window_start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return rows.unionByName(tail.join(rows, ["window_start", "event_type"], "left_anti"))
+    batch = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    tail = batch.groupBy(F.window("ts", "1 day")["start"].alias("window_start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    whole = rows.unionByName(tail.join(rows, ["window_start", "event_type"], "left_anti"))
+    return whole.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
