@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one numbering block holds on average; a block is one group of one sort.
 ROWS_PER_BLOCK = 20_000
+#: Texts that pass between Spark and a Python worker at a time.
+TEXTS_PER_BATCH = 1_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +39,12 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_texts(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` over rows that hold texts, few at a time: a batch lives in the JVM, in Arrow and in Python at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_PER_BATCH))
+    return df.mapInArrow(function, schema)
+
+
 def blocks_for(rows: int) -> int:
     """How many numbering blocks ``rows`` rows need; grows with the input."""
     return max(8, -(-rows // ROWS_PER_BLOCK))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.llm.common import map_texts
 from quarrylight.llm.ngrams import chunks, code_points, hashed, held_out, labelled_texts, stratified_ids
 
 ORDERS, BITS = (1, 2, 3), 14
@@ -117,4 +118,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     the same answer each, an empty table gives an empty result, other columns are ignored. Texts are scored whole where
     they are read; one very long text is a batch of its own.
     """
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_texts(docs.select("doc_id", held_out().alias("held_out"), "text"), _predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")

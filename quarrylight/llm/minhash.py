@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import materialise
+from quarrylight.llm.common import map_texts, materialise
 from quarrylight.llm.components import components
 from quarrylight.llm.shingles import mix, shingle_sets
 
@@ -84,7 +84,7 @@ def _signer(words: int, coordinates: int, with_sets: bool):
 def signatures(docs: DataFrame, words: int, coordinates: int = COORDINATES, with_sets: bool = False) -> DataFrame:
     """doc_id, n_shingles, print (of the set), signature and, if asked for, the shingle set of each document."""
     schema = "doc_id long, n_shingles long, print binary, signature array<int>" + ", shingles array<long>" * with_sets
-    return docs.select("doc_id", "text").mapInArrow(_signer(words, coordinates, with_sets), schema)
+    return map_texts(docs.select("doc_id", "text"), _signer(words, coordinates, with_sets), schema)
 
 
 def posting_lists(nodes: DataFrame, threshold: int, coordinates: int = COORDINATES) -> DataFrame:

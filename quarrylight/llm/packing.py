@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import materialise, number_within
+from quarrylight.llm.common import map_texts, materialise, number_within
 from quarrylight.llm.tokenfile import ids_crc32
 from quarrylight.llm.tokens import END_ID, TOKENIZER, encoder
 
@@ -120,7 +120,7 @@ def _cutter(tokenizer: str, capacity: int):
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
     """One row a piece: documents of more than ``capacity`` ids (with the end id) are cut, the last piece may be shorter."""
-    return docs.select("doc_id", "text").mapInArrow(_cutter(tokenizer, capacity), PIECES)
+    return map_texts(docs.select("doc_id", "text"), _cutter(tokenizer, capacity), PIECES)
 
 
 def _placer(slots: dict[int, tuple[list[int], list[int], list[int]]]):

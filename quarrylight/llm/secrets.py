@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarrylight.llm.common import map_texts
+
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -205,7 +207,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     extra columns are ignored. Offsets are code points, ends exclusive. There is no shuffle: each text is scanned
     whole where it is read.
     """
-    return docs.select("doc_id", "text").mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
+    return map_texts(docs.select("doc_id", "text"), _scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long")
 
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,4 +219,4 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``[SECRET]``; all rows and columns stay, null texts stay null."""
-    return docs.mapInArrow(_redact, docs.schema)
+    return map_texts(docs, _redact, docs.schema)

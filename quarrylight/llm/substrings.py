@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import materialise
+from quarrylight.llm.common import map_texts, materialise
 from quarrylight.llm.shingles import RAW_BYTE, mix, tables, text_slices
 from quarrylight.llm.suffixes import longest_earlier
 
@@ -213,8 +213,8 @@ def if_few(df: DataFrame, limit: int) -> DataFrame:
 
 def removed_intervals(docs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """(doc, key, s, e): byte intervals to remove, overlapping and unordered, of documents (doc, key, text)."""
-    repeated = materialise(docs.mapInArrow(_finder(True), "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "anchors")
-    places = docs.mapInArrow(_finder(False), PLACES).join(if_few(repeated, BROADCAST_HASHES), "hash", "left_semi")
+    repeated = materialise(map_texts(docs, _finder(True), "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "anchors")
+    places = map_texts(docs, _finder(False), PLACES).join(if_few(repeated, BROADCAST_HASHES), "hash", "left_semi")
     place = F.struct("doc", "key", "pos")
     variants = materialise(places.groupBy("hash", "ctx").agg(F.min(F.struct("doc", "key", "pos", "l", "r")).alias("first"), F.count(F.lit(1)).alias("n")), "variants")
     copied = variants.where("n > 1").select("hash", "ctx", F.struct("first.doc", "first.key", "first.pos").alias("first"))
@@ -285,4 +285,4 @@ def remove_repeats(docs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     own = keyed(docs)
     texts = own.select("doc", "key", "text")
     runs = materialise(merged(removed_intervals(texts, limit)), "runs")
-    return own.join(if_few(runs, BROADCAST_DOCS), ["doc", "key"], "left").select("doc_id", "text", "runs").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_texts(own.join(if_few(runs, BROADCAST_DOCS), ["doc", "key"], "left").select("doc_id", "text", "runs"), _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

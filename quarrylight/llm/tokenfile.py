@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import fresh_path
+from quarrylight.llm.common import fresh_path, map_texts
 from quarrylight.llm.tokens import END_ID, TOKENIZER, encoder
 
 # Magic numbers of the zstandard formats.
@@ -148,7 +148,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER)
     store.create_dir(base, recursive=True)
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    done = sorted(ordered.mapInArrow(_writer(folder, tokenizer), MANIFEST).collect(), key=lambda r: r["part"])  # one small row a file
+    done = sorted(map_texts(ordered, _writer(folder, tokenizer), MANIFEST).collect(), key=lambda r: r["part"])  # one small row a file
     rows, start = [], 0
     for r in done:
         rows.append((r["part"], r["path"], r["n_docs"], r["n_tokens"], start))

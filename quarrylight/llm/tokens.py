@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Words and pieces that a worker keeps, the first it meets: frequent ones come early. Others are encoded each time.
-CACHE_WORDS, CACHE_PIECES = 200_000, 300_000
+CACHE_WORDS, CACHE_PIECES = 150_000, 250_000
 
 #: U+001C to U+001F are white space to Python alone; sigma and dotted I have lower cases that depend on what is around them.
 ODD = regex.compile("[\x1c-\x1fΣİ]")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.llm.common import map_texts
 from quarrylight.llm.ngrams import chunks, code_points, hashed, held_out, labelled_texts, stratified_ids, text_of
 
 ORDERS, BITS = (4, 5), 19
@@ -140,7 +141,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     A null or empty text has no n-gram and gets the score of the bias. Repeated rows get the same score each, an empty
     table gives an empty result, other columns are ignored. Texts are scored whole where they are read.
     """
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_scorer(model), "doc_id long, held_out boolean, score double, predicted int")
+    return map_texts(docs.select("doc_id", held_out().alias("held_out"), "text"), _scorer(model), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _keeper(model: Model, threshold: float):
@@ -153,4 +154,4 @@ def _keeper(model: Model, threshold: float):
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
-    return docs.mapInArrow(_keeper(model, threshold), docs.schema)
+    return map_texts(docs, _keeper(model, threshold), docs.schema)
