@@ -90,23 +90,35 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return n - (((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8)
 
 
+def parting_places(strings: list[bytes]) -> list[list[int]]:
+    """For each string the lengths, ascending, of what it shares with any other one.
+
+    In sorted order these are the running minima of neighbours' common prefixes to either side, and they are what a
+    stack of ascending lengths holds. Two strings have the same places up to where they part.
+    """
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    shared = [common_prefix(strings[a], strings[b]) for a, b in zip(order, order[1:], strict=False)]
+    found: list[set[int]] = [set() for _ in strings]
+    for walk, lengths in ((order, shared), (order[::-1], shared[::-1])):
+        stack: list[int] = []
+        for k, length in zip(walk[1:], lengths, strict=True):
+            while stack and stack[-1] > length:
+                stack.pop()
+            if length and (not stack or stack[-1] < length):
+                stack.append(length)
+            found[k].update(stack)
+    return [sorted(own) for own in found]
+
+
 def match_contexts(contexts: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
     """(number, start, end) of what LENGTH bytes or more of a context share, in place, with an earlier one of the group.
 
-    ``contexts`` are (position, bytes before the anchor, bytes) in corpus order; starts and ends count in the text.
+    ``contexts`` are (position, bytes before the anchor, bytes) in corpus order; starts and ends count in the text. Each
+    is cut where it parts from another one, so contexts have equal pieces as far as they are equal.
     """
     sides = ([c[2][: c[1]][::-1] for c in contexts], [c[2][c[1] :] for c in contexts])
-    reach, cuts = [], []
-    for side in sides:
-        # Neighbours in sorted order share the most; where they part is where pieces end.
-        order = sorted(range(len(side)), key=side.__getitem__)
-        most, parts = [0] * len(side), set()
-        for a, b in zip(order, order[1:], strict=False):
-            shared = common_prefix(side[a], side[b])
-            most[a], most[b] = max(most[a], shared), max(most[b], shared)
-            parts.add(shared)
-        reach.append(most)
-        cuts.append(sorted(parts - {0}))
+    paths = [parting_places(side) for side in sides]
+    reach = [[path[-1] if path else 0 for path in side] for side in paths]
     able = [k for k in range(len(contexts)) if reach[0][k] + reach[1][k] >= LENGTH]
     if len(able) < 2:
         return []
@@ -117,7 +129,7 @@ def match_contexts(contexts: list[tuple[int, int, bytes]]) -> list[tuple[int, in
     for k in able:
         pieces = []
         for side in (0, 1):
-            ends = [c for c in cuts[side] if c <= reach[side][k]]
+            ends = paths[side][k]
             own = [(side, b, sides[side][k][a:b]) for a, b in zip([0, *ends], ends, strict=False)]
             pieces.append(own)
         at = contexts[k][0] - reach[0][k]

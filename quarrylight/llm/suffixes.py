@@ -8,8 +8,6 @@ suffix is next in its group, and so is the chain of its pointers. Nothing is ren
 
 from __future__ import annotations
 
-from collections import Counter
-
 
 def suffix_order(symbols: list[int]) -> list[int]:
     """Starts of all suffixes in ascending order; a suffix that is a prefix of another is the smaller."""
@@ -29,15 +27,32 @@ def suffix_order(symbols: list[int]) -> list[int]:
     top = n
     while top:
         own = group[slots[top - 1]]
-        members = sorted(slots[own:top])
-        pointed: Counter[int] = Counter()
-        for s in members:
+        if top - own == 1:
+            # A group of one points at one suffix, which moves alone.
+            p = slots[own] - 1
+            while p >= 0 and group[p] >= own:
+                p = before[p]
+            before[slots[own]] = p
+            if p >= 0:
+                old = group[p]
+                stop = end[old]
+                new = stop - 1
+                if new != old:
+                    at, other = where[p], slots[new]
+                    slots[at], where[other] = other, at
+                    slots[new], where[p] = p, new
+                    group[p] = new
+                    end[old], end[new] = new, stop
+            top = own
+            continue
+        pointed: dict[int, int] = {}
+        for s in sorted(slots[own:top]):
             p = s - 1
             while p >= 0 and group[p] >= own:
                 p = before[p]
             before[s] = p
             if p >= 0:
-                pointed[p] += 1
+                pointed[p] = pointed.get(p, 0) + 1
         by_count: dict[int, dict[int, list[int]]] = {}
         for p, times in pointed.items():
             by_count.setdefault(times, {}).setdefault(group[p], []).append(p)
