@@ -307,10 +307,10 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT lang, round(avg(n_chars) FILTER (quality = 1), 6) AS mean_good, round(avg(n_chars) FILTER (quality = 0), 6) AS mean_bad,
-  round(count(*) FILTER (quality = 1 AND n_chars < 1000) / nullif(count(*) FILTER (n_chars < 1000), 0), 6) AS p_good_short, round(corr(n_chars, quality), 6) AS r
+  round(count(*) FILTER (quality = 1 AND n_chars < 1000) / nullif(count(*) FILTER (n_chars < 1000), 0), 6) AS p_good_short, round(covar_pop(n_chars, quality) / nullif(stddev_pop(n_chars) * stddev_pop(quality), 0), 6) AS r
 FROM documents JOIN labels USING (doc_id) GROUP BY 1""")
 def length_confound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether length gives the label away: conditional means, shares and correlation."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(read(spark, sf_dir, "labels"), "doc_id")
     good, short = F.col("quality") == 1, F.col("n_chars") < 1000
-    return d.groupBy("lang").agg(A.rounded(F.avg(F.when(good, F.col("n_chars")))).alias("mean_good"), A.rounded(F.avg(F.when(F.col("quality") == 0, F.col("n_chars")))).alias("mean_bad"), A.rounded(F.try_divide(F.count_if(good & short), F.count_if(short))).alias("p_good_short"), A.rounded(F.corr("n_chars", "quality")).alias("r"))
+    return d.groupBy("lang").agg(A.rounded(F.avg(F.when(good, F.col("n_chars")))).alias("mean_good"), A.rounded(F.avg(F.when(F.col("quality") == 0, F.col("n_chars")))).alias("mean_bad"), A.rounded(F.try_divide(F.count_if(good & short), F.count_if(short))).alias("p_good_short"), A.rounded(F.try_divide(F.covar_pop("n_chars", "quality"), F.stddev_pop("n_chars") * F.stddev_pop("quality"))).alias("r"))
