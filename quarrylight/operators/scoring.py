@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from quarrylight.functions import rules as R
 from quarrylight.functions.spans import around, first_of, hit, matches, overlaps
 
-MAX_CHARS = 8000
 FAST_LANE, REVIEW_BELOW = 0.75, 0.55
 SPAN = "array<struct<role:string,text:string,start:int,end:int,source:string,score:double>>"
 PRESENT = ("control_present", "control_ineffective")
@@ -189,14 +188,15 @@ def cue_tags(text: Column, table: dict[str, str]) -> Column:
     return F.array_compact(F.array(*(F.when(hit(text, p), tag) for tag, p in table.items())))
 
 
-def score(df: DataFrame, text: str = "text", lexicon: dict[str, list[str]] | None = None) -> DataFrame:
+def score(df: DataFrame, text: str = "text", lexicon: dict[str, list[str]] | None = None, max_chars: int | None = None) -> DataFrame:
     """``df`` with language, statement_type, hazard, spans, energy, facts, verdict, confidence, review and act/condition columns.
 
-    A null or blank text gets the verdict INSUFFICIENT with no spans. Texts are cut to MAX_CHARS as the scorer's input
-    rule asks. Input columns of the same names as the added ones are replaced.
+    A null or blank text gets the verdict INSUFFICIENT with no spans. Texts are read whole, unless ``max_chars`` cuts
+    them (the scorer of the reference takes 8000). Input columns of the same names as the added ones are replaced.
     """
     t = F.col("__text")
-    out = df.withColumn("__text", F.substring(F.trim(F.coalesce(F.col(text), F.lit(""))), 1, MAX_CHARS))
+    whole = F.trim(F.coalesce(F.col(text), F.lit("")))
+    out = df.withColumn("__text", whole if max_chars is None else F.substring(whole, 1, max_chars))
     out = out.withColumn("language", language(t)).withColumn("statement_type", statement_type(t)).withColumn("hazard", hazard(t))
     out = out.withColumn("__rules", rule_spans(t))
     spans = with_lexicon(t, F.col("__rules"), lexicon or {})

@@ -94,3 +94,13 @@ def test_score(spark):
     for r in score(df).collect():
         assert r.verdict == texts[r.id][1]
         assert all((texts[r.id][0] or "").strip()[s.start : s.end] == s.text for s in r.spans)
+
+
+def test_score_reads_whole_texts(spark):
+    cue = "A spanner fell from the monkey board 20 m near two workers, no barricading."
+    long = "All is well here. " * 1000 + cue
+    df = spark.createDataFrame([(0, cue), (1, long)], "id int, text string")
+    short, whole = (r for r in score(df).orderBy("id").collect())
+    assert (whole.verdict, whole.hazard, len(whole.spans)) == (short.verdict, short.hazard, len(short.spans)) and short.verdict == "P_SIF"
+    assert min(s.start for s in whole.spans) > 8000 and all(long[s.start : s.end] == s.text for s in whole.spans)
+    assert score(df, max_chars=8000).orderBy("id").collect()[1].spans == []
