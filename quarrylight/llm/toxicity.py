@@ -152,6 +152,6 @@ def _keeper(model: Model, threshold: float):
     return keep
 
 
-def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more, by default those that are predicted toxic; all columns stay."""
     return map_texts(docs, _keeper(model, threshold), docs.schema)

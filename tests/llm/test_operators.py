@@ -121,6 +121,15 @@ def test_toxicity_held_out():
     assert ((score[:-2] >= 0.3) == truth).mean() > 0.98 and (score[-2:] < 0.3).all() and ((score >= 0) & (score <= 1)).all()
 
 
+def test_clean_is_what_is_not_predicted_toxic(spark):
+    slot = np.full(len(toxicity.ORDERS) << toxicity.BITS, -1, np.int32)
+    for share in (0.2, 0.4, 0.6):
+        model = toxicity.Model(slot, np.zeros(1), float(np.log(share / (1 - share))))
+        rows = docs(spark, [(1, "some text"), (2, None)])
+        clean = toxicity.score_documents(rows, model).where("predicted = 0").count()
+        assert toxicity.keep_clean(rows, model).count() == clean == (2 if share < 0.3 else 0)
+
+
 def test_language_held_out(spark):
     random.seed(6)
     make = {"x": "abcde", "y": "fghij", "z": "aeiou"}
