@@ -26,10 +26,17 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "jwt", "openssh", "der", "pem")
 
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{48,}={0,2}")
+#: Tried at the start of every segment, as a dotted word may precede a token. The base64 of a JSON object begins with one
+#: of these characters, whatever whitespace stands in or before its brace.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([eCDI][A-Za-z0-9_-]{7,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*))")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{48,}={0,2}")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
+#: Line ends and slashes as string literals and JSON write them, once or more often escaped.
+ESCAPED_END, ESCAPED_SLASH = re.compile(r"\\+(?:[rnt]|u000[9aAdD])"), re.compile(r"\\+/")
+#: Headers of encrypted traditional keys; they may stand in one line with the body if line ends were lost.
+ENCRYPTED = re.compile(r"Proc-Type:\s*\d\s*,\s*ENCRYPTED\b")
+DEK_INFO = re.compile(r"DEK-Info:\s*[A-Za-z0-9-]+(?:\s*,\s*[0-9A-Fa-f]+)?")
 OPENSSH_MAGIC = b"openssh-key-v1\0"
 #: Object identifiers of key algorithms, in DER: RSA, EC, Ed25519, Ed448, X25519, DSA.
 KEY_OIDS = tuple(bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2b6570", "2b6571", "2b656e", "2a8648ce380401"))
@@ -125,20 +132,30 @@ def json_object(text: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
+def armoured(body: str) -> tuple[bytes | None, bool]:
+    """What the body of PEM armour decodes to (None if it is no base64), and whether its headers say that it is encrypted."""
+    plain = ESCAPED_SLASH.sub("/", ESCAPED_END.sub("\n", body))
+    bare, encrypted = ENCRYPTED.subn("\n", plain)
+    lines = (x for x in DEK_INFO.sub("\n", bare).splitlines() if ":" not in x)
+    return decode64("".join("".join(lines).split())), bool(encrypted)
+
+
 def structural_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the candidates whose decoded structure is that of a key or of a signed token."""
     found = []
-    if "eyJ" in text or "ewo" in text or "eyA" in text:
-        for m in TOKEN.finditer(text):
-            head = json_object(m[1])
-            if head is not None and isinstance(head.get("alg"), str) and (json_object(m[2]) is not None or "enc" in head):
-                if m[3] or head["alg"].lower() == "none":
-                    found.append((m.start(), m.end(), "jwt"))
+    end = 0
+    for m in TOKEN.finditer(text):
+        if m.start() < end:
+            continue
+        head = json_object(m[1])
+        if head is not None and isinstance(head.get("alg"), str) and (json_object(m[2]) is not None or "enc" in head):
+            if m[3] or head["alg"].lower() == "none":
+                end = m.end(3)
+                found.append((m.start(), end, "jwt"))
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            body = "".join(x for x in m[2].splitlines() if ":" not in x)
-            data = decode64("".join(body.split()))
-            if data and (is_private_der(data) or is_openssh_key(data) or "ENCRYPTED" in m[2]):
+            data, encrypted = armoured(m[2])
+            if data and (encrypted or is_private_der(data) or is_openssh_key(data)):
                 found.append((m.start(), m.end(), "pem"))
     for m in RUN.finditer(text):
         # A DER sequence or the OpenSSH magic shows in the first characters; nothing else is decoded.

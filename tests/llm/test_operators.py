@@ -190,6 +190,40 @@ def test_secrets(spark):
     assert token not in clean[1] and clean[2] is None and clean[3] == "plain"
 
 
+def test_secret_forms(spark):
+    """Forms around a key or token that hide it from a plain pattern: each is found, and nothing of it is left."""
+    part = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    der = bytes([0x30, 0x81, 165]) + bytes([2, 1, 0]) + bytes([2, 18]) + bytes(range(1, 19)) + b"".join(bytes([2, 16]) + bytes(range(k, k + 16)) for k in range(1, 8))
+    der = der + bytes([2, 165 + 3 - len(der) - 2]) + bytes(range(1, 165 + 3 - len(der) - 1))
+    key = base64.b64encode(der).decode()
+    assert secrets.is_private_der(der) and key.startswith("M") and len(key) > 64
+    lines = [key[k : k + 64] for k in range(0, len(key), 64)]
+    armour = lambda kind, end, head=(): end.join([f"-----BEGIN {kind}PRIVATE KEY-----", *head, *lines, f"-----END {kind}PRIVATE KEY-----"])
+    sealed = ("Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", "")
+    claims = part('{"sub": 1}')
+    token = f"{part('{"alg": "HS256"}')}.{claims}.abcDEF"
+    forms = {
+        "after an equals sign": (f"PRIVATE_KEY={key} x", key, "der"), "after padding": (f"{'A' * 50}=={key}", key, "der"), "after a colon": (f"PRIVATE_KEY: {key}", key, "der"),
+        "encrypted": (f"a {armour('RSA ', chr(10), sealed)} b", armour("RSA ", "\n", sealed), "pem"), "encrypted, line ends lost": (armour("EC ", " ", sealed), armour("EC ", " ", sealed), "pem"),
+        "escaped": (json.dumps({"private_key": armour("", "\n") + "\n"}), armour("", "\\n"), "pem"), "escaped twice": (json.dumps(json.dumps({"k": armour("", "\n")})), armour("", "\\\\n"), "pem"),
+        "escaped return": (f"k='{armour('', chr(92) + 'r' + chr(92) + 'n')}'", armour("", "\\r\\n"), "pem"), "encrypted, escaped": (json.dumps(armour("RSA ", "\n", sealed)), armour("RSA ", "\\n", sealed), "pem"),
+        "after a dotted word": (f"session_jwt.{token}", token, "jwt"), "after two": (f"some.long_enough.{token} end", token, "jwt"),
+    }
+    for k, head in enumerate(('{\r\n"alg":"HS256"}', '{\t"alg":"HS256"}', ' {"alg":"HS256"}', '\n{"alg":"HS256"}', '{ "alg":"HS256"}')):
+        own = f"{part(head)}.{claims}.sig"
+        forms[f"header {k}"] = (f"x {own} y", own, "jwt")
+    for name, (text, secret, kind) in forms.items():
+        assert [(text[s:e], k) for s, e, k in secrets.structural_spans(text) if k == kind] == [(secret, kind)], name
+    for text in (f"{'A' * 60}={'B' * 60}", "Proc-Type: 4,ENCRYPTED", "-----BEGIN PRIVATE KEY-----\\nnot-a-key\\n-----END PRIVATE KEY-----", f"some_word.{claims}.{claims}.sig"):
+        assert secrets.structural_spans(text) == [], text
+    rows = list(enumerate(forms.values()))
+    found = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, [(i, t) for i, (t, *_) in rows])).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact_secrets(docs(spark, [(i, t) for i, (t, *_) in rows])).collect()}
+    for i, (text, secret, kind) in rows:
+        assert found[i].n_confirmed >= 1 and f"{kind}:{text.index(secret)}:{text.index(secret) + len(secret)}" in found[i].spans.split(",")
+        assert secret not in clean[i] and "[SECRET]" in clean[i]
+
+
 def shingles(text, n):
     w = (text or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split()
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
