@@ -34,6 +34,8 @@ MISS = 1e-6
 SMALL_LIST = 16
 #: Ids that may be broadcast to fetch documents (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Column that tells rows apart, whatever their doc_id.
+ROW = "__row"
 #: Ratio between neighbouring size classes.
 SIZE_STEP = 1.04
 
@@ -179,6 +181,13 @@ def fetch_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return materialise(signatures(own, words, with_sets=True).where("n_shingles > 0").select("doc_id", "signature", "shingles"), "sets")
 
 
+def one_document(found: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes (node) that rows of one doc_id have."""
+    ends = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"))
+    several = ends.where("a < z").select("doc_id", "a")
+    return found.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
 
@@ -194,6 +203,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     base = materialise(signatures(docs, words), "signatures")
     classes = base.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"))
     classes = materialise(classes, "classes")
+    found = base.join(classes, "print", "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node")))
+    found = materialise(found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")), "placed-rows")
     first = base.where("n_shingles > 0 and doc_id is not null").join(classes.select("print", F.col("node").alias("doc_id")), ["print", "doc_id"], "left_semi")
     nodes = first.dropDuplicates(["doc_id", "print"]).select(F.col("doc_id").alias("node"), "n_shingles", "signature")
     posts = posting_lists(nodes, threshold)
@@ -203,23 +214,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     posts = materialise(posts.join(pivots, "token"), "listed")
     sets = fetch_sets(docs, posts.select("node").distinct(), words)
     stars = posts.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    links = materialise(confirmed(stars, sets, percent, threshold), "star-links")
+    links = materialise(confirmed(stars, sets, percent, threshold).unionByName(one_document(found)).distinct(), "star-links")
     labels = components(links)
     more = materialise(confirmed(leftover_pairs(posts.drop("pivot", "weight"), labels, sets, percent), sets, percent, threshold), "more-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    found = base.join(classes, "print", "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node")))
-    found = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
     found = found.join(labels, "node", "left").withColumn("component_id", F.coalesce("comp", "node"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, the one of the smallest doc_id; all columns stay.
+    """``docs`` with one row of each group of near-duplicate texts, that of the smallest doc_id; all columns stay.
 
-    Rows that repeat a kept doc_id with the same text are cut to one; rows without doc_id stay.
+    Each row counts for itself here: rows that repeat a doc_id with the same text are cut to one, and of a doc_id with
+    different texts only those are dropped that another row stands for. Rows without doc_id come last in their group, so
+    that they stay only if no other row has their text. A text without words is in no group: one of each doc_id stays,
+    and all without doc_id.
     """
-    dropped = near_duplicates(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct()
+    keyed = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text"), words, percent)
+    found = found.select(F.col("doc_id").alias(ROW), "n_shingles", "component_id").join(keyed.select(ROW, "doc_id"), ROW)
+    blank = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    rows = materialise(found.select(ROW, "doc_id", F.when(~blank, F.col("component_id")).alias("group"), F.when(blank, F.col("doc_id")).alias("blank")), "grouped")
+    first = rows.groupBy("group", "blank").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW))[ROW].alias(ROW))
+    dropped = materialise(rows.select(ROW).join(first.select(ROW), ROW, "left_anti"), "dropped")
     few = dropped.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    return keyed.join(F.broadcast(dropped) if few else dropped, ROW, "left_anti").select(*docs.columns)

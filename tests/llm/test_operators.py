@@ -256,6 +256,21 @@ def test_near_duplicates(spark, texts, words, percent, small, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute_components(texts, words, percent)
 
 
+def test_repeated_ids(spark, texts):
+    """Rows that share a doc_id are one document; the stage keeps one row of each text, whatever its doc_id."""
+    a, b, c, d, e = (dict(texts)[i] for i in range(5))
+    near = f"{d} one_more"
+    rows = [(1, a), (5, a), (5, b), (6, b), (7, c), (7, c), (None, e), (None, e), (None, a), (2, d), (8, near), (8, d), (9, None), (9, ""), (9, "far away from all of them"), (4, c), (None, None)]
+    found = collections.defaultdict(set)
+    for r in minhash.near_duplicates(docs(spark, rows), 5, 80).collect():
+        found[r.doc_id].add((r.component_id, r.kept))
+    assert dict(found) == {1: {(1, True)}, 5: {(1, False)}, 6: {(1, False)}, 7: {(4, False)}, 4: {(4, True)}, 2: {(2, True)}, 8: {(2, False)}, 9: {(9, True)}, None: {(None, True)}}
+    out = minhash.keep_representatives(docs(spark, rows), 5, 80)
+    assert out.columns == docs(spark, rows).columns
+    kept = collections.Counter((r.doc_id, r.text or "") for r in out.collect())
+    assert kept == collections.Counter([(1, a), (5, b), (4, c), (None, e), (2, d), (9, ""), (9, "far away from all of them"), (None, "")])
+
+
 def test_decontamination(spark, texts):
     import re
 
