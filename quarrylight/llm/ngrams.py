@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 1_500_000
 #: Labels that a sample covers, the most frequent ones.
 MAX_LABELS = 256
+#: Characters of the longest text that a sample takes, so that no single text uses up its budget.
+LONGEST_SAMPLED = 1_000_000
 #: Odd multipliers of the characters of an n-gram, and of the final mix.
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xB5297A4D], np.uint32)
 MIX = np.uint32(0x2C1B3C6D)
@@ -77,9 +79,10 @@ def stratified_ids(df: DataFrame, label: str, per_class: int, total: int) -> Dat
 def labelled_texts(docs: DataFrame, sample: DataFrame, label: str, total: int, chars: int) -> list[tuple[str, object]]:
     """(text, label) of the sampled documents, bounded by ``total`` rows and ``chars`` characters, in a fixed order.
 
+    Texts over LONGEST_SAMPLED or over the whole budget are left out and do not count, so that the rows behind them do.
     The sample holds ``total`` ids at most, so it may be broadcast and no text is shuffled for the join.
     """
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")
+    texts = docs.select("doc_id", "text").where(F.length("text") <= min(LONGEST_SAMPLED, chars)).join(F.broadcast(sample), "doc_id")
     first = texts.withColumn("__h", F.xxhash64("doc_id")).orderBy("__h", "doc_id", "text").limit(total)
     sized = first.withColumn("__sum", F.sum(F.length("text")).over(Window.orderBy("__h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)))
     return [(r["text"], r[label]) for r in sized.where(F.col("__sum") <= chars).select("text", label).collect()]

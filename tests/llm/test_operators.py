@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylight.llm import decontaminate, language, minhash, ngrams, packing, secrets, sharding, substrings, suffixes, tokenfile, tokens, topk, toxicity
 
@@ -121,6 +122,13 @@ def test_toxicity_held_out():
     assert ((score[:-2] >= 0.3) == truth).mean() > 0.98 and (score[-2:] < 0.3).all() and ((score >= 0) & (score <= 1)).all()
 
 
+def test_sample_passes_over_a_long_text(spark):
+    rows = docs(spark, [(i, "x" * 10) for i in range(6)])
+    first = rows.selectExpr("doc_id").orderBy(F.xxhash64("doc_id")).first().doc_id
+    rows = docs(spark, [(i, "x" * (101 if i == first else 10)) for i in range(6)])
+    assert [t for t, _ in ngrams.labelled_texts(rows, rows.select("doc_id", "lang"), "lang", 10, 100)] == ["x" * 10] * 5
+
+
 def test_clean_is_what_is_not_predicted_toxic(spark):
     slot = np.full(len(toxicity.ORDERS) << toxicity.BITS, -1, np.int32)
     for share in (0.2, 0.4, 0.6):
