@@ -1,7 +1,7 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, confirmed by exact shingle containment.
+"""Benchmark decontamination: MinHash containment search, confirmed by exact shingle containment.
 
-DataFrame functions only. Test items are partitioned by the size of their shingle set, and each keeps a bottom-k MinHash
-sketch whose k follows from its size: ``n - ceil(0.8 n) + 1`` of its least hashes. A document that holds 80 % of an
+DataFrame functions only. The size of a test item's shingle set only sets the length of its sketch; the search joins on
+the hash alone and is not partitioned by size. Each item keeps a bottom-k MinHash sketch whose k follows from its size: ``n - ceil(0.8 n) + 1`` of its least hashes. A document that holds 80 % of an
 item's shingles misses fewer than k of them, so it holds one of the sketch at least: the search loses nothing. A
 document's shingle hashes stream past the sketches where it is read; only documents that hit one are read again and
 held against the items on the shingles' own text.
