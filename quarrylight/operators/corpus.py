@@ -82,7 +82,7 @@ def source_audit(df: DataFrame, by: str, text: str, label: str) -> DataFrame:
 
 
 def quota_report(df: DataFrame, cls: str, targets: dict[str, int]) -> DataFrame:
-    """Count, share and shortfall of each target class, the worst first."""
+    """Count, share and shortfall of each target class, in no order (A18, M11 without its row plan)."""
     table = df.sparkSession.createDataFrame(list(targets.items()), f"`{cls}` string, target long")
     counts = df.groupBy(cls).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("total"))
