@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import fresh_path, map_texts
+from quarrylight.llm.common import fresh_path, map_texts, materialise
 from quarrylight.llm.tokens import END_ID, TOKENIZER, encoder
 
 # Magic numbers of the zstandard formats.
@@ -115,18 +115,36 @@ def ids_crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _writer(folder: str, tokenizer: str):
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoder(tokenizer: str):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
+        for batch in batches:
+            for first, ids, starts in words.encode_column(batch.column("text"), END_ID):
+                n = len(starts) - 1
+                packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((starts * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, n), batch.column("print").slice(first, n), packed], names=["doc_id", "print", "ids"])
+
+    return encode
+
+
+def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(doc_id, print, ids): every text's ids with the end id, as little-endian bytes, and a hash of the text; null counts as empty."""
+    own = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"), "text")
+    return map_texts(own, _encoder(tokenizer), "doc_id long, print long, ids binary")
+
+
+def _writer(folder: str, kind: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dtype = np.dtype(kind)
         part = TaskContext.get().partitionId()
         store, base = filesystem(folder)
         # A name of the attempt's own: only files named in the manifest of finished tasks count.
         name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}.tokens.zst"
         out, n_docs, n_tokens = None, 0, 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                out = out or FrameWriter(store.open_output_stream(f"{base}/{name}", compression=None), words.dtype)
-                ids = np.append(words.encode(text or ""), words.dtype.type(END_ID))
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                out = out or FrameWriter(store.open_output_stream(f"{base}/{name}", compression=None), dtype)
+                ids = np.frombuffer(raw.as_buffer(), dtype)
                 out.add(doc_id, ids)
                 n_docs, n_tokens = n_docs + 1, n_tokens + len(ids)
         if out:
@@ -139,16 +157,17 @@ def _writer(folder: str, tokenizer: str):
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """Write every document's ids (plus the end id) in ascending doc_id order and return the manifest, one row a file.
 
-    Documents are range-partitioned by doc_id and sorted inside each partition, so a file is one range and no task sees
-    more than its range. A null text counts as empty; null ids come first; equal ids are ordered by text. An empty
-    table writes no file and gives an empty manifest. Extra columns are ignored.
+    Texts are encoded where they are read; the ids are range-partitioned by doc_id and a hash of the text (the sampler
+    sees those alone) and sorted inside each partition, so a file is one range and no task sees more than its range. A
+    null text counts as empty; null ids come first; rows of one id are ordered by the hash. An empty table writes no
+    file and gives an empty manifest. Extra columns are ignored.
     """
     spark = docs.sparkSession
     store, base = filesystem(folder)
     store.create_dir(base, recursive=True)
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    done = sorted(map_texts(ordered, _writer(folder, tokenizer), MANIFEST).collect(), key=lambda r: r["part"])  # one small row a file
+    order = [F.col("doc_id").asc_nulls_first(), F.col("print").asc()]
+    encoded = materialise(encode_documents(docs, tokenizer), "encoded").repartitionByRange(*order).sortWithinPartitions(*order)
+    done = sorted(map_texts(encoded.select("doc_id", "ids"), _writer(folder, encoder(tokenizer).dtype.str), MANIFEST).collect(), key=lambda r: r["part"])  # one small row a file
     rows, start = [], 0
     for r in done:
         rows.append((r["part"], r["path"], r["n_docs"], r["n_tokens"], start))
