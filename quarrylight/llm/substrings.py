@@ -3,9 +3,9 @@
 A string of LENGTH bytes always holds an anchor: the ANCHOR bytes of the least hash in it. Equal strings hold the same
 anchor at the same place, so only occurrences of one anchor have to meet, and of those only anchors that occur twice.
 What surrounds an anchor (its context) holds every string that the anchor stands for. Equal contexts are one from the
-start: all but the earliest occurrence are removed whole. The different contexts of an anchor are cut where any two of
-them part; the pieces become symbols, the contexts in corpus order one integer string, and its suffix order (linear
-grouping, see ``suffixes``) gives the longest match that starts earlier.
+start: all but the earliest occurrence are removed whole. The different contexts of an anchor are cut into blocks, each
+named once; the contexts in corpus order are one integer string of names, and its suffix order (linear grouping, see
+``suffixes``) gives the longest match that starts earlier.
 """
 
 from __future__ import annotations
@@ -60,28 +60,22 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return places, hashes[places], sums
 
 
-def _finder(hashes_only: bool):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, keys = batch.column("doc").to_numpy(), batch.column("key").to_numpy()
-            for first, data, starts in text_slices(batch.column("text")):
-                places, hashes, sums = anchors(data, starts)
-                if not len(places):
-                    continue
-                if hashes_only:
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["hash"])
-                    continue
-                text = np.searchsorted(starts, places, side="right") - 1
-                left = np.minimum(places - starts[text], SPAN)
-                right = np.minimum(starts[text + 1] - places, LENGTH)
-                behind = tables(len(data) + 1)[1]
-                context = mix((sums[places + right] - sums[places - left]) * behind[places - left])
-                context = mix(context + (left * 256 + right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                columns = [docs[first + text], keys[first + text], hashes.view(np.int64), context.view(np.int64)]
-                ints = [(places - starts[text]).astype(np.int32), left.astype(np.int32), right.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, *ints)], names=["doc", "key", "hash", "ctx", "pos", "l", "r"])
-
-    return find
+def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        docs, keys = batch.column("doc").to_numpy(), batch.column("key").to_numpy()
+        for first, data, starts in text_slices(batch.column("text")):
+            places, hashes, sums = anchors(data, starts)
+            if not len(places):
+                continue
+            text = np.searchsorted(starts, places, side="right") - 1
+            left = np.minimum(places - starts[text], SPAN)
+            right = np.minimum(starts[text + 1] - places, LENGTH)
+            behind = tables(len(data) + 1)[1]
+            context = mix((sums[places + right] - sums[places - left]) * behind[places - left])
+            context = mix(context + (left * 256 + right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            columns = [docs[first + text], keys[first + text], hashes.view(np.int64), context.view(np.int64)]
+            ints = [(places - starts[text]).astype(np.int32), left.astype(np.int32), right.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, *ints)], names=["doc", "key", "hash", "ctx", "pos", "l", "r"])
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -90,86 +84,113 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return n - (((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8)
 
 
-def parting_places(strings: list[bytes]) -> list[list[int]]:
-    """For each string the lengths, ascending, of what it shares with any other one.
+def named_blocks(strings: list[bytes], name: int) -> tuple[list[tuple[list[int], list[int]]], int]:
+    """For each string its (ends, names) of blocks from the first byte on, and the next free name.
 
-    In sorted order these are the running minima of neighbours' common prefixes to either side, and they are what a
-    stack of ascending lengths holds. Two strings have the same places up to where they part.
+    A string is cut where it parts from another one, and what follows the last such place is left out. Blocks have one
+    name if they are the same bytes at the same place after equal blocks; every name is given once.
     """
     order = sorted(range(len(strings)), key=strings.__getitem__)
+    paths: list[tuple[list[int], list[int]]] = [([], [])] * len(strings)
+    # Neighbours' shared lengths open and close blocks as a stack does: those at or below the length to the next string
+    # go on in it. What the string shares with a later one alone is added when that is met, so walk from both sides.
     shared = [common_prefix(strings[a], strings[b]) for a, b in zip(order, order[1:], strict=False)]
-    found: list[set[int]] = [set() for _ in strings]
-    for walk, lengths in ((order, shared), (order[::-1], shared[::-1])):
-        stack: list[int] = []
-        for k, length in zip(walk[1:], lengths, strict=True):
-            while stack and stack[-1] > length:
-                stack.pop()
-            if length and (not stack or stack[-1] < length):
-                stack.append(length)
-            found[k].update(stack)
-    return [sorted(own) for own in found]
+    above: list[list[int]] = []
+    stack: list[int] = []
+    for length in [*shared[::-1], 0]:
+        above.append(stack[:])
+        while stack and stack[-1] > length:
+            stack.pop()
+        if length and (not stack or stack[-1] < length):
+            stack.append(length)
+    ends: list[int] = []
+    names: list[int] = []
+    for at, k in enumerate(order):
+        length = shared[at - 1] if at else 0
+        # Blocks up to the shared length are those of the string before; behind it new ones begin.
+        while ends and ends[-1] > length:
+            ends.pop()
+            names.pop()
+        for end in sorted({length, *above[len(order) - 1 - at]} - {0}):
+            if not ends or end > ends[-1]:
+                ends.append(end)
+                names.append(name)
+                name += 1
+        paths[k] = (ends[:], names[:])
+    return paths, name
 
 
 def match_contexts(contexts: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
-    """(number, start, end) of what LENGTH bytes or more of a context share, in place, with an earlier one of the group.
+    """(number, start, end) of the runs of a context that LENGTH bytes or more shared with an earlier one of the group cover.
 
-    ``contexts`` are (position, bytes before the anchor, bytes) in corpus order; starts and ends count in the text. Each
-    is cut where it parts from another one, so contexts have equal pieces as far as they are equal.
+    ``contexts`` are (position, bytes before the anchor, bytes) in corpus order; starts and ends count in the text. The
+    named blocks of all contexts, parted by symbols that nothing equals, are one integer string; its suffix order finds
+    the longest match that starts earlier.
     """
-    sides = ([c[2][: c[1]][::-1] for c in contexts], [c[2][c[1] :] for c in contexts])
-    paths = [parting_places(side) for side in sides]
-    reach = [[path[-1] if path else 0 for path in side] for side in paths]
-    able = [k for k in range(len(contexts)) if reach[0][k] + reach[1][k] >= LENGTH]
-    if len(able) < 2:
-        return []
+    left, name = named_blocks([c[2][: c[1]][::-1] for c in contexts], 0)
+    right, name = named_blocks([c[2][c[1] :] for c in contexts], name)
     symbols: list[int] = []
-    widths: list[int] = []
+    places: list[int] = []
     owners: list[tuple[int, int]] = []
-    known: dict[tuple, int] = {}
-    for k in able:
-        pieces = []
-        for side in (0, 1):
-            ends = paths[side][k]
-            own = [(side, b, sides[side][k][a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-            pieces.append(own)
-        at = contexts[k][0] - reach[0][k]
-        for piece in [*reversed(pieces[0]), *pieces[1]]:
-            symbols.append(known.setdefault(piece, len(known)))
-            widths.append(len(piece[2]))
-            owners.append((k, at))
-            at += len(piece[2])
-        # A separator that nothing else equals.
-        symbols.append(known.setdefault((2, k, b""), len(known)))
-        widths.append(0)
-        owners.append((k, at))
-    found = []
-    for at, size in enumerate(longest_earlier(symbols)):
-        width = sum(widths[at : at + size]) if size else 0
-        if width >= LENGTH:
-            k, start = owners[at]
-            found.append((k, start, start + width))
+    for k, ((left_ends, left_names), (right_ends, right_names)) in enumerate(zip(left, right, strict=True)):
+        before, after = left_ends[-1] if left_ends else 0, right_ends[-1] if right_ends else 0
+        if before + after < LENGTH:
+            continue
+        anchor = contexts[k][0]
+        symbols += left_names[::-1]
+        symbols += right_names
+        symbols.append(name)
+        name += 1
+        places += [anchor - end for end in reversed(left_ends)]
+        places.append(anchor)
+        places += [anchor + end for end in right_ends]
+        owners.append((k, len(symbols)))
+    if len(owners) < 2:
+        return []
+    sizes = longest_earlier(symbols)
+    found, at = [], 0
+    for k, stop in owners:
+        run = None
+        for at in range(at, stop):
+            start, end = places[at], places[at + sizes[at]]
+            if end - start >= LENGTH:
+                if run and start <= run[1]:
+                    run = (run[0], max(run[1], end))
+                else:
+                    if run:
+                        found.append((k, *run))
+                    run = (start, end)
+        if run:
+            found.append((k, *run))
+        at = stop
     return found
 
 
 def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups arrive sorted by (grp, doc, key, pos); one may go on in the next batch."""
+    held: list[tuple[int, int, int, int, bytes]] = []
+    out: list[tuple[int, int, int, int]] = []
 
-    def intervals(rows: list[tuple]) -> list[tuple]:
-        if len(rows) < 2:
-            return []
-        return [(rows[k][1], rows[k][2], s, e) for k, s, e in match_contexts([(r[3], r[4], r[5]) for r in rows])]
+    def flush() -> None:
+        if len(held) > 1:
+            out.extend((held[k][0], held[k][1], s, e) for k, s, e in match_contexts([row[2:] for row in held]))
+        held.clear()
 
-    held: list[tuple] = []
+    group = None
     for batch in batches:
-        out = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "doc", "key", "pos", "l", "bytes")), strict=True):
-            if held and held[0][0] != row[0]:
-                out += intervals(held)
-                held = []
-            held.append(row)
+        grp = batch.column("grp").to_numpy()
+        rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc", "key", "pos", "l", "bytes")), strict=True))
+        edges = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(rows)]
+        for first, end in zip(edges, edges[1:], strict=False):
+            if end > first and grp[first] != group:
+                flush()
+                group = grp[first]
+            held += rows[first:end]
         if out:
             yield _intervals_batch(out)
-    if out := intervals(held):
+            out.clear()
+    flush()
+    if out:
         yield _intervals_batch(out)
 
 
@@ -225,8 +246,9 @@ def if_few(df: DataFrame, limit: int) -> DataFrame:
 
 def removed_intervals(docs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """(doc, key, s, e): byte intervals to remove, overlapping and unordered, of documents (doc, key, text)."""
-    repeated = materialise(map_texts(docs, _finder(True), "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "anchors")
-    places = map_texts(docs, _finder(False), PLACES).join(if_few(repeated, BROADCAST_HASHES), "hash", "left_semi")
+    places = materialise(map_texts(docs, _finder, PLACES), "places")
+    repeated = materialise(places.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "anchors")
+    places = places.join(if_few(repeated, BROADCAST_HASHES), "hash", "left_semi")
     place = F.struct("doc", "key", "pos")
     variants = materialise(places.groupBy("hash", "ctx").agg(F.min(F.struct("doc", "key", "pos", "l", "r")).alias("first"), F.count(F.lit(1)).alias("n")), "variants")
     copied = variants.where("n > 1").select("hash", "ctx", F.struct("first.doc", "first.key", "first.pos").alias("first"))

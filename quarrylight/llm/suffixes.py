@@ -119,10 +119,16 @@ def longest_earlier(symbols: list[int]) -> list[int]:
     for s in range(n - 1, -1, -1):
         at = place[s]
         before, after = left[at], right[at]
-        best[s] = max(shared[at] if before >= 0 else 0, shared[after])
-        shared[after] = min(shared[at], shared[after])
-        if before >= 0:
+        own, next_own = shared[at], shared[after]
+        if before < 0:
+            own = 0
+        else:
             right[before] = after
         if after < n:
             left[after] = before
+        if own < next_own:
+            best[s] = next_own
+            shared[after] = own
+        else:
+            best[s] = own
     return best
