@@ -9,7 +9,7 @@ their length.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import map_texts, materialise, number_within
-from quarrylight.llm.tokenfile import ids_crc32
 from quarrylight.llm.tokens import END_ID, TOKENIZER, encoder
 
 CAPACITY = 4096
@@ -107,13 +106,17 @@ def _cutter(tokenizer: str, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(words.encode(text or ""), words.dtype.type(END_ID))
-                rows += [(doc_id, k, at, len(part := ids[at : at + capacity]), ids_crc32(part)) for k, at in enumerate(range(0, len(ids), capacity))]
-            if rows:
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for first, ids, starts in words.encode_column(batch.column("text"), END_ID):
+                sizes = np.diff(starts)
+                pieces = -(-sizes // capacity)
+                doc = np.repeat(np.arange(len(sizes)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                length = np.minimum(sizes[doc] - piece * capacity, capacity)
+                begin = starts[doc] + piece * capacity
+                wide = memoryview(ids.astype("<u4")).cast("B")
+                sums = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+                columns = [batch.column("doc_id").take(pa.array(first + doc)), pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(length), pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return cut
 
@@ -123,16 +126,17 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKEN
     return map_texts(docs.select("doc_id", "text"), _cutter(tokenizer, capacity), PIECES)
 
 
-def _placer(slots: dict[int, tuple[list[int], list[int], list[int]]]):
+def _placer(slots: dict[int, list[tuple[int, int, int]]]):
+    # All lengths' slots end to end, by (length, first rank): one search finds the slot of every piece of a batch.
+    rows = np.array([(length, *slot) for length in sorted(slots) for slot in slots[length]], np.int64).reshape(-1, 4)
+    longest = int(rows[:, 1].max(initial=0)) + 1
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for length, rank in zip(batch.column("length").to_pylist(), batch.column("rank").to_pylist(), strict=True):
-                ranks, bins, offsets = slots[length]
-                k = bisect_right(ranks, rank) - 1
-                found.append((bins[k] + rank - ranks[k], offsets[k]))
-            columns = list(zip(*found, strict=True)) if found else [(), ()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            at = np.searchsorted(rows[:, 0] * longest + rows[:, 1], length * longest + np.minimum(rank, longest - 1), side="right") - 1
+            found = [pa.array(rows[at, 2] + rank - rows[at, 1]), pa.array(rows[at, 3])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), *found], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     return place
 
@@ -147,7 +151,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = T
     """
     pieces = materialise(cut_pieces(docs, capacity, tokenizer), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    slots = {length: tuple(list(x) for x in zip(*own, strict=True)) for length, own in bin_slots(best_two_fit(counts, capacity)).items()}
+    slots = bin_slots(best_two_fit(counts, capacity))
     order = [F.col("doc_id").asc_nulls_first(), F.col("piece"), F.col("ids_crc32")]
-    ranked = number_within(pieces, ["length"], F.xxhash64("doc_id", "piece"), order, sum(counts.values()), "rank")
+    ranked = number_within(pieces, ["length"], F.xxhash64("doc_id", "piece", "ids_crc32"), order, sum(counts.values()), "rank")
     return ranked.mapInArrow(_placer(slots), f"{PIECES}, sequence_id long, offset long")
