@@ -1,10 +1,12 @@
 """Benchmark decontamination: MinHash containment search, confirmed by exact shingle containment.
 
-DataFrame functions only. The size of a test item's shingle set only sets the length of its sketch; the search joins on
-the hash alone and is not partitioned by size. Each item keeps a bottom-k MinHash sketch whose k follows from its size: ``n - ceil(0.8 n) + 1`` of its least hashes. A document that holds 80 % of an
-item's shingles misses fewer than k of them, so it holds one of the sketch at least: the search loses nothing. A
-document's shingle hashes stream past the sketches where it is read; only documents that hit one are read again and
-held against the items on the shingles' own text.
+DataFrame functions only. Items are partitioned by the size of their shingle sets, and a partition's parameters follow
+from its bounds: its upper size u sets the length of its bottom-k MinHash sketches, ``k = u - ceil(0.8 u) + 1``, and its
+lower size the least shingles that a document must have. A document that holds 80 % of an item's n shingles misses at
+most ``n - ceil(0.8 n)`` of them, fewer than k, so it holds one of the sketch at least: the search loses nothing. A
+document's shingle hashes stream past the partitions where it is read; a partition is probed with a hash only if the
+document is large enough for it and the hash is within its sketches' range. Only documents that hit a sketch are read
+again and held against the items on the shingles' own text.
 """
 
 from __future__ import annotations
@@ -48,18 +50,39 @@ def text_of(words: Column) -> Column:
 
 
 def item_sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(item_id, size_class, sketch): one row a sketched hash; the size class is the bit length of the set's size."""
+    """(item_id, size_class, n, sketch): one row a sketched hash.
+
+    The size class is the bit length of the set's size; the largest set of a class sets the length of all its sketches.
+    """
     hashes = F.array_sort(F.array_distinct(windows(words_of(F.col("text")), hash_of)))
     sized = items.select("item_id", hashes.alias("hashes")).withColumn("n", F.size("hashes")).where("n > 0")
-    least = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    return sized.select("item_id", F.length(F.bin(F.col("n").cast("long"))).alias("size_class"), F.explode(F.slice("hashes", F.lit(1), least)).alias("sketch"))
+    sized = sized.withColumn("size_class", F.length(F.bin(F.col("n").cast("long"))))
+    upper = sized.groupBy("size_class").agg(F.max("n").alias("upper"))
+    length = F.col("upper") - F.ceil(F.col("upper") * percent / 100).cast("int") + 1
+    # A size has 32 bits at most, so there are 32 classes at most.
+    return sized.join(F.broadcast(upper), "size_class").select("item_id", "size_class", "n", F.explode(F.slice("hashes", F.lit(1), length)).alias("sketch"))
+
+
+def size_partitions(sketches: DataFrame, percent: int = PERCENT) -> list[tuple[int, int, int]]:
+    """(size class, least shingles of a document, greatest sketched hash) of each partition; 32 rows at most."""
+    bounds = sketches.groupBy("size_class").agg(F.min("n").alias("least"), F.max("sketch").alias("greatest")).orderBy("size_class")
+    return [(r["size_class"], -(-r["least"] * percent // 100), r["greatest"]) for r in bounds.collect()]
+
+
+def probes(docs: DataFrame, partitions: list[tuple[int, int, int]]) -> DataFrame:
+    """(doc_id, size_class, sketch): the hashes of each document (doc_id, words) and the partitions it probes with them."""
+    hashes = docs.select("doc_id", windows(F.col("words"), hash_of).alias("hashes")).withColumn("m", F.size("hashes"))
+    each = hashes.select("doc_id", "m", F.explode("hashes").alias("sketch"))
+    fits = [F.when((F.col("m") >= least) & (F.col("sketch") <= greatest), F.lit(size_class)) for size_class, least, greatest in partitions]
+    return each.select("doc_id", "sketch", F.explode(F.array_compact(F.array(*fits, F.lit(None).cast("int")))).alias("size_class"))
 
 
-def hit_documents(docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(doc_id, item_id) pairs where the document holds a sketched hash of the item."""
+def hit_documents(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, item_id) pairs where the document holds a sketched hash of the item, found partition by partition."""
     few = sketches.count() <= BROADCAST_SKETCHES
-    hashes = docs.select("doc_id", F.explode(windows(F.col("words"), hash_of)).alias("sketch"))
-    return hashes.join(F.broadcast(sketches) if few else sketches, "sketch").select("doc_id", "item_id").distinct()
+    asked = probes(docs, size_partitions(sketches, percent))
+    own = sketches.select("size_class", "sketch", "item_id")
+    return asked.join(F.broadcast(own) if few else own, ["size_class", "sketch"]).select("doc_id", "item_id").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -74,7 +97,7 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
     items = items.select("item_id", "text").where("item_id is not null")
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     sketches = materialise(item_sketches(items, percent).distinct(), "sketches")
-    hits = materialise(hit_documents(docs.select("doc_id", words_of(F.col("text")).alias("words")), sketches), "hits")
+    hits = materialise(hit_documents(docs.select("doc_id", words_of(F.col("text")).alias("words")), sketches, percent), "hits")
     ids = hits.select("doc_id").distinct()
     again = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     own = again.select("doc_id", F.array_distinct(windows(words_of(F.col("text")), text_of)).alias("doc_shingles"))
