@@ -30,13 +30,17 @@ KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: of these characters, whatever whitespace stands in or before its brace.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([eCDI][A-Za-z0-9_-]{7,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*))")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{48,}={0,2}")
+#: A further line of a wrapped run.
+NEXT_LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})(?![A-Za-z0-9+/_=-])")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
 #: Line ends and slashes as string literals and JSON write them, once or more often escaped.
 ESCAPED_END, ESCAPED_SLASH = re.compile(r"\\+(?:[rnt]|u000[9aAdD])"), re.compile(r"\\+/")
 #: Headers of encrypted traditional keys; they may stand in one line with the body if line ends were lost.
 ENCRYPTED = re.compile(r"Proc-Type:\s*\d\s*,\s*ENCRYPTED\b")
-DEK_INFO = re.compile(r"DEK-Info:\s*[A-Za-z0-9-]+(?:\s*,\s*[0-9A-Fa-f]+)?")
+DEK_INFO = re.compile(r"DEK-Info:\s*([A-Za-z0-9-]+)(?:\s*,\s*([0-9A-Fa-f]+))?")
+#: What the ciphers of encrypted traditional keys start from, in hex digits, and the least block and key they give, in bytes.
+VECTOR_DIGITS, CIPHER_BLOCK, LEAST_SEALED = (16, 32), 8, 48
 OPENSSH_MAGIC = b"openssh-key-v1\0"
 #: Object identifiers of key algorithms, in DER: RSA, EC, Ed25519, Ed448, X25519, DSA.
 KEY_OIDS = tuple(bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2b6570", "2b6571", "2b656e", "2a8648ce380401"))
@@ -133,11 +137,41 @@ def json_object(text: str) -> dict | None:
 
 
 def armoured(body: str) -> tuple[bytes | None, bool]:
-    """What the body of PEM armour decodes to (None if it is no base64), and whether its headers say that it is encrypted."""
+    """What the body of PEM armour decodes to (None if it is no base64), and whether it is an encrypted traditional key.
+
+    Such a key has both headers, a vector of a cipher's size, and whole cipher blocks.
+    """
     plain = ESCAPED_SLASH.sub("/", ESCAPED_END.sub("\n", body))
-    bare, encrypted = ENCRYPTED.subn("\n", plain)
+    bare, marked = ENCRYPTED.subn("\n", plain)
+    cipher = DEK_INFO.search(bare)
     lines = (x for x in DEK_INFO.sub("\n", bare).splitlines() if ":" not in x)
-    return decode64("".join("".join(lines).split())), bool(encrypted)
+    data = decode64("".join("".join(lines).split()))
+    sealed = bool(marked and cipher and len(cipher[2] or "") in VECTOR_DIGITS)
+    return data, sealed and data is not None and len(data) >= LEAST_SEALED and len(data) % CIPHER_BLOCK == 0
+
+
+def key_kind(data: bytes | None) -> str | None:
+    """The kind of key that the bytes are."""
+    if not data:
+        return None
+    return "openssh" if is_openssh_key(data) else "der" if is_private_der(data) else None
+
+
+def wrapped_key(text: str, first: re.Match) -> tuple[int, str] | None:
+    """(end, kind) of the key that starts with the run ``first`` and may go on in lines of equal width, the last one shorter."""
+    lines, ends = [first[0]], [first.end()]
+    while not lines[-1].endswith("=") and (more := NEXT_LINE.match(text, ends[-1])):
+        if len(lines) > 1 and len(more[1]) > len(lines[1]):
+            break
+        lines.append(more[1])
+        ends.append(more.end())
+        if len(lines) > 2 and len(more[1]) < len(lines[1]):
+            break
+    # What looks like a last line may be the text that follows.
+    for n in {len(lines), len(lines) - 1, 1} - {0}:
+        if kind := key_kind(decode64("".join(lines[:n]))):
+            return ends[n - 1], kind
+    return None
 
 
 def structural_spans(text: str) -> list[tuple[int, int, str]]:
@@ -157,17 +191,15 @@ def structural_spans(text: str) -> list[tuple[int, int, str]]:
             data, encrypted = armoured(m[2])
             if data and (encrypted or is_private_der(data) or is_openssh_key(data)):
                 found.append((m.start(), m.end(), "pem"))
+    end = 0
     for m in RUN.finditer(text):
         # A DER sequence or the OpenSSH magic shows in the first characters; nothing else is decoded.
-        if m[0][0] == "M" or m[0].startswith("b3BlbnNzaC"):
-            data = decode64(m[0])
-            if data and is_openssh_key(data):
-                found.append((m.start(), m.end(), "openssh"))
-            elif data and is_private_der(data):
-                found.append((m.start(), m.end(), "der"))
+        if m.start() >= end and (m[0][0] == "M" or m[0].startswith("b3BlbnNzaC")) and (key := wrapped_key(text, m)):
+            end = key[0]
+            found.append((m.start(), *key))
     for m in LONG_HEX.finditer(text):
-        if m[0].startswith("30") and len(m[0]) % 2 == 0 and is_private_der(bytes.fromhex(m[0])):
-            found.append((m.start(), m.end(), "der"))
+        if len(m[0]) % 2 == 0 and m[0][:2].lower() in {"30", "6f"} and (kind := key_kind(bytes.fromhex(m[0]))):
+            found.append((m.start(), m.end(), kind))
     return found
 
 
