@@ -19,9 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or (unset, as in tests) one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Unset, a local master (tests) gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -8,10 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.llm.common import materialise
+
 #: Characters that one numpy pass takes at most, unless a single text is longer.
 CHUNK_CHARS = 1_500_000
-#: Labels that a sample covers, the most frequent ones.
-MAX_LABELS = 256
+#: Labels whose rates may be broadcast; more are joined by a shuffle.
+BROADCAST_LABELS = 100_000
 #: Characters of the longest text that a sample takes, so that no single text uses up its budget.
 LONGEST_SAMPLED = 1_000_000
 #: Odd multipliers of the characters of an n-gram, and of the final mix.
@@ -64,15 +66,16 @@ def held_out() -> Column:
 
 
 def stratified_ids(df: DataFrame, label: str, per_class: int, total: int) -> DataFrame:
-    """About ``per_class`` rows (doc_id, label) of each of the MAX_LABELS most frequent labels, ``total`` at most in all.
+    """About ``per_class`` rows (doc_id, label) of each label, ``total`` at most in all.
 
-    A row is taken if the hash of its id falls below its label's rate; no label's rows have to meet in one task.
+    A row is taken if the hash of its id falls below its label's rate; no label's rows have to meet in one task. No
+    label is left out beforehand; with more than ``total`` of them, those whose rows come first by hash are taken.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), label).limit(MAX_LABELS)
-    rates = [(r[label], min(1.0, 1.2 * per_class / r["__n"])) for r in counts.collect()]
-    known = df.sparkSession.createDataFrame(rates, f"`{label}` {df.schema[label].dataType.simpleString()}, __rate double")
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    rates = materialise(counts.select(label, F.least(F.lit(1.0), F.lit(1.2 * per_class) / F.col("__n")).alias("__rate")), "label-rates")
+    few = rates.count() <= BROADCAST_LABELS
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    taken = df.select("doc_id", label).join(F.broadcast(known), label).where(draw < F.col("__rate"))
+    taken = df.select("doc_id", label).join(F.broadcast(rates) if few else rates, label).where(draw < F.col("__rate"))
     return taken.orderBy(F.xxhash64("doc_id"), "doc_id").limit(total).select("doc_id", label)
 
 
