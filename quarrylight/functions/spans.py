@@ -8,21 +8,33 @@ from pyspark.sql import functions as F
 FLAGS = "(?iU)"
 
 
+#: Matches that one inner fold takes; a fold copies its array at every step, so long lists are folded in two levels.
+CHUNK = 64
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<text,start,end>> of a pattern's matches, leftmost and non-overlapping; ends are exclusive."""
     regex = FLAGS + pattern
-    found = F.regexp_extract_all(text, F.lit(regex), 0)
-    gaps = F.split(text, regex, -1)
     empty = F.array().cast("array<struct<text:string,start:int,end:int>>")
 
     def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
+        start = state["at"] + pair["gap"]
         end = start + F.length(pair["hit"])
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(pair["hit"].alias("text"), start.alias("start"), end.alias("end")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(F.size(found) > 0, folded).otherwise(empty)
+    def chunk(state: Column, pairs: Column) -> Column:
+        inner = F.array(F.aggregate(pairs, F.struct(state["at"].alias("at"), empty.alias("out")), step))
+        return F.get(F.transform(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(state["out"], x["out"]).alias("out"))), F.lit(0))
+
+    def placed(found: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, regex, -1), F.lit(1), F.size(found)), F.length)
+        pairs = F.array(F.zip_with(gaps, found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))))
+        cut = F.flatten(F.transform(pairs, lambda own: F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / CHUNK).cast("int")), lambda k: F.slice(own, k * CHUNK + 1, F.lit(CHUNK)))))
+        return F.aggregate(cut, F.struct(F.lit(0).alias("at"), empty.alias("out")), chunk, lambda s: s["out"])
+
+    # Bound to a lambda's variable, the hits are sought once; a text without any is not split.
+    hits = F.array(F.regexp_extract_all(text, F.lit(regex), 0))
+    return F.get(F.transform(hits, lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(empty)), F.lit(0))
 
 
 def hit(text: Column, pattern: str) -> Column:

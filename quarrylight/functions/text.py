@@ -66,6 +66,17 @@ def shingles(key: Column, n: int = 3) -> Column:
     return F.flatten(F.transform(F.array(words(key)), of))
 
 
+def hashed_shingles(key: Column, n: int = 3) -> Column:
+    """The same n-grams as 64-bit hashes (T23): a join or a count on them shuffles eight bytes an n-gram."""
+
+    def of(own: Column) -> Column:
+        size = F.size(own)
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(own, i, n)))
+        return F.when(size == 0, F.array().cast("array<bigint>")).when(size < n, F.array(F.xxhash64(own))).otherwise(F.array_distinct(grams))
+
+    return F.flatten(F.transform(F.array(words(key)), of))
+
+
 def sentence_case(text: Column, share: float = 0.6) -> Column:
     """A text of mostly capitals in sentence case."""
     upper, letters = F.length(F.regexp_replace(text, "[^A-Z]", "")), F.length(F.regexp_replace(text, "[^A-Za-z]", ""))

@@ -178,10 +178,26 @@ def grouped_split(df: DataFrame, group: str, strata: list[str], seed: int, dev:
     return sized.select(group, *strata, side.alias("split"))
 
 
+def numbered(df: DataFrame, by: list[str], digest: str, order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's place from 1 in its group, ordered by a hex digest and then ``order``.
+
+    Blocks of equal first digits are numbered apart and follow each other, so that a group of a third of all rows is
+    many small sorts and not one; only the block sizes meet by group.
+    """
+    block, ahead = f"__{name}_block", f"__{name}_ahead"
+    dealt = df.withColumn(block, F.substring(digest, 1, 3))
+    sizes = dealt.groupBy(*by, block).agg(F.count(F.lit(1)).alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*(F.col(c).alias(f"__{c}") for c in by), F.col(block).alias(f"__{block}"), before.alias(ahead))
+    inside = dealt.withColumn(name, F.row_number().over(Window.partitionBy(*by, block).orderBy(digest, *order)))
+    same = [inside[c].eqNullSafe(starts[f"__{c}"]) for c in by] + [inside[block].eqNullSafe(starts[f"__{block}"])]
+    return inside.join(starts, reduce(Column.__and__, same)).withColumn(name, F.col(name) + F.col(ahead)).select(*df.columns, name)
+
+
 def folds(df: DataFrame, key: str, cls: str, text: str, n: int = 5) -> DataFrame:
     """Fold of each row: its place in the class's order by SHA-1 of the text, modulo ``n``."""
-    place = F.row_number().over(Window.partitionBy(cls).orderBy(F.sha1(F.col(text)), key))
-    return df.select(key, cls, F.pmod(place - 1, F.lit(n)).alias("fold"))
+    placed = numbered(df.select(key, cls, F.sha1(F.col(text)).alias("__digest")), [cls], "__digest", [F.col(key)], "__place")
+    return placed.select(key, cls, F.pmod(F.col("__place") - 1, F.lit(n)).alias("fold"))
 
 
 def capped(df: DataFrame, by: list[str], order: list[Column], cap: int) -> DataFrame:
@@ -204,8 +220,8 @@ def enforce_quotas(df: DataFrame, cls: str, key: str, shares: dict[str, float],
             break
         kept = now
     limits = reduce(lambda e, c: e.when(F.col(cls) == c, kept[c]), kept, F.when(F.lit(False), 0)).otherwise(F.lit(1 << 62))
-    place = F.row_number().over(Window.partitionBy(cls).orderBy(F.md5(F.col(key).cast("string")), key))
-    return df.withColumn("__n", place).where(F.col("__n") <= limits).drop("__n")
+    placed = numbered(df.withColumn("__digest", F.md5(F.col(key).cast("string"))), [cls], "__digest", [F.col(key)], "__n")
+    return placed.where(F.col("__n") <= limits).select(*df.columns)
 
 
 def binary_metrics(df: DataFrame, truth: Column, predicted: Column, by: list[str] | None = None, beta: float = 2.0) -> DataFrame:
@@ -217,9 +233,21 @@ def binary_metrics(df: DataFrame, truth: Column, predicted: Column, by: list[str
 
 
 def threshold_sweep(df: DataFrame, score: Column, protected: Column, cuts: list[float]) -> DataFrame:
-    """At each cut: protected rows lost and other rows caught below it."""
-    table = df.sparkSession.createDataFrame([(c,) for c in cuts], "cut double")
-    return df.select(score.alias("s"), protected.alias("keep")).crossJoin(F.broadcast(table)).groupBy("cut").agg(F.count_if(F.expr("keep and s < cut")).alias("lost"), F.count_if(F.expr("not keep and s < cut")).alias("caught"))
+    """At each cut: protected rows lost and other rows caught below it.
+
+    A row is counted once, under the first cut above its score; the cuts' counts are running sums of those.
+    """
+    ordered = sorted(cuts)
+    first = reduce(lambda e, c: e.when(F.col("s") < c, c), ordered, F.when(F.lit(False), 0.0))
+    counts = df.select(score.alias("s"), protected.alias("keep")).groupBy(first.alias("cut")).agg(F.count_if(F.expr("keep")).alias("lost"), F.count_if(F.expr("not keep")).alias("caught"))
+    table = df.sparkSession.createDataFrame([(c,) for c in ordered], "cut double").join(counts, "cut", "left")
+    upto = Window.orderBy("cut").rowsBetween(Window.unboundedPreceding, 0)
+    return table.select("cut", F.sum(F.coalesce("lost", F.lit(0))).over(upto).alias("lost"), F.sum(F.coalesce("caught", F.lit(0))).over(upto).alias("caught"))
+
+
+def safe_cut(sweep: DataFrame, floor: float) -> DataFrame:
+    """The highest cut from ``floor`` on that loses no protected row, and what it catches; no row if every cut loses one."""
+    return sweep.where((F.col("cut") >= floor) & (F.col("lost") == 0)).orderBy(F.desc("cut")).limit(1)
 
 
 def sessions(df: DataFrame, by: list[str], ts: str, gap_seconds: int) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import dedup_key, word_count, words
 
+#: Prototypes that every vector may be held against.
+MAX_PROTOTYPES = 20_000
+
 # Stop words of the language test.
 STOP_WORDS = {
     "en": ("the", "of", "and", "to", "in", "is", "that", "for", "was", "with", "on", "as", "are", "this", "be", "by"),
@@ -46,28 +51,41 @@ def mine_terms(df: DataFrame, text: str, role: str, least_n: int, share: float,
 
 
 def reused_ngrams(df: DataFrame, text: str, by: list[str], n: int, least: int) -> DataFrame:
-    """How many word n-grams of each group stand in ``least`` places or more, and the most frequent one's count."""
-    grams = F.flatten(F.transform(F.array(words(dedup_key(F.col(text)))), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))))
+    """How many word n-grams of each group stand in ``least`` places or more, and the most frequent one's count.
+
+    N-grams are hashed to 64 bits where they are read; (group, hash, count) is all that is shuffled.
+    """
+    grams = F.flatten(F.transform(F.array(words(dedup_key(F.col(text)))), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(F.array().cast("array<bigint>"))))
     counts = df.select(*by, F.explode(grams).alias("g")).groupBy(*by, "g").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(*by).agg(F.count(F.lit(1)).alias("ngrams"), F.count_if(F.col("n") >= least).alias("reused"), F.max("n").alias("most"))
 
 
+def _diversity(frame: int):
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key in batch.column(1).to_pylist():
+                own = (key or "").split()
+                width, last, opened = min(frame, len(own)), {}, 0
+                for at, w in enumerate(own):
+                    # A word opens a type in the windows that start after its previous occurrence and hold it.
+                    opened += max(0, min(at, len(own) - width) - max(0, at - width + 1, last.get(w, -1) + 1) + 1)
+                    last[w] = at
+                rows.append((len(own), len(last), opened, width))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 4))], names=[batch.schema.names[0], "words", "types", "opened", "width"])
+
+    return measure
+
+
 def lexical_diversity(df: DataFrame, key: str, text: str, frame: int = 50) -> DataFrame:
     """Words, type-token ratio and its moving average over ``frame`` words, by document.
 
-    A window adds one type for each word whose last occurrence stands before the window, so the moving average follows
-    from each word's distance to its previous occurrence: no window's words are gathered.
+    The moving average follows from each word's distance to its previous occurrence, in one pass over a text where it
+    is read: nothing is shuffled. Texts without words are left out.
     """
-    each = df.select(key, F.posexplode(words(dedup_key(F.col(text)))).alias("at", "w"))
-    gap = F.col("at") - F.lag("at").over(Window.partitionBy(key, "w").orderBy("at"))
-    size = F.count(F.lit(1)).over(Window.partitionBy(key))
-    placed = each.withColumn("gap", gap).withColumn("n", size).withColumn("width", F.least(F.lit(frame), size))
-    # A word opens a type in the windows that start after its previous occurrence and hold it.
-    first = F.greatest(F.lit(0), F.col("at") - F.col("width") + 1, F.coalesce(F.col("at") - F.col("gap") + 1, F.lit(0)))
-    last = F.least(F.col("at"), F.col("n") - F.col("width"))
-    opened = placed.withColumn("windows", F.greatest(last - first + 1, F.lit(0)))
-    out = opened.groupBy(key).agg(F.max("n").alias("words"), F.count_if(F.col("gap").isNull()).alias("types"), F.sum("windows").alias("opened"), F.max("width").alias("width"))
-    return out.select(key, "words", (F.col("types") / F.col("words")).alias("ttr"), (F.col("opened") / F.col("width") / (F.col("words") - F.col("width") + 1)).alias("mattr"))
+    kind = df.schema[key].dataType.simpleString()
+    found = df.select(key, dedup_key(F.col(text)).alias("__key")).mapInArrow(_diversity(frame), f"`{key}` {kind}, words long, types long, opened long, width long").where("words > 0")
+    return found.select(key, "words", (F.col("types") / F.col("words")).alias("ttr"), (F.col("opened") / F.col("width") / (F.col("words") - F.col("width") + 1)).alias("mattr"))
 
 
 def source_audit(df: DataFrame, by: str, text: str, label: str) -> DataFrame:
@@ -104,15 +122,17 @@ def first_rule(text: Column, table: list[tuple[str, str]], default: str) -> Colu
 def nearest_prototypes(vectors: DataFrame, prototypes: DataFrame, floor: float, margin: float) -> DataFrame:
     """Best and second class of each vector by the cosine of its best prototype, accepted above a floor and margin.
 
-    ``prototypes`` (label, proto) is a small fixed set for each label; it is broadcast after a check of its size.
+    ``prototypes`` (label, proto) is a small fixed set for each label; more than MAX_PROTOTYPES are refused, as every
+    vector is held against each.
     """
-    few = prototypes.count() <= 20_000
+    if prototypes.count() > MAX_PROTOTYPES:
+        raise ValueError(f"more than {MAX_PROTOTYPES} prototypes")
     unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
     own = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     proto = prototypes.select("proto_label", unit(F.col("proto").cast("array<double>")).alias("p"))
     dot = F.aggregate(F.zip_with("v", "p", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))
-    scored = own.crossJoin(F.broadcast(proto) if few else proto).withColumn("cos", dot / norm)
+    scored = own.crossJoin(F.broadcast(proto)).withColumn("cos", dot / norm)
     best = scored.groupBy("vec_id", "proto_label").agg(F.max("cos").alias("cos"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cos"), "proto_label"))).where("rank <= 2")
     wide = ranked.groupBy("vec_id").agg(F.max(F.when(F.col("rank") == 1, F.col("proto_label"))).alias("best"), F.max(F.when(F.col("rank") == 1, F.col("cos"))).alias("score"), F.max(F.when(F.col("rank") == 2, F.col("cos"))).alias("second"))

@@ -282,7 +282,12 @@ def shortest_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.capped(read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.asc("n_chars"), F.asc("doc_id")], 10)
 
 
-@query()
+@query("""
+WITH RECURSIVE n AS (SELECT count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang IS NULL OR lang NOT IN ('en', 'fr', 'de', 'es')) AS o FROM documents),
+f(i, en, fr, de, es, o) AS (SELECT 0, en, fr, de, es, o FROM n UNION ALL SELECT i + 1, least(en, floor(0.4::DOUBLE * 1.1::DOUBLE * (en + fr + de + es + o))::BIGINT), least(fr, floor(0.2::DOUBLE * 1.1::DOUBLE * (en + fr + de + es + o))::BIGINT),
+  least(de, floor(0.2::DOUBLE * 1.1::DOUBLE * (en + fr + de + es + o))::BIGINT), least(es, floor(0.2::DOUBLE * 1.1::DOUBLE * (en + fr + de + es + o))::BIGINT), o FROM f WHERE i < 60),
+k AS (SELECT * FROM f WHERE i = 60), r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS place FROM documents)
+SELECT doc_id, lang FROM r, k WHERE place <= CASE lang WHEN 'en' THEN en WHEN 'fr' THEN fr WHEN 'de' THEN de WHEN 'es' THEN es ELSE 1 << 61 END""")
 def quota_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.enforce_quotas(read(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}, 1.1)
 
@@ -306,6 +311,15 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.threshold_sweep(scored, F.col("n_chars").cast("double"), F.col("quality") == 1, [250.0, 500.0, 1000.0, 2000.0, 4000.0])
 
 
+@query("""WITH c AS (SELECT unnest([10.0, 25.0, 50.0, 100.0, 250.0, 500.0])::DOUBLE AS cut), d AS (SELECT n_chars::DOUBLE AS s, quality = 1 AS k FROM documents JOIN labels USING (doc_id)),
+w AS (SELECT cut, count(*) FILTER (k AND s < cut) AS lost, count(*) FILTER (NOT k AND s < cut) AS caught FROM c CROSS JOIN d GROUP BY 1)
+SELECT cut, lost, caught FROM w WHERE lost = 0 AND cut >= 10 ORDER BY cut DESC LIMIT 1""")
+def chosen_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length cut that loses no good document and catches most others."""
+    scored = read(spark, sf_dir, "documents").select("doc_id", "n_chars").join(read(spark, sf_dir, "labels"), "doc_id")
+    return A.safe_cut(A.threshold_sweep(scored, F.col("n_chars").cast("double"), F.col("quality") == 1, [10.0, 25.0, 50.0, 100.0, 250.0, 500.0]), 10.0)
+
+
 @query("""SELECT lang, round(avg(n_chars) FILTER (quality = 1), 6) AS mean_good, round(avg(n_chars) FILTER (quality = 0), 6) AS mean_bad,
   round(count(*) FILTER (quality = 1 AND n_chars < 1000) / nullif(count(*) FILTER (n_chars < 1000), 0), 6) AS p_good_short, round(covar_pop(n_chars, quality) / nullif(stddev_pop(n_chars) * stddev_pop(quality), 0), 6) AS r
 FROM documents JOIN labels USING (doc_id) GROUP BY 1""")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +10,12 @@ from pyspark.sql import functions as F
 from quarrylight.functions import text as T
 from quarrylight.functions.spans import matches
 from quarrylight.operators import corpus as C
-from quarrylight.operators.dedup import exact_duplicates, mark_duplicates, near_pairs
+from quarrylight.operators.dedup import exact_duplicates, mark_duplicates, near_pairs, shared_folder
 from quarrylight.operators.scoring import score
 from quarrylight.plans.tables import read
 from quarrylight.sources import html as H
 from quarrylight.sources.files import unify
-from quarrylight.streaming.events import read_stream, run_available, windowed_counts
+from quarrylight.streaming.events import read_stream, run_complete, windowed_counts
 
 QUERIES, ORACLE = {}, {}
 
@@ -144,13 +143,15 @@ TERMS = "idiot|moron|password|license|the"
 
 
 @query(rf"""
-SELECT doc_id, len(m) AS n, list_sum(list_transform(m, lambda x: length(x))) AS chars, position(m[1] IN text) - 1 <= length(text) AS inside
-FROM (SELECT doc_id, text, regexp_extract_all(text, '(?i)({TERMS})') AS m FROM documents) WHERE len(m) > 0""")
+WITH m AS (SELECT doc_id, regexp_extract_all(text, '(?i)({TERMS})') AS m, string_split_regex(text, '(?i)({TERMS})') AS g FROM documents),
+u AS (SELECT doc_id, unnest(m) AS hit, unnest(g[1 : len(m)]) AS gap, unnest(range(len(m))) AS k FROM m WHERE len(m) > 0),
+e AS (SELECT doc_id, k, length(hit) AS n, (sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT AS e FROM u)
+SELECT doc_id, count(*) AS n, sum(n)::BIGINT AS chars, sha1(string_agg((e - n) || ':' || e, ',' ORDER BY k)) AS spans_sha1 FROM e GROUP BY 1""")
 def span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Term spans with offsets, summed by document; each span is the text at its offsets."""
-    found = read(spark, sf_dir, "documents").select("doc_id", "text", matches(F.col("text"), f"({TERMS})").alias("m")).where(F.size("m") > 0)
-    exact = F.forall("m", lambda s: F.col("text").substr(s["start"] + 1, s["end"] - s["start"]) == s["text"])
-    return found.select("doc_id", F.size("m").cast("long").alias("n"), F.aggregate("m", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("chars"), exact.alias("inside"))
+    """Term spans by document, with a digest of all their offsets."""
+    found = read(spark, sf_dir, "documents").select("doc_id", matches(F.col("text"), f"({TERMS})").alias("m")).where(F.size("m") > 0)
+    offsets = F.array_join(F.transform("m", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", F.size("m").cast("long").alias("n"), F.aggregate("m", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("chars"), F.sha1(offsets).alias("spans_sha1"))
 
 
 @query()
@@ -167,20 +168,43 @@ def scored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("role", "verdict").agg(F.count(F.lit(1)).alias("n"), F.count_if("review_required").alias("to_review"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title,
-  len(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref\s*=\s*["'']([^"''#]+)', 1)) > 0 AS has_links, regexp_matches(html, '(?i)<script') AS had_script FROM pages""")
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+@query(rf"""
+WITH h AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref\s*=\s*["'']([^"''#]+)', 1)) AS h FROM pages),
+a AS (SELECT page_id, CASE WHEN regexp_matches(h, '{SCHEME}') THEN h WHEN h LIKE '//%' THEN regexp_extract(url, '{SCHEME}') || h WHEN h LIKE '/%' THEN regexp_extract(url, '{SCHEME}//[^/?#]+') || h
+  ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || h END AS l FROM h),
+l AS (SELECT page_id, string_agg(DISTINCT l, ' ' ORDER BY l) AS links FROM a WHERE NOT regexp_matches(l, '(?i)^(javascript|mailto|data):') GROUP BY 1)
+SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, coalesce(links, '') AS links FROM pages LEFT JOIN l USING (page_id)""")
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title and links of every page."""
-    pages = read(spark, sf_dir, "pages")
-    return pages.select("page_id", F.coalesce(H.title(F.col("html")), F.lit("")).alias("title"), (F.size(H.links(F.col("html"), F.col("url"))) > 0).alias("has_links"), F.col("html").rlike("(?i)<script").alias("had_script"))
+    """Title and absolute links of every page."""
+    found = F.array_join(F.array_sort(H.links(F.col("html"), F.col("url"))), " ")
+    return read(spark, sf_dir, "pages").select("page_id", F.coalesce(H.title(F.col("html")), F.lit("")).alias("title"), found.alias("links"))
 
 
-@query()
+def _visible_sql() -> str:
+    text = "html"
+    for element in H.DROPPED.split("|"):
+        text = rf"regexp_replace({text}, '<{element}\b[^>]*>.*?</{element}\s*>', ' ', 'gis')"
+    text = rf"regexp_replace(regexp_replace({text}, '<!--.*?-->', ' ', 'gs'), '<br\s*/?>|</(p|div|li|h[1-6]|tr|article|section)\s*>', chr(10), 'gi')"
+    text = f"regexp_replace({text}, '<[^>]+>', ' ', 'g')"
+    for entity, plain in H.ENTITIES.items():
+        quoted = plain.replace("'", "''")
+        text = f"replace({text}, '{entity}', '{quoted}')"
+    lines = rf"list_transform(string_split(regexp_replace({text}, '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\x0B\f]+', ' ', 'g')))"
+    return rf"trim(regexp_replace(array_to_string({lines}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'))"
+
+
+@query(rf"""
+WITH t AS (SELECT page_id, {_visible_sql()} AS text, trim(regexp_replace(lower(regexp_replace(url, '^[a-z]+://', '')), '[^a-z0-9]+', '-', 'g'), '-')[1 : 80] AS slug,
+  coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]+(?:published_time|date)["''][^>]+content=["''](\d{{4}}-\d\d-\d\d)', 1), ''), nullif(regexp_extract(html, '(?i)<time[^>]+datetime=["''](\d{{4}}-\d\d-\d\d)', 1), ''), nullif(regexp_extract(html, '\b(\d{{4}}-\d\d-\d\d)\b', 1), '')) AS d FROM pages)
+SELECT page_id, slug, TRY_CAST(d AS DATE) AS page_date, length(text) AS n_chars, sha1(text) AS text_sha1 FROM t""")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text, date and file name of every page."""
     pages = read(spark, sf_dir, "pages")
     text = H.visible_text(F.col("html"))
-    return pages.select("page_id", H.slug(F.col("url")).alias("slug"), H.page_date(F.col("html")).alias("page_date"), F.length(text).alias("n_chars"), F.sha1(text).alias("text_sha1"))
+    return pages.select("page_id", H.slug(F.col("url")).alias("slug"), H.page_date(F.col("html")).alias("page_date"), F.length(text).cast("long").alias("n_chars"), F.sha1(text).alias("text_sha1"))
 
 
 @query("""
@@ -223,15 +247,8 @@ def nearest_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def streamed_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts by event type from a stream over the events; beyond what users run today."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
-    out = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = read(spark, sf_dir, "events").schema
     events = read_stream(spark, f"{sf_dir}/events.parque[t]", schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = windowed_counts(events, "ts", ["event_type"], "1 day", "0 seconds")
-    run_available(counts, f"{out}/rows", f"{out}/state", "append")
-    rows = spark.read.schema("window_start timestamp, event_type string, n long").parquet(f"{out}/rows")
-    # The last window stays open in append mode; the batch side adds it.
-    batch = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    tail = batch.groupBy(F.window("ts", "1 day")["start"].alias("window_start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    whole = rows.unionByName(tail.join(rows, ["window_start", "event_type"], "left_anti"))
-    return whole.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    run_complete(windowed_counts(events, "ts", ["event_type"], "1 day", "0 seconds"), f"{out}/rows", f"{out}/state")
+    return spark.read.schema("window_start timestamp, event_type string, n long").parquet(f"{out}/rows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -24,3 +24,12 @@ def first_seen(reports: DataFrame, ts: str, text: str, late: str) -> DataFrame:
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process what is there, append it as Parquet, and stop."""
     df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_complete(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Process what is there and write the whole result of a streamed aggregation, open windows included."""
+
+    def replace(rows: DataFrame, _batch: int) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
+    df.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(replace).trigger(availableNow=True).start().awaitTermination()
