@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylight.plans import analytics, corpus
+from quarrylight.plans import analytics, corpus, curation
 
-PARTS = (analytics, corpus)
+PARTS = (analytics, corpus, curation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,13 +11,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.sources.html import visible_text
+
 # Header fragments of registers and the columns they map to, in the order in which they are tried.
 REGISTER_FRAGMENTS = [("description", "description"), ("observation", "description"), ("category", "category"), ("date", "date"), ("area", "area"), ("location", "location"), ("department", "department"), ("name", "reported_by"), ("status", "status"), ("action", "action"), ("risk", "risk"), ("remark", "remarks"), ("shift", "shift"), ("contractor", "contractor"), ("severity", "severity")]
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", keep: list[str] | None = None, drop_malformed: bool = False) -> DataFrame:
-    """A delimited file, all strings, header names trimmed; ``keep`` prunes at the scan."""
-    df = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).option("mode", "DROPMALFORMED" if drop_malformed else "PERMISSIVE").csv(path)
+def read_csv(spark: SparkSession, path: str, sep: str = ",", keep: list[str] | None = None, drop_malformed: bool = False, multiline: bool = True) -> DataFrame:
+    """A delimited file, all strings, header names trimmed; ``keep`` prunes at the scan.
+
+    Quoted values may hold line ends and doubled quotes. Such a file is read by one task; ``multiline=False`` splits
+    large files whose values stay on their line.
+    """
+    options = {"header": True, "sep": sep, "inferSchema": False, "multiLine": multiline, "escape": '"', "mode": "DROPMALFORMED" if drop_malformed else "PERMISSIVE"}
+    df = spark.read.options(**options).csv(path)
     df = df.toDF(*(c.strip() for c in df.columns))
     return df.select(*keep) if keep else df
 
@@ -42,13 +49,23 @@ def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return spark.read.parquet(path) if suffix == "parquet" else read_lines(spark, path)
 
 
+#: Suffixes whose bytes are text, and the most bytes that are unpacked from one archive.
+TEXT_SUFFIXES, ARCHIVE_BYTES = (".txt", ".csv", ".tsv", ".md", ".json", ".html", ".htm"), 64 << 20
+
+
 def _attachment_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def members(data: bytes) -> str:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            own = [i for i in sorted(z.infolist(), key=lambda i: i.filename) if i.filename.lower().endswith(TEXT_SUFFIXES)]
+            if sum(i.file_size for i in own) > ARCHIVE_BYTES:
+                raise ValueError("the archive unpacks to too much")
+            return "\n".join(z.read(i).decode("utf-8", "replace") for i in own)
+
     def text(path: str, data: bytes) -> str | None:
         try:
             if path.lower().endswith(".zip"):
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    return "\n".join(z.read(n).decode("utf-8", "replace") for n in sorted(z.namelist()) if n.lower().endswith((".txt", ".html", ".csv")))
-            return data.decode("utf-8", "replace")
+                return members(data)
+            return data.decode("utf-8") if path.lower().endswith(TEXT_SUFFIXES) else None
         except (zipfile.BadZipFile, OSError, ValueError):
             return None
 
@@ -57,8 +74,9 @@ def _attachment_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_attachments(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of text, HTML and zip files; what can't be read is null, not an error."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_attachment_text, "path string, text string")
+    """(path, text) of text, HTML (its visible text) and zip files; what is no text or can't be read is null, not an error."""
+    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_attachment_text, "path string, text string")
+    return raw.select("path", F.when(F.lower("path").rlike(r"\.html?$"), visible_text(F.col("text"))).otherwise(F.col("text")).alias("text"))
 
 
 def distinct_files(files: DataFrame, name_rank: Column) -> DataFrame:
@@ -104,10 +122,18 @@ def unify(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Nested values as JSON, with a header."""
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """Nested values as JSON, with a header; ``mark`` puts a UTF-8 byte order mark before it."""
     nested = [c for c, t in df.dtypes if t.startswith(("array", "map", "struct"))]
-    df.select(*(F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns)).write.mode("overwrite").option("header", True).csv(path)
+    flat = df.select(*(F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns))
+    if mark and flat.columns:
+        flat = flat.withColumnRenamed(flat.columns[0], "\ufeff" + flat.columns[0])
+    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """JSON lines."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def insert_absent(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
