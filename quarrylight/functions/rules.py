@@ -48,6 +48,8 @@ DEFAULT_HEIGHT = [("monkey ?board", 20.2), ("derrick|mast", 30.0), ("rig floor",
 VOLTS, BAR, CELSIUS, JOULES, GRAVITY = 50.0, 7.0, 65.0, 680.0, 9.81
 FATAL_BANDS = [(10.0, 2.0), (5.0, 3.0), (2.0, 6.0), (1.0, 10.0), (0.5, 15.0), (0.1, 25.0)]
 LIGHT_FATAL_HEIGHT = 30.0
+# Fixed value: metres from which the fall of a person is high energy.
+PERSON_FALL = 1.2
 
 # Phrases that the four questions look for.
 SERIOUS = r"\b(fatal\w*|died|death|killed|amputat\w+|fractur\w+|hospitalis\w+|hospitaliz\w+|surgery|concussion|unconscious|coma|paralys\w+|LTI|lost time|maut|mar gaya|haddi (?:toot|tut)\w*|2nd degree|3rd degree|second degree|third degree)\b"
@@ -62,27 +64,42 @@ OUTCOME_WORDS = r"\b(injur\w+|chot|damage|harm|casualt\w+|loss)\b"
 CONTROL_WORDS = r"\b(harness|barricad\w*|permit|PTW|LOTO|guard|SCBA|gas test|shoring|banksman|exclusion zone)\b"
 RELEASE_WORDS = r"\b(fall|fell|gir\w*|drop|release|contact|spill|leak)\b"
 
-# Severity of harms (3 serious to 0), and body parts; critical parts raise a 2 to 3.
+# Harms in both scripts, in the order in which they are tried.
 HARMS = {
-    "fatal": (r"fatal\w*|died|death|killed|maut|mar gaya|mrityu", 3), "amputation": (r"amputat\w+|kat ?ke alag|ungli kat gayi", 3),
-    "fracture": (r"fractur\w*|haddi (?:toot|tut)\w*", 3), "break": (r"toot gay[ai]|tut gay[ai]", 0), "unconscious": (r"unconscious|behosh|senseless|collapsed|coma", 3),
-    "asphyxia": (r"saans (?:nahi|rukh|band)\w*|dum ghut\w*|ghutan|suffocat\w*|asphyx\w*|breath(?:ing)? (?:difficult|problem|trouble)|breathless", 3),
-    "electric_shock": (r"electric shock|electrocut\w*|current laga|shock laga|jhatka laga", 3), "burn": (r"burn(?:t|ed|s|ing)?\b|jal gay[ai]|jhulas\w*|scald\w*", 3),
-    "chemical_irritation": (r"jalan|irritation|itch\w*|khujli|watering|paani aa (?:raha|rahi)|redness|laal ho gay[ai]|dhundhla|blurred|dikh(?:na|ai) (?:band|nahi)|chubh\w* raha", 2),
-    "poisoning": (r"ulti|vomit\w*|nausea|chakkar|dizzy|dizziness|giddy", 2), "crush": (r"crush\w*|kuchal\w*|dab gay[ai]|pinch\w*|fas gay[ai]|phas gay[ai]", 3),
-    "cut": (r"cut\b|kat gay[ai]|katne|laceration|bleeding|khoon (?:beh|nikal)\w*|deep wound|gash", 2),
-    "bruise": (r"bruise\w*|neel pad|contusion|swelling|sujan|soojan|sprain|moch|mooch|splinter|chubh gay[ai]|chubha|kaanta|scratch\w*|kharonch|rash", 1),
-    "generic": (r"injur\w+|chot (?:lag|aa)\w*|chot lagi|hurt|ghayal|zakhmi", 1),
-}
+    "fatal": r"fatal[\wऀ-ॿ]*|died|death|killed|maut|mar gaya|mrityu|मृत्यु|मर गया|मौत",
+    "amputation": r"amputat[\wऀ-ॿ]+|kat ?ke alag|ungli kat gayi|कट कर अलग",
+    "fracture": r"fractur[\wऀ-ॿ]*|haddi (?:toot|tut)[\wऀ-ॿ]*|हड्डी टूट[\wऀ-ॿ]*|फ्रैक्चर",
+    "break": r"toot gay[ai]|tut gay[ai]|टूट गय[ाी]",
+    "unconscious": r"unconscious|behosh|senseless|collapsed|coma|बेहोश|बेहोशी",
+    "asphyxia": r"saans (?:nahi|rukh|band)[\wऀ-ॿ]*|dum ghut[\wऀ-ॿ]*|ghutan|suffocat[\wऀ-ॿ]*|asphyx[\wऀ-ॿ]*|breath(?:ing)? (?:difficult|problem|trouble)|breathless|सांस (?:नहीं|रुक)[\wऀ-ॿ]*|दम घुट[\wऀ-ॿ]*",
+    "electric_shock": r"electric shock|electrocut[\wऀ-ॿ]*|current laga|shock laga|jhatka laga|करंट लग[\wऀ-ॿ]*|बिजली का झटका|झटका लग[\wऀ-ॿ]*",
+    "burn": r"burn(?:t|ed|s|ing)?\b|jal gay[ai]|jal gaya|jhulas[\wऀ-ॿ]*|scald[\wऀ-ॿ]*|जल गय[ाी]|जल गया|झुलस[\wऀ-ॿ]*",
+    "chemical_irritation": r"jalan|irritation|itch[\wऀ-ॿ]*|khujli|watering|paani aa (?:raha|rahi)|redness|laal ho gay[ai]|dhundhla|blurred|dikh(?:na|ai) (?:band|nahi)|chubh[\wऀ-ॿ]* raha|जलन|खुजली|लाल हो गय[ाी]|धुंधला",
+    "poisoning": r"ulti|vomit[\wऀ-ॿ]*|nausea|chakkar|dizzy|dizziness|giddy|उल्टी|चक्कर|बेचैनी",
+    "crush": r"crush[\wऀ-ॿ]*|kuchal[\wऀ-ॿ]*|dab gay[ai]|pinch[\wऀ-ॿ]*|fas gay[ai]|phas gay[ai]|कुचल[\wऀ-ॿ]*|दब गय[ाी]|फंस गय[ाी]",
+    "cut": r"\bcut\b|kat gay[ai]|kat gaya|katne|laceration|bleeding|khoon (?:beh|nikal)[\wऀ-ॿ]*|deep wound|gash|कट गय[ाी]|खून (?:बह|निकल)[\wऀ-ॿ]*|घाव",
+    "bruise": r"bruise[\wऀ-ॿ]*|neel pad|contusion|swelling|sujan|soojan|sprain|moch|mooch|splinter|chubh gay[ai]|chubha|kaanta|scratch[\wऀ-ॿ]*|kharonch|rash|नील|सूजन|मोच|खरोंच",
+    "generic": r"injur[\wऀ-ॿ]+|chot (?:lag|aa)[\wऀ-ॿ]*|chot lagi|hurt|ghayal|zakhmi|चोट|घायल|ज़ख्मी|जख्मी",
+}
+# Severity of harms, 3 (serious) to 0.
+HARM_LEVELS = {"fatal": 3, "amputation": 3, "fracture": 3, "unconscious": 3, "asphyxia": 3, "electric_shock": 3, "burn": 3, "crush": 3, "chemical_irritation": 2, "poisoning": 2, "cut": 2, "bruise": 1, "generic": 1, "break": 0}
+# Body parts in both scripts, in the order in which they are tried; critical parts raise a 2 to 3.
 BODY_PARTS = {
-    "eyes": r"aankh\w*|ankh\w*|eyes?|nazar", "head": r"sir\b|sar|head|skull|khopdi|forehead|matha", "face": r"face|chehra|chehre|mu(?:h|nh)|mouth|hoth|lips",
-    "airway": r"lungs?|phephde|saans|breath\w*|gala|throat|chest|seena|seene|nose|naak", "spine": r"spine|reedh|peeth|back\b|kamar|neck|gardan", "torso": r"pet|stomach|abdomen|kandha|shoulder",
-    "leg": r"pair|paon|paer|legs?|foot|feet|ghutna|knee|ankle|takhna|thigh|jangh", "hand": r"haath|hath|hands?|arm|wrist|kalai|elbow|kohni", "finger": r"ungli\w*|fingers?|thumb|angutha|toes?", "skin": r"skin|chamdi|tvacha|body|badan|sharir",
-}
+    "eyes": r"aankh[\wऀ-ॿ]*|ankh[\wऀ-ॿ]*|eyes?|nazar|आंख[\wऀ-ॿ]*|आँख[\wऀ-ॿ]*",
+    "head": r"\bsir\b|sar|head|skull|khopdi|forehead|matha|सिर|माथा",
+    "face": r"face|chehra|chehre|mu(?:h|nh)|mouth|hoth|lips|चेहरा|मुंह|मुँह",
+    "airway": r"lungs?|phephde|saans|breath[\wऀ-ॿ]*|gala|throat|chest|seena|seene|nose|naak|फेफड|सांस|गला|छाती|सीना|नाक",
+    "spine": r"spine|reedh|peeth|back\b|kamar|neck|gardan|रीढ़|पीठ|कमर|गर्दन",
+    "torso": r"pet|stomach|abdomen|kandha|shoulder|पेट|कंधा",
+    "leg": r"pair|paon|paer|legs?|foot|feet|ghutna|knee|ankle|takhna|thigh|jangh|पैर|पांव|घुटन[\wऀ-ॿ]*|टखन[\wऀ-ॿ]*",
+    "hand": r"haath|hath|hands?|arm|wrist|kalai|elbow|kohni|हाथ|कलाई|कोहनी",
+    "finger": r"ungli[\wऀ-ॿ]*|fingers?|thumb|angutha|toes?|उंगल[\wऀ-ॿ]*|अंगूठ[\wऀ-ॿ]*",
+    "skin": r"skin|chamdi|tvacha|body|badan|sharir|त्वचा|चमड़ी|शरीर|बदन",
+}
 CRITICAL_PARTS = ("eyes", "head", "face", "airway", "spine", "torso")
-HARM_NEGATED_BEFORE = r"\b(?:no|koi|without|nahi|not|bina)\s+(?:\w+\s+){0,2}$"
-HARM_NEGATED_AFTER = r"^\s*(?:\w+\s+){0,1}(?:nahi|nai|nahin|not)\b"
-HARM_MINIMISED = r"\b(halka|halki|thoda|thodi|minor|slight\w*|superficial|first aid|chhota|chota|small|mamuli|hairline|thoda sa|eye ?wash|paani se dho\w*|wash(?:ed)? (?:with water|off|it)|rest (?:diya|given|le liya)|kaam pe wapas|resumed work|back to work)\b"
+HARM_NEGATED_BEFORE = r"\b(?:no|koi|without|nahi|not|bina|कोई|नहीं)\s+(?:\w+\s+){0,2}$"
+HARM_NEGATED_AFTER = r"^\s*(?:\w+\s+){0,1}(?:nahi|nai|nahin|not|नहीं)\b"
+HARM_MINIMISED = r"\b(halka|halki|thoda|thodi|minor|slight\w*|superficial|first aid|chhota|chota|small|mamuli|hairline|thoda sa|जरा|थोड़ा|हल्का|हल्की|मामूली|eye ?wash|paani se dho\w*|wash(?:ed)? (?:with water|off|it)|rest (?:diya|given|le liya)|kaam pe wapas|resumed work|back to work)\b"
 
 # Cues of unsafe acts and unsafe conditions, by tag.
 ACTOR = r"\b(operator|worker|technician|attendant|driver|electrician|engineer|helper|staff|employee|crew|fitter|welder|rigger|foreman|supervisor|contractor|labour|labor|roustabout|derrickman|driller|mechanic|person|man|colleague|collique|mistri|khalasi|mazdoor|karmchari|aadmi|banda|log|karigar|JE|AE|I/C|in-?charge)\b"

@@ -12,6 +12,7 @@ from quarrylight.functions.spans import matches
 from quarrylight.functions.text import dedup_key
 from quarrylight.operators.analytics import numbered, rounded
 from quarrylight.operators.dedup import exact_duplicates, near_groups, shared_folder
+from quarrylight.operators.scoring import primary_flag
 
 #: Word characters of the scripts that reports are written in.
 TOKEN = r"[\wऀ-ॿঀ-৿]+|[^\w\sऀ-ॿঀ-৿]"
@@ -106,11 +107,6 @@ def span_scores(truth: DataFrame, predicted: DataFrame, by: str = "label") -> Da
     return both.select(by, "tp", "fp", "fn", rounded(p).alias("precision"), rounded(r).alias("recall"), rounded(F.try_divide(2 * p * r, p + r)).alias("f1"))
 
 
-def primary_flag(act: Column, condition: Column, acts: Column, conditions: Column) -> Column:
-    """UA or UC of two flags: the one with more cues, UC among equals."""
-    return F.when(act & condition, F.when(acts > conditions, "UA").otherwise("UC")).when(act, "UA").when(condition, "UC")
-
-
 def flag_scores(df: DataFrame, truth: Column, act: Column, condition: Column, acts: Column, conditions: Column) -> DataFrame:
     """Strict and lenient accuracy, recall of either class, rows with both flags and with none."""
     rows = df.select(truth.alias("t"), primary_flag(act, condition, acts, conditions).alias("p"), act.alias("a"), condition.alias("c")).where("t in ('UA', 'UC')")

@@ -117,39 +117,62 @@ def energy_gate(text: Column, kind: Column) -> Column:
     return F.struct(gate.alias("gate"), F.when(kind == "gravity", F.bround(joules)).alias("estimate_j"), basis.alias("basis"))
 
 
+def person_fall_exceeds(text: Column) -> Column:
+    """Whether a stated height is one from which a person's fall is high energy; null without a height."""
+    height, unit = stated(text, r"m\b|meter|metre|mtr|ft\b|feet|foot")
+    return F.when(unit.startswith("f"), height * 0.3048).otherwise(height) >= R.PERSON_FALL
+
+
+def _named(found: Column, table: dict[str, str]) -> Column:
+    """The first entry of the table that is the whole of what was found."""
+    return reduce(lambda e, x: e.when(found.rlike(f"(?iU)^(?:{x[1]})$"), x[0]), table.items(), F.when(F.lit(False), ""))
+
+
 def harms(text: Column, kind: Column) -> Column:
-    """Harms with the nearest body part within 60 characters, severity and offsets; negated ones are left out."""
-    edge_l, edge_r = r"(?<![\wऀ-ॿ])(?:", r")(?![\wऀ-ॿ])"
+    """Harms with the nearest body part within 60 characters, severity and offsets; negated ones are left out.
+
+    All classes are one alternation, so each place holds one harm, of the first class that fits. Boundaries are those of
+    Latin and Devanagari letters and vowel signs alike.
+    """
+    edge_l, edge_r = r"(?<![\w\u0900-\u097F])(?:", r")(?![\w\u0900-\u097F])"
+    anything = lambda table: edge_l + "|".join(table.values()) + edge_r
+    parts = F.transform(matches(text, anything(R.BODY_PARTS)), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _named(m["text"], R.BODY_PARTS).alias("part")))
+
+    def real(m: Column) -> Column:
+        first = F.greatest(m["start"] - 24, F.lit(0))
+        return ~text.substr(first + 1, m["start"] - first).rlike("(?iU)" + R.HARM_NEGATED_BEFORE) & ~text.substr(m["end"] + 1, F.lit(16)).rlike("(?iU)" + R.HARM_NEGATED_AFTER)
 
-    def located(name: str, pattern: str) -> Column:
-        return F.transform(matches(text, edge_l + pattern + edge_r), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(name).alias("part")))
+    def placed(m: Column) -> Column:
+        near = F.filter(parts, lambda p: (p["start"] >= m["start"] - 60) & (p["end"] <= m["end"] + 60))
+        part = F.array_min(F.transform(near, lambda p: F.struct(F.abs(p["start"] - m["start"]).alias("d"), p["part"].alias("part"))))["part"]
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), _named(m["text"], R.HARMS).alias("harm"), part.alias("part"))
 
-    parts = F.concat(*(located(name, p) for name, p in R.BODY_PARTS.items()))
+    def rated(m: Column) -> Column:
+        harm, part = m["harm"], m["part"]
+        base = reduce(lambda e, x: e.when(harm == x[0], x[1]), R.HARM_LEVELS.items(), F.when(F.lit(False), 0)).otherwise(1)
+        level = F.when(harm == "break", F.when(part.isNotNull(), 3).otherwise(0)).when((harm == "fracture") & (part == "finger"), 2).when(harm.isin("chemical_irritation", "poisoning") & ~F.coalesce(kind == "chemical", F.lit(False)), 1).otherwise(base)
+        level = F.when(harm.isin("cut", "crush") & (part == "finger"), 2).when((level == 2) & part.isin(*R.CRITICAL_PARTS), 3).otherwise(level)
+        level = level - (~harm.isin("fatal", "amputation") & around(text, m["start"], m["end"], 60).rlike("(?iU)" + R.HARM_MINIMISED)).cast("int")
+        return F.struct(F.greatest(level, F.lit(0)).alias("level"), base.alias("base"), (-m["start"]).alias("order"), harm.alias("harm"), part.alias("part"), m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end"))
 
-    def rated(name: str, pattern: str, base: int) -> Column:
-        found = F.filter(matches(text, edge_l + pattern + edge_r), lambda m: ~text.substr(F.greatest(m["start"] - 24, F.lit(0)) + 1, m["start"] - F.greatest(m["start"] - 24, F.lit(0))).rlike("(?iU)" + R.HARM_NEGATED_BEFORE) & ~text.substr(m["end"] + 1, F.lit(16)).rlike("(?iU)" + R.HARM_NEGATED_AFTER))
+    found = F.transform(F.transform(F.filter(matches(text, anything(R.HARMS)), real), placed), rated)
+    return F.filter(found, lambda h: (h["harm"] != "break") | (h["level"] > 1))
 
-        def severity(m: Column) -> Column:
-            near = F.filter(parts, lambda p: (p["start"] >= m["start"] - 60) & (p["end"] <= m["end"] + 60))
-            part = F.array_min(F.transform(near, lambda p: F.struct(F.abs(p["start"] - m["start"]).alias("d"), p["part"].alias("part"))))["part"]
-            level = F.lit(base)
-            if name == "break":
-                level = F.when(part.isNotNull(), 3).otherwise(0)
-            if name == "fracture":
-                level = F.when(part == "finger", 2).otherwise(base)
-            if name in ("chemical_irritation", "poisoning"):
-                level = F.when(F.coalesce(kind == "chemical", F.lit(False)), base).otherwise(1)
-            level = F.when((level == 2) & part.isin(*R.CRITICAL_PARTS), 3).otherwise(level)
-            if name in ("cut", "crush"):
-                level = F.when(part == "finger", 2).otherwise(level)
-            if name not in ("fatal", "amputation"):
-                level = level - around(text, m["start"], m["end"], 60).rlike("(?iU)" + R.HARM_MINIMISED).cast("int")
-            return F.struct(F.greatest(level, F.lit(0)).alias("level"), F.lit(base).alias("base"), (-m["start"]).alias("order"), F.lit(name).alias("harm"), part.alias("part"), m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end"))
 
-        out = F.transform(found, severity)
-        return F.filter(out, lambda h: h["level"] > 1) if name == "break" else out
+def fused_spans(spans: Column, model: Column, floor: float = 0.6) -> Column:
+    """Rule spans and a model's: those of one role that overlap are one, model spans of ``floor`` or more that meet none are added."""
+    sure = F.filter(model, lambda g: g["score"] >= floor)
+    meets = lambda a, b: (a["role"] == b["role"]) & overlaps(a, b)
+    first = lambda s: F.get(F.filter(sure, lambda g: meets(g, s)), F.lit(0))
 
-    return F.concat(*(rated(name, p, base) for name, (p, base) in R.HARMS.items()))
+    def own(s: Column) -> Column:
+        base = F.when(s["source"] == "rules:mined", 0.9).otherwise(1.0)
+        met = first(s)
+        return F.struct(s["role"].alias("role"), s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"), F.when(met.isNotNull(), "rules+gliner").otherwise(s["source"]).alias("source"), F.greatest(base, met["score"]).alias("score"))
+
+    kept = F.transform(spans, own)
+    added = F.filter(sure, lambda g: ~F.exists(spans, lambda s: meets(g, s)))
+    return F.concat(kept, F.transform(added, lambda g: F.struct(*(g[c].alias(c) for c in ("role", "text", "start", "end", "source", "score"))))).cast(SPAN)
 
 
 def fact(value: Column, span: Column, source: Column | str) -> Column:
@@ -184,15 +207,42 @@ def tree(high: Column, released: Column, injured: Column, control: Column, state
     )
 
 
+def decision_path(high: Column, released: Column, injured: Column, control: Column, statement: Column, sound: Column, verdict: Column) -> Column:
+    """The answers that the tree took to its verdict, in words."""
+    said = lambda c: F.when(c.isNull(), "unknown").when(c, "True").otherwise("False")
+    step = lambda name, c: F.concat(F.lit(f"{name}="), said(c))
+    away = statement.isin("hypothetical", "historical", "training_example")
+    free = F.coalesce(released, F.lit(False))
+    steps = F.array_compact(
+        F.array(
+            step("high_energy", high),
+            F.when(high, step("energy_released", released)),
+            F.when((high & free) | (~high & F.coalesce(injured, F.lit(False))), step("serious_injury", injured)),
+            F.when(high & ~released & (statement == "corrective_completed"), F.lit("statement_type=corrective_completed")),
+            F.when(high & ((released & ~injured) | (~released & (statement != "corrective_completed"))), step("control_present", control)),
+            F.when(high & ~released & (statement != "corrective_completed") & control & ~sound, F.lit("barrier_degraded=True")),
+        )
+    )
+    path = F.when(away, F.concat(F.lit("statement_type="), statement)).otherwise(F.array_join(steps, " AND "))
+    return F.concat(path, F.lit(" -> "), F.coalesce(verdict, F.lit("undecided")))
+
+
 def cue_tags(text: Column, table: dict[str, str]) -> Column:
     return F.array_compact(F.array(*(F.when(hit(text, p), tag) for tag, p in table.items())))
 
 
-def score(df: DataFrame, text: str = "text", lexicon: dict[str, list[str]] | None = None, max_chars: int | None = None) -> DataFrame:
+def primary_flag(act: Column, condition: Column, acts: Column, conditions: Column) -> Column:
+    """UA or UC of two flags: the one with more cues, UC among equals."""
+    return F.when(act & condition, F.when(acts > conditions, "UA").otherwise("UC")).when(act, "UA").when(condition, "UC")
+
+
+def score(df: DataFrame, text: str = "text", lexicon: dict[str, list[str]] | None = None, max_chars: int | None = None, model_spans: str | None = None, fuse: bool = True) -> DataFrame:
     """``df`` with language, statement_type, hazard, spans, energy, facts, verdict, confidence, review and act/condition columns.
 
     A null or blank text gets the verdict INSUFFICIENT with no spans. Texts are read whole, unless ``max_chars`` cuts
-    them (the scorer of the reference takes 8000). Input columns of the same names as the added ones are replaced.
+    them (the scorer of the reference takes 8000). ``model_spans`` names a column of spans from a model: they are fused
+    with the rules' own or, without ``fuse``, added as they are. Input columns of the same names as the added ones are
+    replaced.
     """
     t = F.col("__text")
     whole = F.trim(F.coalesce(F.col(text), F.lit("")))
@@ -207,6 +257,8 @@ def score(df: DataFrame, text: str = "text", lexicon: dict[str, list[str]] | Non
     # A harm that no outcome span covers is an outcome; an energy source or a person is no control.
     fresh = F.filter("harms", lambda h: ~F.exists("__spans", lambda s: (s["role"] == "outcome_cue") & overlaps(s, h)))
     out = out.withColumn("__spans", F.concat("__spans", as_spans(fresh, "outcome_cue", "rules:harm")))
+    if model_spans:
+        out = out.withColumn("__spans", fused_spans(F.col("__spans"), F.col(model_spans)) if fuse else F.concat(F.col("__spans"), F.col(model_spans).cast(SPAN)))
     order = lambda a, b: F.when((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["end"] < b["end"])), -1).when((a["start"] == b["start"]) & (a["end"] == b["end"]), 0).otherwise(1)
     out = out.withColumn("spans", F.array_sort("__spans", order))
     wrong = lambda s: s["role"].isin(*PRESENT) & (F.exists("spans", lambda e: (e["role"] == "energy_cue") & overlaps(s, e)) | s["text"].rlike("(?iU)" + R.PERSON_ONLY))
@@ -272,6 +324,8 @@ def score(df: DataFrame, text: str = "text", lexicon: dict[str, list[str]] | Non
     derived = tree(*(F.col(f"{f}.value") for f in facts), F.col("statement_type"), F.col("control_effective"))
     verdict = F.when(c("no_exposure").isNotNull() & ~F.coalesce(F.col("serious_injury.value"), F.lit(False)), "NON_EVENT").otherwise(derived)
     out = out.withColumn("__verdict", verdict)
+    path = decision_path(*(F.col(f"{f}.value") for f in facts), F.col("statement_type"), F.col("control_effective"), derived)
+    out = out.withColumn("decision_path", F.when(c("no_exposure").isNotNull() & ~F.coalesce(F.col("serious_injury.value"), F.lit(False)), "no_exposure -> NON_EVENT").otherwise(path))
 
     def worth(name: str) -> Column:
         source = F.col(f"{name}.source")
@@ -294,4 +348,5 @@ def score(df: DataFrame, text: str = "text", lexicon: dict[str, list[str]] | Non
     act, condition = F.size("act_cues") > 0, F.size("condition_cues") > 0
     behind = ~act & ~condition & (hit(t, R.ACTOR) | hit(t, R.PASSIVE))
     out = out.withColumn("unsafe_act", act | behind).withColumn("unsafe_condition", condition | (~act & ~condition & ~behind & (F.size("spans") > 0)))
+    out = out.withColumn("primary_flag", primary_flag(F.col("unsafe_act"), F.col("unsafe_condition"), F.size("act_cues"), F.size("condition_cues")))
     return out.select(*(x for x in out.columns if not x.startswith("__")))
