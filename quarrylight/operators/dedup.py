@@ -30,21 +30,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def exact_duplicates(df: DataFrame, key: str, text: str, rank: Column) -> DataFrame:
+def text_key(text: str, normalised: bool) -> Column:
+    """The deduplication key of a text column, or the column itself if it holds keys already."""
+    return F.col(text) if normalised else dedup_key(F.coalesce(F.col(text), F.lit("")))
+
+
+def exact_duplicates(df: DataFrame, key: str, text: str, rank: Column, normalised: bool = False) -> DataFrame:
     """(key, canonical): the best of the rows whose normalised text is equal, by rank and then key.
 
     A text whose key is empty is never a duplicate. Texts meet as 128-bit digests of their keys, never whole; the best
     row is an aggregate, so copies are summed before the shuffle.
     """
-    keyed = df.select(key, dedup_key(F.coalesce(F.col(text), F.lit(""))).alias("__text"), rank.alias("__rank"))
+    keyed = df.select(key, text_key(text, normalised).alias("__text"), rank.alias("__rank"))
     keyed = keyed.select(key, "__rank", F.when(F.col("__text") != "", F.unhex(F.md5("__text"))).alias("__key"))
     best = keyed.where("__key is not null").groupBy("__key").agg(F.min(F.struct(-F.col("__rank"), F.col(key).alias("canonical")))["canonical"].alias("canonical"))
     return keyed.join(best, "__key", "left").select(key, F.coalesce("canonical", F.col(key)).alias("canonical"))
 
 
-def shingle_sets(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+def shingle_sets(df: DataFrame, key: str, text: str, n: int, normalised: bool = False) -> DataFrame:
     """(id, own): each row's distinct word shingles as 64-bit hashes; rows without words are left out."""
-    return df.select(F.col(key).alias("id"), hashed_shingles(dedup_key(F.coalesce(F.col(text), F.lit(""))), n).alias("own")).where(F.size("own") > 0)
+    return df.select(F.col(key).alias("id"), hashed_shingles(text_key(text, normalised), n).alias("own")).where(F.size("own") > 0)
 
 
 def prefix_posts(sets: DataFrame, percent: int) -> DataFrame:
@@ -91,13 +96,13 @@ def near_pairs(df: DataFrame, key: str, text: str, percent: int, n: int = 3) ->
     return similar(_met(posts, posts, percent, "id < id_b"), sets, percent)
 
 
-def near_groups(df: DataFrame, key: str, text: str, percent: int, n: int = 3) -> DataFrame:
+def near_groups(df: DataFrame, key: str, text: str, percent: int, n: int = 3, normalised: bool = False) -> DataFrame:
     """(id, root) of the rows that such pairs link to another one; root is the smallest id that links reach.
 
     Rows that meet at a shingle are held against one row of its list first, so a cluster of m copies makes m pairs; what
     is left in other components of a list is paired with those alone, until no new link is found.
     """
-    sets = _written(shingle_sets(df, key, text, n))
+    sets = _written(shingle_sets(df, key, text, n, normalised))
     posts = prefix_posts(sets, percent)
     pivots = posts.groupBy("s").agg(F.max(F.struct("left", F.col("id").alias("pivot")))["pivot"].alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = posts.join(pivots, "s").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
@@ -135,9 +140,11 @@ def mark_duplicates(df: DataFrame, key: str, text: str, percent: int = 85, rank:
     then the smallest key. An exact duplicate points at its own canonical even where that is a near duplicate itself.
     """
     rank = F.lit(0) if rank is None else rank
-    exact = _written(exact_duplicates(df, key, text, rank))
-    survivors = df.withColumn("__rank", rank).join(exact.where(F.col(key) == F.col("canonical")).select(key), key, "left_semi")
-    roots = near_groups(survivors, key, text, percent)
+    # Texts are normalised once; both steps start from the written keys.
+    keyed = _written(df.select(key, rank.alias("__rank"), text_key(text, False).alias("__text")))
+    exact = _written(exact_duplicates(keyed, key, "__text", F.col("__rank"), normalised=True))
+    survivors = keyed.join(exact.where(F.col(key) == F.col("canonical")).select(key), key, "left_semi")
+    roots = near_groups(survivors, key, "__text", percent, normalised=True)
     ranked = roots.join(survivors.select(F.col(key).alias("id"), "__rank"), "id")
     best = ranked.groupBy("root").agg(F.min(F.struct(-F.col("__rank"), F.col("id").alias("best")))["best"].alias("best"))
     near = roots.join(best, "root").select(F.col("id").alias(key), "best")

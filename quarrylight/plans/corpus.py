@@ -12,7 +12,7 @@ from quarrylight.functions.spans import matches
 from quarrylight.operators import corpus as C
 from quarrylight.operators.dedup import exact_duplicates, mark_duplicates, near_pairs, shared_folder
 from quarrylight.operators.scoring import score
-from quarrylight.plans.tables import read
+from quarrylight.plans.tables import read, read_texts
 from quarrylight.sources import html as H
 from quarrylight.sources.files import unify
 from quarrylight.streaming.events import read_stream, run_complete, windowed_counts
@@ -37,7 +37,7 @@ KEY = r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\p{M}]+', '
 def normalised_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplication key and word count of each text."""
     key = T.dedup_key(F.coalesce("text", F.lit("")))
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha1(key).alias("key_sha1"), T.word_count(key).cast("long").alias("n_words"))
+    return read_texts(spark, sf_dir, "documents").select("doc_id", F.sha1(key).alias("key_sha1"), T.word_count(key).cast("long").alias("n_words"))
 
 
 @query(r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n FROM conversations WHERE text IS NOT NULL")
@@ -51,7 +51,7 @@ def clean_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH k AS (SELECT doc_id, n_chars, {KEY} AS key FROM documents)
 SELECT doc_id, CASE WHEN key = '' THEN doc_id ELSE first_value(doc_id) OVER (PARTITION BY key ORDER BY n_chars DESC, doc_id) END AS canonical FROM k""")
 def exact_duplicate_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(read(spark, sf_dir, "documents"), "doc_id", "text", F.col("n_chars"))
+    return exact_duplicates(read_texts(spark, sf_dir, "documents"), "doc_id", "text", F.col("n_chars"))
 
 
 PAIRS = rf"""
@@ -66,7 +66,7 @@ p AS (SELECT a, b, shared, x.n + y.n - shared AS total FROM c JOIN n x ON x.id =
 @query(f"WITH {PAIRS} SELECT a, b, shared, total FROM p")
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of distinct report texts at the reference's own threshold."""
-    docs = read(spark, sf_dir, "documents")
+    docs = read_texts(spark, sf_dir, "documents")
     first = exact_duplicates(docs, "doc_id", "text", F.lit(0)).where("doc_id = canonical").select("doc_id")
     return near_pairs(docs.join(first, "doc_id", "left_semi"), "doc_id", "text", 85).withColumn("shared", F.col("shared").cast("long")).withColumn("total", F.col("total").cast("long"))
 
@@ -79,7 +79,7 @@ SELECT doc_id, source, coalesce(canonical <> doc_id OR root <> doc_id, false) AS
   CASE WHEN canonical <> doc_id THEN canonical WHEN root <> doc_id THEN root END AS duplicate_of, CASE WHEN canonical <> doc_id THEN 'exact' WHEN root <> doc_id THEN 'near' END AS dup_kind
 FROM x JOIN documents USING (doc_id) LEFT JOIN root ON root.id = x.doc_id""")
 def marked_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = read_texts(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mark_duplicates(docs, "doc_id", "text").drop("text")
 
 
@@ -89,7 +89,7 @@ c AS (SELECT lang, term, count(*) AS n, sum(count(*)) OVER (PARTITION BY term) A
 r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS k FROM c WHERE n >= 5 AND n >= 0.55 * total)
 SELECT lang, term, n, round(n / total, 6) AS share FROM r WHERE k <= 400""")
 def mined_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.mine_terms(read(spark, sf_dir, "documents"), "text", "lang", 5, 0.55, 400)
+    return C.mine_terms(read_texts(spark, sf_dir, "documents"), "text", "lang", 5, 0.55, 400)
 
 
 @query(rf"""
@@ -98,7 +98,7 @@ g AS (SELECT source, unnest(list_transform(range(1, len(w) - 4), lambda i: array
 c AS (SELECT source, g, count(*) AS n FROM g GROUP BY 1, 2)
 SELECT source, count(*) AS ngrams, count(*) FILTER (n >= 3) AS reused, max(n) AS most FROM c GROUP BY 1""")
 def reused_sixgrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.reused_ngrams(read(spark, sf_dir, "documents"), "text", ["source"], 6, 3)
+    return C.reused_ngrams(read_texts(spark, sf_dir, "documents"), "text", ["source"], 6, 3)
 
 
 @query(rf"""
@@ -107,7 +107,7 @@ m AS (SELECT doc_id, w, len(w) AS n, least(50, len(w)) AS k FROM w WHERE len(w)
 SELECT doc_id, n AS words, len(list_distinct(w)) / n AS ttr,
   list_sum(list_transform(range(1, n - k + 2), lambda i: len(list_distinct(w[i : i + k - 1]))))::BIGINT / k / (n - k + 1) AS mattr FROM m""")
 def lexical_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.lexical_diversity(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return C.lexical_diversity(read_texts(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(rf"""
@@ -116,13 +116,13 @@ c AS (SELECT source, count(*) AS rows, count(*) FILTER (w = 0) AS empty, count(*
 SELECT *, round(labelled / rows, 6) AS coverage, CASE WHEN rows < 20 THEN 'thin' WHEN duplicates > rows * 0.1 THEN 'repetitive' ELSE 'ok' END AS status FROM c""")
 def source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return C.source_audit(read(spark, sf_dir, "documents").join(labels, "doc_id", "left"), "source", "text", "quality")
+    return C.source_audit(read_texts(spark, sf_dir, "documents").join(labels, "doc_id", "left"), "source", "text", "quality")
 
 
 @query("""SELECT t.lang, coalesce(c.n, 0) AS n, t.target, round(coalesce(c.n, 0) / (SELECT count(*) FROM documents), 6) AS share, greatest(0, t.target - coalesce(c.n, 0)) AS shortfall
 FROM (VALUES ('en', 500::BIGINT), ('fr', 300::BIGINT), ('hi', 100::BIGINT)) t(lang, target) LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY 1) c USING (lang)""")
 def quota_shortfalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.quota_report(read(spark, sf_dir, "documents"), "lang", {"en": 500, "fr": 300, "hi": 100})
+    return C.quota_report(read_texts(spark, sf_dir, "documents"), "lang", {"en": 500, "fr": 300, "hi": 100})
 
 
 def _count(lang: str) -> str:
@@ -135,7 +135,7 @@ s AS (SELECT doc_id, lang, {', '.join(f'{_count(x)} AS {x}' for x in sorted(C.ST
 SELECT lang, CASE WHEN greatest(de, en, es, fr) < 2 THEN 'unknown' WHEN de = greatest(de, en, es, fr) THEN 'de' WHEN en = greatest(de, en, es, fr) THEN 'en' WHEN es = greatest(de, en, es, fr) THEN 'es' ELSE 'fr' END AS found, count(*) AS n FROM s GROUP BY 1, 2""")
 def language_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stop-word language against the stated one."""
-    docs = read(spark, sf_dir, "documents")
+    docs = read_texts(spark, sf_dir, "documents")
     return docs.select("lang", C.stop_word_language(F.coalesce("text", F.lit(""))).alias("found")).groupBy("lang", "found").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -149,7 +149,7 @@ e AS (SELECT doc_id, k, length(hit) AS n, (sum(length(gap) + length(hit)) OVER (
 SELECT doc_id, count(*) AS n, sum(n)::BIGINT AS chars, sha1(string_agg((e - n) || ':' || e, ',' ORDER BY k)) AS spans_sha1 FROM e GROUP BY 1""")
 def span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term spans by document, with a digest of all their offsets."""
-    found = read(spark, sf_dir, "documents").select("doc_id", matches(F.col("text"), f"({TERMS})").alias("m")).where(F.size("m") > 0)
+    found = read_texts(spark, sf_dir, "documents").select("doc_id", matches(F.col("text"), f"({TERMS})").alias("m")).where(F.size("m") > 0)
     offsets = F.array_join(F.transform("m", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return found.select("doc_id", F.size("m").cast("long").alias("n"), F.aggregate("m", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("chars"), F.sha1(offsets).alias("spans_sha1"))
 
@@ -157,14 +157,14 @@ def span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict, confidence, route and flags of every document, rules only."""
-    scored = score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    scored = score(read_texts(spark, sf_dir, "documents").select("doc_id", "text"))
     return scored.select("doc_id", "language", "statement_type", F.col("hazard.name").alias("hazard_name"), "verdict", "confidence", "route", "review_required", "barrier_failure_mode", "negation_scope", "unsafe_act", "unsafe_condition", F.size("spans").alias("n_spans"))
 
 
 @query()
 def scored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of conversation turns by role."""
-    scored = score(read(spark, sf_dir, "conversations"))
+    scored = score(read_texts(spark, sf_dir, "conversations"))
     return scored.groupBy("role", "verdict").agg(F.count(F.lit(1)).alias("n"), F.count_if("review_required").alias("to_review"))
 
 
@@ -180,7 +180,7 @@ SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and absolute links of every page."""
     found = F.array_join(F.array_sort(H.links(F.col("html"), F.col("url"))), " ")
-    return read(spark, sf_dir, "pages").select("page_id", F.coalesce(H.title(F.col("html")), F.lit("")).alias("title"), found.alias("links"))
+    return read_texts(spark, sf_dir, "pages").select("page_id", F.coalesce(H.title(F.col("html")), F.lit("")).alias("title"), found.alias("links"))
 
 
 def _visible_sql() -> str:
@@ -202,7 +202,7 @@ WITH t AS (SELECT page_id, {_visible_sql()} AS text, trim(regexp_replace(lower(r
 SELECT page_id, slug, TRY_CAST(d AS DATE) AS page_date, length(text) AS n_chars, sha1(text) AS text_sha1 FROM t""")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text, date and file name of every page."""
-    pages = read(spark, sf_dir, "pages")
+    pages = read_texts(spark, sf_dir, "pages")
     text = H.visible_text(F.col("html"))
     return pages.select("page_id", H.slug(F.col("url")).alias("slug"), H.page_date(F.col("html")).alias("page_date"), F.length(text).cast("long").alias("n_chars"), F.sha1(text).alias("text_sha1"))
 

@@ -10,7 +10,7 @@ from quarrylight.functions.spans import matches
 from quarrylight.operators import curation as C
 from quarrylight.operators.corpus import quota_report
 from quarrylight.plans.corpus import KEY, PAIRS
-from quarrylight.plans.tables import read
+from quarrylight.plans.tables import read, read_texts
 
 QUERIES, ORACLE = {}, {}
 
@@ -84,7 +84,7 @@ FROM d JOIN b USING (doc_id) LEFT JOIN f USING (doc_id)""")
 def record_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hedged facts, outcome and record type of whole texts that open as reports do."""
     opened = F.concat(F.element_at(F.array(*map(F.lit, OPENINGS)), (F.col("doc_id") % 8 + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
-    docs = read(spark, sf_dir, "documents").select("doc_id", opened.alias("t"))
+    docs = read_texts(spark, sf_dir, "documents").select("doc_id", opened.alias("t"))
     return docs.select("doc_id", P.actual_fatality(F.col("t")).alias("fatal"), P.outcome(F.col("t")).alias("outcome"), P.record_type(F.col("t")).alias("record_type"))
 
 
@@ -94,7 +94,7 @@ SELECT doc_id, nullif(array_to_string(lines, ' '), '') AS narrative, source AS w
 def alert_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of texts laid out as alerts are: headings alone on a line and before a colon or a dash."""
     laid = F.concat(F.lit("What happened?\n"), F.coalesce("text", F.lit("")), F.lit("\nRoot cause: "), F.col("source"), F.lit("\n## Lessons learned - "), F.col("lang"))
-    found = read(spark, sf_dir, "documents").select("doc_id", P.sections(laid).alias("s"))
+    found = read_texts(spark, sf_dir, "documents").select("doc_id", P.sections(laid).alias("s"))
     return found.select("doc_id", *(F.col("s")[name].alias(name) for name in ("narrative", "what_went_wrong", "corrective_actions")))
 
 
@@ -111,7 +111,7 @@ STRONG, WEAK = "pressure|license|password", "water|people|the|time"
 FROM documents WHERE text IS NOT NULL""")
 def domain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct strong and weak terms of each text."""
-    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", C.term_score(F.col("text"), STRONG, WEAK).alias("score"))
+    return read_texts(spark, sf_dir, "documents").where("text is not null").select("doc_id", C.term_score(F.col("text"), STRONG, WEAK).alias("score"))
 
 
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(lower(c_name), 'r#00000001') OR contains(lower(c_mktsegment), 'r#00000001')")
@@ -140,7 +140,7 @@ bad AS (SELECT DISTINCT r.id FROM r JOIN h ON h.canonical = r.other)
 SELECT doc_id FROM x WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND (canonical IS NULL OR canonical NOT IN (SELECT id FROM bad))""")
 def leakage_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without a label that are no copy or near copy of a labelled one."""
-    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id").distinct()
+    docs, labels = read_texts(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id").distinct()
     return C.leakage_guard(docs.join(labels, "doc_id", "left_anti"), docs.join(labels, "doc_id", "left_semi"), "doc_id", "text").select("doc_id")
 
 
@@ -194,7 +194,7 @@ a AS (SELECT * FROM c UNION ALL SELECT '(all)', sum(tp)::BIGINT, sum(fp)::BIGINT
 SELECT label, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0)) / nullif(tp / nullif(tp + fp, 0) + tp / nullif(tp + fn, 0), 0), 6) AS f1 FROM a""")
 def span_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact-span precision, recall and F1 by label and over all."""
-    docs = read(spark, sf_dir, "documents").where("text is not null")
+    docs = read_texts(spark, sf_dir, "documents").where("text is not null")
     spans = lambda p: docs.select(F.col("doc_id").alias("row"), F.explode(matches(F.col("text"), f"({p})")).alias("m")).select("row", "m.start", "m.end", F.lower("m.text").alias("label"))
     return C.span_scores(spans(GOLD), spans(GUESS))
 
@@ -313,7 +313,7 @@ WITH {_spans_sql('t', 'license|licen')}, {_spans_sql('p', 'idiot')}, x AS (SELEC
 SELECT doc_id, string_agg((e - n) || ':' || e || ':' || role, ',' ORDER BY e) AS spans FROM x GROUP BY 1""")
 def weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexicon spans without overlaps, the longer first."""
-    docs = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", matches(F.col("text"), "license|licen").alias("long"), matches(F.col("text"), "idiot").alias("b"), matches(F.col("text"), "licen").alias("short"))
+    docs = read_texts(spark, sf_dir, "documents").where("text is not null").select("doc_id", matches(F.col("text"), "license|licen").alias("long"), matches(F.col("text"), "idiot").alias("b"), matches(F.col("text"), "licen").alias("short"))
     rank = lambda col, role, k: F.transform(col, lambda m: F.struct((m["start"] - m["end"]).alias("size"), F.lit(k).alias("rank"), m["start"].alias("start"), m["end"].alias("end"), F.lit(role).alias("role")))
     kept = C.without_overlaps(F.concat(rank("long", "a", 0), rank("b", "b", 1), rank("short", "c", 2)))
     return docs.select("doc_id", F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["start"], s["end"], s["role"])), ",").alias("spans")).where("spans <> ''")

@@ -10,6 +10,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of texts that much is worked out from: a scan of fewer partitions than there are cores is dealt over them.
+
+    That is so for a few files of few row groups alone; a table of more partitions than cores is read as it lies, without
+    a shuffle.
+    """
+    rows = read(spark, sf_dir, table)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their customer's segment and nation: precursor = priority, site = nation, barrier status = order status."""
     orders, customer, nation = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
