@@ -43,7 +43,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("secrets", mask_secrets), ("packing", pack)]
 
-#: The classifier and the tokenizer are not expressible in SQL; the tests hold ``run`` against plain Python.
+#: The classifier and the tokenizer are not expressible in SQL; the tests hold each stage against what it should keep
+#: and drop of rows made for that, and the packed lengths against the tokenizers library.
 ORACLE_SQL = None
 
 
