@@ -15,6 +15,9 @@ from quarrylight.functions import rules as R
 from quarrylight.functions.spans import around, first_of, hit, matches, overlaps
 
 FAST_LANE, REVIEW_BELOW = 0.75, 0.55
+# Words of the language test.
+HINGLISH = "nahi|nahin|tha|thi|the|hai|hain|kiya|raha|rahi|rahe|gaya|gayi|mein|aur|bina|koi|kaam|hua|hui|liye|lekin|phir|upar|neeche|niche|andar|bahar|pehle|baad|sirf|bhi|gira|toota|chal|band|khula|dekha|mila|karke|wajah|dauran|jagah|paas|log|admi|se|par|pe"
+ASSAMESE = "nasil|nohol|hoise|ase|asil|cholise|bhitorot|gol|dhukise|korile|nohoi"
 SPAN = "array<struct<role:string,text:string,start:int,end:int,source:string,score:double>>"
 PRESENT = ("control_present", "control_ineffective")
 
@@ -48,8 +51,8 @@ def with_lexicon(text: Column, spans: Column, lexicon: dict[str, list[str]]) ->
 
 def language(text: Column) -> Column:
     """Script and stop-word tests."""
-    hinglish = r"\b(nahi|nahin|tha|thi|the|hai|hain|kiya|raha|rahi|rahe|gaya|gayi|mein|aur|bina|koi|kaam|hua|hui|liye|lekin|phir|upar|neeche|niche|andar|bahar|pehle|baad|sirf|bhi|gira|toota|chal|band|khula|dekha|mila|karke|wajah|dauran|jagah|paas|log|admi|se|par|pe)\b"
-    assamese = r"[ঀ-৿]|\b(nasil|nohol|hoise|ase|asil|cholise|bhitorot|gol|dhukise|korile|nohoi)\b"
+    hinglish = rf"\b({HINGLISH})\b"
+    assamese = rf"[ঀ-৿]|\b({ASSAMESE})\b"
     hits = F.transform(F.regexp_extract_all(text, F.lit("(?iU)" + hinglish), 0), F.lower)
     mixed = (F.size(hits) >= 2) & F.exists(hits, lambda h: h != "the")
     return F.when(text.rlike("[ऀ-ॿ]"), "hindi").when(F.size(F.regexp_extract_all(text, F.lit("(?iU)" + assamese), 0)) >= 2, "assamese_mix").when(mixed, "hinglish").otherwise("english")

@@ -11,7 +11,7 @@ from quarrylight.functions import text as T
 from quarrylight.functions.spans import matches
 from quarrylight.operators import corpus as C
 from quarrylight.operators.dedup import exact_duplicates, mark_duplicates, near_pairs, shared_folder
-from quarrylight.operators.scoring import score
+from quarrylight.operators.scoring import ASSAMESE, HINGLISH, language, score
 from quarrylight.plans.tables import read, read_texts
 from quarrylight.sources import html as H
 from quarrylight.sources.files import unify
@@ -154,6 +154,18 @@ def span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("m").cast("long").alias("n"), F.aggregate("m", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("chars"), F.sha1(offsets).alias("spans_sha1"))
 
 
+def _in_words(words: str) -> str:
+    return f"list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in words.split('|'))}))"
+
+
+@query(rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{M}}\p{{N}}_]+') AS w FROM documents), h AS (SELECT *, {_in_words(HINGLISH)} AS h, {_in_words(ASSAMESE)} AS a FROM w)
+SELECT doc_id, CASE WHEN regexp_matches(text, '[ऀ-ॿ]') THEN 'hindi' WHEN len(regexp_extract_all(text, '[ঀ-৿]')) + len(a) >= 2 THEN 'assamese_mix' WHEN len(h) >= 2 AND len(list_filter(h, lambda x: x <> 'the')) > 0 THEN 'hinglish' ELSE 'english' END AS language FROM h""")
+def scored_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scorer's own language test on every document."""
+    return read_texts(spark, sf_dir, "documents").select("doc_id", language(F.coalesce("text", F.lit(""))).alias("language"))
+
+
 @query()
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict, confidence, route and flags of every document, rules only."""
