@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,3 +139,43 @@ def nearest_prototypes(vectors: DataFrame, prototypes: DataFrame, floor: float,
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cos"), "proto_label"))).where("rank <= 2")
     wide = ranked.groupBy("vec_id").agg(F.max(F.when(F.col("rank") == 1, F.col("proto_label"))).alias("best"), F.max(F.when(F.col("rank") == 1, F.col("cos"))).alias("score"), F.max(F.when(F.col("rank") == 2, F.col("cos"))).alias("second"))
     return wide.select("vec_id", "best", F.round("score", 6).alias("score"), ((F.col("score") >= floor) & (F.col("score") - F.coalesce("second", F.lit(-1.0)) >= margin)).alias("accepted"))
+
+
+def semantic_types(vectors: DataFrame, prototypes: DataFrame, floor: float = 0.45, margin: float = 0.05) -> DataFrame:
+    """vec_id, best, score, margin and runner_up of the vectors that a class of prototypes fits.
+
+    ``prototypes`` (proto_label, proto) is a small fixed set, at most MAX_PROTOTYPES; those without a label are negatives.
+    The best class is that of the nearest prototype by cosine, the smaller label among equals; it has to reach the floor
+    and to lie the margin above the nearest negative. Vectors that are null, empty or all zero fit nothing.
+    """
+    rows = prototypes.limit(MAX_PROTOTYPES + 1).select("proto_label", F.col("proto").cast("array<double>").alias("p")).collect()
+    if len(rows) > MAX_PROTOTYPES:
+        raise ValueError(f"more than {MAX_PROTOTYPES} prototypes")
+    positive = [r for r in rows if r["proto_label"] is not None]
+    negative = [r for r in rows if r["proto_label"] is None]
+    labels = sorted({r["proto_label"] for r in positive})
+    if not labels:
+        raise ValueError("no labelled prototypes")
+
+    def unit(vectors_: list) -> np.ndarray:
+        m = np.array(vectors_, dtype=np.float64)
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    classes = [unit([r["p"] for r in positive if r["proto_label"] == name]) for name in labels]
+    against = unit([r["p"] for r in negative]) if negative else None
+    label_type = prototypes.schema["proto_label"].dataType.simpleString()
+
+    def typed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            v = np.array(batch["v"].tolist(), dtype=np.float64)
+            v = v / np.linalg.norm(v, axis=1, keepdims=True)
+            cos = np.stack([(v @ own.T).max(1) for own in classes], axis=1)
+            order = np.argsort(-cos, axis=1, kind="stable")
+            first = np.take_along_axis(cos, order[:, :1], 1)[:, 0]
+            gap = first - (v @ against.T).max(1) if against is not None else first + 1
+            second = [labels[k] for k in order[:, 1]] if len(labels) > 1 else [None] * len(v)
+            out = pd.DataFrame({"vec_id": batch["vec_id"], "best": [labels[k] for k in order[:, 0]], "score": first.round(5), "margin": gap.round(5), "runner_up": second})
+            yield out[(first >= floor) & (gap >= margin)]
+
+    own = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("aggregate(v, 0D, (s, x) -> s + x * x) > 0")
+    return own.mapInPandas(typed, f"vec_id long, best {label_type}, score double, margin double, runner_up {label_type}")
