@@ -101,7 +101,7 @@ def canonical_rules(raw: Column) -> Column:
 
 def unmapped_rules(raw: Column) -> Column:
     """Parts of the value that name no rule and do not say that none applies."""
-    return F.transform(F.filter(rule_parts(raw), lambda p: canonical_rule(p).isNull() & ~is_no_rule(p) & (F.trim(p) != "")), F.trim)
+    return F.transform(F.filter(rule_parts(raw), lambda p: canonical_rule(p).isNull() & ~is_no_rule(p) & (F.trim(p) != "")), lambda x: F.trim(x))
 
 
 def hedged(text: Column, start: Column) -> Column:
@@ -182,7 +182,7 @@ def sections(text: Column) -> Column:
 
 def first_paragraph(text: Column, words: int = 8, most: int = 1500) -> Column:
     """The first paragraph of at least ``words`` words, else the beginning of the text."""
-    long = F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: F.size(F.filter(F.split(p, r"\s+"), lambda w: w != "")) >= words)
+    long = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.trim(x)), lambda p: F.size(F.filter(F.split(p, r"\s+"), lambda w: w != "")) >= words)
     return F.coalesce(collapse_ws(F.get(long, F.lit(0))), F.nullif(F.substring(collapse_ws(text), 1, most), F.lit("")))
 
 

@@ -117,3 +117,13 @@ def test_attachments(spark, tmp_path):
     (folder / "e.zip").write_bytes(b"not a zip")
     found = {r.path.rsplit("/", 1)[1]: r.text for r in files.read_attachments(spark, str(folder)).collect()}
     assert {k: v and v.strip() for k, v in found.items()} == {"a.txt": "plain", "b.html": "One & two", "c.pdf": None, "d.zip": "inside", "e.zip": None}
+
+
+def test_parts_are_trimmed_of_spaces_only(spark):
+    from pyspark.sql import functions as F
+
+    from quarrylight.functions.reports import first_paragraph, unmapped_rules
+
+    df = spark.createDataFrame([("  0 rule of 10 / other 21 ", "  0 men were at work in the year 2010 \n\nshort")], "raw string, t string")
+    row = df.select(unmapped_rules(F.col("raw")).alias("u"), first_paragraph(F.col("t")).alias("p")).first()
+    assert row["u"] == ["0 rule of 10", "other 21"] and row["p"] == "0 men were at work in the year 2010"
