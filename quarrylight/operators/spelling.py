@@ -44,16 +44,12 @@ PIECE = WORD + r"|[^A-Za-zऀ-ॿ]+"
 LEAST, LONG, STEM = 7, 10, 6
 
 
-def _literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
-
-
-def long_words(text: Column) -> Column:
-    """Distinct words, in lower case, that may need a correction."""
-    low = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), 0), F.lower))
+def doubtful_words(text: Column) -> Column:
+    """Distinct words, in lower case, that are known variants or long enough for a correction and not sound."""
+    low = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: F.lower(w)))
     terms = F.array(*(F.lit(t) for t in CORE_TERMS if len(t) >= STEM))
-    sound = lambda w: w.isin(*KEPT, *VARIANTS, *CORE_TERMS) | F.exists(terms, lambda t: F.startswith(w, t))
-    return F.filter(F.filter(low, lambda w: (F.length(w) >= LEAST) & w.rlike("^[a-z]+$")), lambda w: ~sound(w))
+    sound = lambda w: w.isin(*KEPT, *CORE_TERMS) | F.exists(terms, lambda t: F.startswith(w, t))
+    return F.filter(low, lambda w: w.isin(*VARIANTS) | ((F.length(w) >= LEAST) & w.rlike("^[a-z]+$") & ~sound(w)))
 
 
 def edits(a: str, b: str) -> int:
@@ -97,23 +93,27 @@ def normalised(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``df`` with the columns normalised (the corrected text) and changes: array<struct<old,new,start,end>> in order.
 
     ``key`` tells rows apart. Offsets are code points of the original, ends exclusive. A null text has null columns, an
-    empty or sound one no changes. Only distinct long words meet the core terms; a row without a correction is joined
-    with nothing.
+    empty or sound one no changes. Only distinct long words meet the core terms, and a text without anything to correct
+    is not taken apart.
     """
-    own = df.select(F.col(key).alias("__key"), F.explode(long_words(F.col(text))).alias("word"))
-    fixes = corrections(own.select("word").distinct())
-    by_row = own.join(fixes, "word").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("word", "fix"))).alias("__fixes"))
+    own = df.select(F.col(key).alias("__key"), F.explode(doubtful_words(F.col(text))).alias("word"))
+    fixes = corrections(own.where(~F.col("word").isin(*VARIANTS)).select("word").distinct())
+    known = F.try_element_at(F.create_map(*(F.lit(x) for pair in VARIANTS.items() for x in pair)), F.col("word"))
+    found = own.join(fixes, "word", "left").select("__key", "word", F.coalesce(known, "fix").alias("fix")).where("fix is not null")
+    by_row = found.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("word", "fix"))).alias("__fixes"))
     joined = df.join(by_row, df[key] == by_row["__key"], "left").drop("__key")
 
     def fixed(word: Column) -> Column:
-        low = F.lower(word)
-        fix = F.coalesce(F.try_element_at(_literal_map(VARIANTS), low), F.try_element_at(F.col("__fixes"), low))
+        fix = F.try_element_at(F.col("__fixes"), F.lower(word))
         capital = F.substring(word, 1, 1).rlike("[A-Z]")
         return F.when(capital, F.concat(F.upper(F.substring(fix, 1, 1)), fix.substr(F.lit(2), F.length(fix)))).otherwise(fix)
 
+    places = F.filter(matches(F.col(text), WORD), lambda m: F.map_contains_key(F.col("__fixes"), F.lower(m["text"])))
+    changes = F.transform(places, lambda m: F.struct(m["text"].alias("old"), fixed(m["text"]).alias("new"), m["start"].alias("start"), m["end"].alias("end")))
+    none = F.array().cast("array<struct<old:string,new:string,start:int,end:int>>")
     whole = F.array_join(F.transform(F.regexp_extract_all(F.col(text), F.lit(PIECE), 0), lambda p: F.coalesce(fixed(p), p)), "")
-    found = F.transform(matches(F.col(text), WORD), lambda m: F.struct(m["text"].alias("old"), fixed(m["text"]).alias("new"), m["start"].alias("start"), m["end"].alias("end")))
-    return joined.withColumn("normalised", whole).withColumn("changes", F.filter(found, lambda c: c["new"].isNotNull())).drop("__fixes")
+    sound = F.col("__fixes").isNull()
+    return joined.select("*", F.when(sound, F.col(text)).otherwise(whole).alias("normalised"), F.when(sound, F.when(F.col(text).isNotNull(), none)).otherwise(changes).alias("changes")).drop("__fixes")
 
 
 def _original(changes: Column, at: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions.text import PLAIN, QUOTES
 from quarrylight.operators import corpus as C
+from quarrylight.operators import pages as P
 from quarrylight.operators import registers as R
 from quarrylight.operators import spelling as S
 from quarrylight.plans.tables import read, read_texts
@@ -210,3 +211,32 @@ def semantic_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     fixed = vectors.where("vec_id < 50").select(F.when(F.col("vec_id") < 40, F.col("label")).alias("proto_label"), F.col("embedding").alias("proto"))
     return C.semantic_types(vectors, fixed, 0.15, 0.05)
+
+
+LONG = "The battery of the truck burned while two men stood near it and called for help."
+
+
+@query(f"""
+WITH c AS (SELECT *, c_custkey % 4 AS k, 'The charger of ' || c_name || ' was left on over night and nobody looked at it' AS wrong FROM customer)
+SELECT c_custkey // 5 AS file, c_custkey % 5 + 1 AS record, CASE WHEN c_custkey // 5 % 2 = 0 THEN 'EUROPE ONSHORE' ELSE 'AFRICA OFFSHORE' END AS heading, make_date(2000 + c_custkey % 20, 3, c_custkey % 28 + 1) AS date, 'France' AS country,
+  upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS function, CASE WHEN k % 2 = 0 THEN 2 END AS number_of_deaths, 'Contractor' AS employer, c_name AS occupation, 12 AS lwdc_days, CASE WHEN k <> 1 THEN 'Energy Isolation|Hot Work' ELSE '' END AS rules,
+  CASE k WHEN 1 THEN NULL WHEN 2 THEN '{LONG}' ELSE 'Battery fire. ' || wrong END AS text, CASE WHEN k IN (0, 3) THEN 'narrative+what_went_wrong' ELSE 'narrative' END AS text_composition, '• Check it.|• Check it again.' AS corrective_actions,
+  'people_acts:Inattention:Improper deci- sion|process_conditions:Tools' AS factors, CASE k WHEN 0 THEN 'very_short_narrative' WHEN 1 THEN 'missing_narrative no_lsr fatal_without_death_count' WHEN 2 THEN 'unparsed_header_lines' ELSE 'very_short_narrative fatal_without_death_count' END AS warnings FROM c""")
+def page_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of reports that come as pages, a customer a page: lines, records, sections, victims, factors, warnings."""
+    key = F.col("c_custkey")
+    k = key % 4
+    lines = [
+        F.lit("2023 safety data - fatal incident reports"), F.when(key % 5 == 0, F.concat(F.lit("Front matter\n"), F.when(F.floor(key / 5) % 2 == 0, "Europe  Onshore").otherwise("AFRICA OFFSHORE"))),
+        F.concat(F.lit("DATE: "), key % 28 + 1, F.lit("th March, "), key % 20 + 2000), F.lit("COUNTRY: FRANCE"), F.when(k == 2, "Odd line"), F.concat(F.lit("FUNCTION: "), "c_mktsegment"), F.when(k % 2 == 0, "NUMBER OF DEATHS: 2 in all"),
+        F.lit("FATALITY\nFunction: Drilling, Employer: Contractor,"), F.concat(F.lit("Occupation: "), "c_name", F.lit(", LWDC Days: 12 days")), F.when(k != 1, "RULE: LOTO / Hot Work"),
+        F.when(k == 2, "NARRATIVE: " + LONG.replace(" while ", " while\n")).when(k != 1, "NARRATIVE: Battery fire."), F.concat(F.lit("WHAT WENT WRONG: The charger of "), "c_name", F.lit(" was left\non over night and nobody looked at it")),
+        F.lit("CORRECTIVE ACTIONS AND RECOMMENDATIONS:\n• Check it.\n• Check it\nagain.\nCAUSAL FACTORS: PEOPLE (ACTS): Inattention: Improper deci-\nsion\nPROCESS (CONDITIONS): Tools\nPROCESS (CONDITIONS): Tools"), (key % 100).cast("string"),
+    ]
+    pages = read(spark, sf_dir, "customer").select(F.floor(key / 5).alias("file"), key.alias("page"), F.concat_ws("\n", *lines).alias("text"))
+    found = P.parsed_records(P.page_records(P.page_lines(pages, ["file"], "page", "text"), ["file"]), F.lit("fatal"))
+    factors = F.transform("causal_factors", lambda c: F.concat_ws(":", c["group"], c["category"], c["factor"]))
+    return found.select(
+        "file", "record", "heading", "date", "country", "function", "number_of_deaths", F.col("victim.victim_employer").alias("employer"), F.col("victim.victim_occupation").alias("occupation"), "victim.lwdc_days",
+        F.array_join("life_saving_rules", "|").alias("rules"), "text", "text_composition", F.translate("corrective_actions", "\n", "|").alias("corrective_actions"), F.array_join(factors, "|").alias("factors"), F.array_join("warnings", " ").alias("warnings"),
+    )

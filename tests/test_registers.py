@@ -74,3 +74,23 @@ def test_semantic_types(spark):
     assert [(r["vec_id"], r["best"], r["runner_up"]) for r in semantic_types(rows, protos).orderBy("vec_id").collect()] == [(1, "a", "b"), (6, "b", "a")]
     with pytest.raises(ValueError, match="no labelled"):
         semantic_types(rows, protos.where("proto_label is null"))
+
+
+def test_page_records(spark):
+    from quarrylight.operators import pages as P
+
+    text = "2021 safety data - high potential event reports\nEUROPE ONSHORE\nDATE: 4 May 2021\nCAUSE: other\n7\nNARRATIVE: A man\nfell.\nCAUSAL FACTORS:\nNo causal factors allocated"
+    pages = spark.createDataFrame([("a", 1, "front"), ("a", 2, text), ("a", 3, "DATE: soon\nEUROPE ONSHORE"), ("b", 1, None), ("c", 1, "")], "f string, p int, t string")
+    found = P.parsed_records(P.page_records(P.page_lines(pages, ["f"], "p", "t"), ["f"]), F.lit("hipo")).orderBy("record").collect()
+    assert [(r["f"], r["heading"], r["lines"]) for r in found] == [("a", "EUROPE ONSHORE", 6), ("a", "EUROPE ONSHORE", 1)]
+    assert (found[0]["text"], found[0]["causal_factors"], found[0]["warnings"]) == ("A man fell.", [], ["very_short_narrative", "no_lsr"])
+    assert (found[1]["text"], found[1]["date_raw"], found[1]["warnings"]) == (None, "soon", ["missing_narrative", "no_lsr", "date_unparsed"])
+
+
+def test_victims_and_files(spark):
+    from quarrylight.operators import pages as P
+
+    row = spark.createDataFrame([("Function: Drilling, Employer: Contractor; LWDC Days: unknown, RWDC Days: 5 or more", "/in/2022sh (1).pdf", "notes.pdf")], "v string, a string, b string")
+    v, a, b = row.select(P.victim(F.col("v")), P.file_kind(F.col("a")), P.file_kind(F.col("b"))).first()
+    assert (v["victim_function"], v["victim_employer"], v["lwdc_days"], v["rwdc_days"], v["pi_category"]) == ("Drilling", "Contractor", None, 5, None)
+    assert tuple(a) == (2022, "hipo") and b is None
