@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions.text import PLAIN, QUOTES
 from quarrylight.operators import corpus as C
+from quarrylight.operators import gates as G
 from quarrylight.operators import pages as P
 from quarrylight.operators import registers as R
 from quarrylight.operators import spelling as S
@@ -240,3 +241,36 @@ def page_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         "file", "record", "heading", "date", "country", "function", "number_of_deaths", F.col("victim.victim_employer").alias("employer"), F.col("victim.victim_occupation").alias("occupation"), "victim.lwdc_days",
         F.array_join("life_saving_rules", "|").alias("rules"), "text", "text_composition", F.translate("corrective_actions", "\n", "|").alias("corrective_actions"), F.array_join(factors, "|").alias("factors"), F.array_join("warnings", " ").alias("warnings"),
     )
+
+
+ROLES = ["control_absent", "energy_cue", "release_cue", "control_ineffective"]
+SPANS = ["harness nahi", "crane", "Loose", "nahi tha", "not isolated"]
+SOURCES = ["rules", "rules:mined"]
+HAZARDS = [None, "vehicle_or_mobile_plant", None, "electrical", None, None, None]
+GATES = ["NONE", None, "EXCEEDS", "UNKNOWN", "NONE"]
+PREFILTERS = ["0", "0", "1", None, "0"]
+HEADS = ["NON_EVENT", None, "P_SIF", "SUCCESS"]
+SHORTS = ["Nil", "", "As per attached list of things to do"]
+SPAN_TYPE = "array<struct<role:string,text:string,source:string,score:double>>"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN {dealt_sql(SHORTS, 'doc_id')} ELSE coalesce(text, '') END AS t, (doc_id * 37 % 101) / 100.0 AS p, {dealt_sql(ROLES, 'doc_id', 2)} AS role, {dealt_sql(SPANS, 'doc_id', 3)} AS span, {dealt_sql(SOURCES, 'doc_id', 5)} AS source,
+  {dealt_sql(HAZARDS, 'doc_id', 7)} AS hazard, {dealt_sql(GATES, 'doc_id', 11)} AS g, {dealt_sql(PREFILTERS, 'doc_id', 13)} AS pre, {dealt_sql(HEADS, 'doc_id', 17)} AS head, (doc_id % 10) / 10.0 AS conf, (doc_id % 6) / 5.0 AS score FROM documents),
+h AS (SELECT *, CASE WHEN role <> 'energy_cue' AND source = 'rules' AND span NOT IN ('Loose', 'nahi tha') THEN 'rule span ' || role || '=' || span END AS hard FROM d),
+e AS (SELECT *, list_filter([hard, CASE WHEN hazard <> 'vehicle_or_mobile_plant' OR (hazard IS NOT NULL AND role IN ('release_cue', 'control_absent')) THEN 'hazard ' || hazard END, CASE WHEN g = 'EXCEEDS' THEN 'energy EXCEEDS' END,
+  CASE WHEN score >= 0.8 THEN 'model energy_cue=pump' END, CASE WHEN pre = '1' THEN 'prefilter' END, CASE WHEN head = 'P_SIF' AND conf >= 0.4 THEN 'head P_SIF' END], lambda x: x IS NOT NULL) AS ev,
+  regexp_matches(t, '(?i)^\W*(nil|as per attached)\b') OR len(regexp_extract_all(t, '\S+')) <= 3 AS bare FROM h),
+s AS (SELECT *, CASE WHEN p > 0.9 AND hard IS NULL THEN 'scope' WHEN p >= 0.35 AND (pre IS NOT NULL OR head IS NOT NULL) AND NOT bare AND len(ev) = 0 THEN 'evidence' END AS stage FROM e)
+SELECT doc_id, stage IS NOT NULL AS reject, stage, array_to_string(ev, '|') AS evidence FROM s""")
+def gate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts the scope and evidence gates turn away, and what speaks for the others."""
+    text = F.when(F.col("doc_id") % 9 == 0, dealt(SHORTS, "doc_id")).otherwise(F.coalesce("text", F.lit("")))
+    span = F.array(F.struct(dealt(ROLES, "doc_id", 2).alias("role"), dealt(SPANS, "doc_id", 3).alias("text"), dealt(SOURCES, "doc_id", 5).alias("source"), F.lit(1.0).alias("score")))
+    model = F.array(F.struct(F.lit("energy_cue").alias("role"), F.lit("pump").alias("text"), F.lit("model").alias("source"), (F.col("doc_id") % 6 / 5.0).alias("score")))
+    docs = read_texts(spark, sf_dir, "documents").select(
+        "doc_id", text.alias("text"), (F.col("doc_id") * 37 % 101 / 100.0).alias("p"), span.cast(SPAN_TYPE).alias("spans"), model.cast(SPAN_TYPE).alias("model_spans"), dealt(HAZARDS, "doc_id", 7).alias("hazard"), F.lit(None).cast("string").alias("semantic"),
+        dealt(GATES, "doc_id", 11).alias("energy_gate"), dealt(PREFILTERS, "doc_id", 13).alias("prefilter"), dealt(HEADS, "doc_id", 17).alias("head"), (F.col("doc_id") % 10 / 10.0).alias("head_confidence"),
+    )
+    names = ["p", "text", "spans", "model_spans", "hazard", "semantic", "energy_gate", "prefilter", "head", "head_confidence"]
+    return G.gated(docs, {n: n for n in names}).select("doc_id", "gate.reject", "gate.stage", F.array_join("gate.evidence", "|").alias("evidence"))

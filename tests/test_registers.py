@@ -94,3 +94,24 @@ def test_victims_and_files(spark):
     v, a, b = row.select(P.victim(F.col("v")), P.file_kind(F.col("a")), P.file_kind(F.col("b"))).first()
     assert (v["victim_function"], v["victim_employer"], v["lwdc_days"], v["rwdc_days"], v["pi_category"]) == ("Drilling", "Contractor", None, 5, None)
     assert tuple(a) == (2022, "hipo") and b is None
+
+
+def test_gates(spark):
+    from quarrylight.operators import gates as G
+
+    span = "array<struct<role:string,text:string,source:string,score:double>>"
+    names = ["p", "text", "spans", "model_spans", "hazard", "semantic", "energy_gate", "prefilter", "head", "head_confidence"]
+    long = "the paratha was cold again in the mess"
+    rows = [
+        (1, 0.95, long, [("control_absent", "nahi tha", "rules", 1.0)], [], None, None, None, "0", None, None),
+        (2, 0.95, long, [("control_absent", "harness nahi", "rules", 1.0)], [], None, None, None, "0", None, None),
+        (3, 0.5, long, [], None, None, None, None, "0", None, None),
+        (4, 0.5, "Nil", None, None, None, None, None, "0", None, None),
+        (5, 0.5, long, [], [("energy_cue", "AC", "model", 0.9)], None, None, None, "0", None, None),
+        (6, 0.5, long, [], [("negation_cue", "remote", "model", 0.9)], "vehicle_or_mobile_plant", None, "NONE", None, "P_SIF", 0.3),
+        (7, None, None, None, None, None, None, None, None, None, None),
+        (8, 0.5, long, [], [], None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, f"id int, p double, text string, spans {span}, model_spans {span}, hazard string, semantic string, energy_gate string, prefilter string, head string, head_confidence double")
+    got = {r["id"]: (r["gate"]["stage"], r["gate"]["evidence"]) for r in G.gated(df, {n: n for n in names}).collect()}
+    assert got == {1: ("scope", []), 2: (None, ["rule span control_absent=harness nahi"]), 3: ("evidence", []), 4: (None, []), 5: (None, ["model energy_cue=AC"]), 6: ("evidence", []), 7: (None, []), 8: (None, [])}
