@@ -33,9 +33,9 @@ from quarrylight.llm.tokens import byte_letters
 
 BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in one chunk, unless a single text is longer; a chunk is worked on by one task at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
 #: Pieces whose tokens a worker keeps from one chunk to the next, and pieces that are encoded at a time.
-KNOWN_PIECES, PIECES_PER_CALL = 300_000, 10_000
+KNOWN_PIECES, PIECES_PER_CALL = 150_000, 2_000
 #: Occurrences of pieces whose group texts are laid out at a time.
 PLACES_PER_PASS = 200_000
 #: White space of either library next to a space, or a space at an end: such texts are cut one by one.

@@ -7,7 +7,7 @@ from typing import NamedTuple
 import numpy as np
 
 #: Terms that one pass of a product lays out, unless a single row has more.
-TERMS_PER_PASS = 4_000_000
+TERMS_PER_PASS = 500_000
 
 
 class Csr(NamedTuple):
