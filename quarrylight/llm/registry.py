@@ -10,6 +10,7 @@ from quarrylight.llm import language, toxicity
 from quarrylight.llm.alignment import align_documents
 from quarrylight.llm.common import read
 from quarrylight.llm.decontaminate import contaminated
+from quarrylight.llm.licenses import scan_licenses
 from quarrylight.llm.minhash import near_duplicates
 from quarrylight.llm.packing import pack_documents
 from quarrylight.llm.repair import repair_conversations
@@ -63,6 +64,10 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(read(spark, sf_dir, "documents"))
 
@@ -179,7 +184,7 @@ ORACLE = {"op13_conversation_repair": CONVERSATION_REPAIR_SQL, "op3_top_k": TOP_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_repeated_strings, op2_token_files, op3_top_k, op4_toxicity, op5_longest_first_shards, op6_decontamination, op7_language, op8_secret_scan, op9_near_duplicates, op10_best_two_fit, op12_token_alignment, op13_conversation_repair)
+    own = (op1_repeated_strings, op2_token_files, op3_top_k, op4_toxicity, op5_longest_first_shards, op6_decontamination, op7_language, op8_secret_scan, op9_near_duplicates, op10_best_two_fit, op11_license_scan, op12_token_alignment, op13_conversation_repair)
     return {f.__name__: f for f in own}
 
 
