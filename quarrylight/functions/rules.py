@@ -101,30 +101,43 @@ HARM_NEGATED_BEFORE = r"\b(?:no|koi|without|nahi|not|bina|कोई|नहीं
 HARM_NEGATED_AFTER = r"^\s*(?:\w+\s+){0,1}(?:nahi|nai|nahin|not|नहीं)\b"
 HARM_MINIMISED = r"\b(halka|halki|thoda|thodi|minor|slight\w*|superficial|first aid|chhota|chota|small|mamuli|hairline|thoda sa|जरा|थोड़ा|हल्का|हल्की|मामूली|eye ?wash|paani se dho\w*|wash(?:ed)? (?:with water|off|it)|rest (?:diya|given|le liya)|kaam pe wapas|resumed work|back to work)\b"
 
-# Cues of unsafe acts and unsafe conditions, by tag.
-ACTOR = r"\b(operator|worker|technician|attendant|driver|electrician|engineer|helper|staff|employee|crew|fitter|welder|rigger|foreman|supervisor|contractor|labour|labor|roustabout|derrickman|driller|mechanic|person|man|colleague|collique|mistri|khalasi|mazdoor|karmchari|aadmi|banda|log|karigar|JE|AE|I/C|in-?charge)\b"
-ACTS = {
-    "ppe_not_worn": r"\b(nahi|na)\s+(pehn\w*|lagay\w*|laga\w*|pahn\w*)|\b(without|not)\s+(wearing|using|donning)\b|\bpehn\w*\s+(bina|binaa)\b",
-    "procedure_not_followed": r"\b(did\s+not|didn'?t|failed\s+to)\s+(wear|use|don|follow|check|isolate|test)\b|\bbina\s+[\w\s]{0,24}?\s*(ke|kiye|liye)\b|\b(kiye|liye|banaye|lagaye)\s+bina\b|\bwithout\s+(a\s+)?(permit|ptw|loto|isolation|gas\s*test|jsa|authorisation|authorization|clearance|barricad\w*|supervision)\b",
-    "control_bypassed": r"\b(bypass\w*|override\w*|overrode|disabl\w*|defeat\w*|tamper\w*)\b|\b(hata\s*(diya|di|dena)|nikal\s*(diya|di)|utar\s*(diya|di)|khol\s*(diya|di|na\s+shuru))\b",
-    "risky_position": r"\b(climb\w*|jump\w*|reach\w*\s+into|lean\w*|stood\s+on|standing\s+on|crawl\w*|crossed?\s+over)\b|\b(chadh\s*(gaya|gayi|kar)|kood\w*|jhuk\s*kar|latak\w*)\b",
-    "operated_during_work": r"\b(switched?\s+on|started|operated|ran)\b[^.]{0,40}\bwhile\b[^.]{0,40}\b(fixing|repair\w*|cleaning|adjust\w*|inside)\b",
-    "manual_workaround": r"\b(manually|by\s+hand)\s+(push\w*|lift\w*|operat\w*|open\w*)\b|\b(push\w*|lift\w*|operat\w*|open\w*|mov\w*)\s+manually\b",
-    "risky_behaviour": r"\b(speed\w*|rash\w*|overload\w*|short\s*cut|shortcut)\b",
-}
-CONDITIONS = {
-    "slippery_surface": r"\b(slip+er\w*|phisal\w*|chikn\w*|greasy|wet\s+floor|gil[ae])\b",
-    "slip_trip_surface": r"\b(slip+ed|slid|slipping|tripp?ed|trip+ing|stumbl\w*|phisal\s*gay\w*)\b",
-    "spill_or_leak": r"\b(spill\w*|leak\w*|seep\w*|overflow\w*|ris\w*\s+leak|tapak\w*)\b",
-    "damaged_equipment": r"\b(broken|damaged|defective|faulty|crack\w*|tut[ae]|toot\w*|phat[ae]|fat\s+gay\w*|kharab|bigad\w*|collaps\w*|(rope|wire|sensor|brake|valve|switch|limit)\s+fail\w*|worn\s*out|corrod\w*|jang)\b",
-    "opening_unprotected": r"\b(uncovered|open\s+(manhole|drain|pit|trench)|khul[ai]\s+(nali|manhole|pit)|bina\s+cover|cover\s+nahi|missing\s+(cover|guard|grating))\b",
-    "unguarded_hazard": r"\b(unguarded|no\s+guard|guard\s+(missing|removed)|exposed\s+(wire|cable|conductor|terminal|part)|naked\s+wire|tar\s+khul\w*)\b",
-    "no_barricade": r"\b(barricad\w*\s+(nahi|absent|missing|not)|no\s+barricad\w*|bina\s+barricad\w*|unbarricaded|cordon\w*\s+nahi)\b",
-    "poor_lighting": r"\b(poor|dim|insufficient|inadequate|low)\s+(light\w*|illuminat\w*|visibility)\b|\b(andher[aa]|roshni\s+(kam|nahi)|light\s+nahi)\b",
-    "obstruction": r"\b(obstruct\w*|cluttered|blocked|block\s+ho|jam+ed|jam\s+(hai|tha)|kept\s+(near|along|on)|padd?[ae]\s+(the|tha|hue))\b",
-    "unstable_arrangement": r"\b(loose|dheel[ae]|unbalanc\w*|unstable|uneven|wobbl\w*|hil\s+rah\w*|high\s+stack\w*|improperly\s+stack\w*)\b",
-    "protrusion_or_dangling": r"\b(sharp\s+edge|protrud\w*|nikl[ae]\s+hu\w*|dangling|hanging|latk\w*)\b",
-    "electrical_defect": r"\b(short[\s-]*circuit\w*|spark\w*|earthing\s+(nahi|missing)|no\s+earthing)\b",
-    "equipment_not_working": r"\b(kaam\s+nahi\s+kar|not\s+working|non[\s-]*functional|out\s+of\s+order|band\s+(pada|padi|hai|tha))\b|\bnot\s+(rotating|turning|running|functioning|closing|latching|holding|locking|seated|secured)\b",
-}
+# Who acts; cues of unsafe acts and of unsafe conditions with their tags, in the order in which they are tried; what happens to a person.
+ACTOR = r"\b(operator|worker|technician|attendant|driver|electrician|engineer|helper|staff|employee|crew|fitter|welder|rigger|foreman|supervisor|contractor|labour|labor|roustabout|derrickman|driller|mechanic|fitter|person|man|colleague|collique|mistri|khalasi|mazdoor|karmchari|aadmi|banda|log|karigar|JE|AE|I/C|in-?charge)\b"
+ACTS = [
+    (r"\b(nahi|na)\s+(pehn\w*|lagay\w*|laga\w*|pahn\w*)", "ppe_not_worn"),
+    (r"\b(without|not)\s+(wearing|using|donning)\b", "ppe_not_worn"),
+    (r"\b(did\s+not|didn'?t|failed\s+to)\s+(wear|use|don|follow|check|isolate|test)\b", "procedure_not_followed"),
+    (r"\bpehn\w*\s+(bina|binaa)\b", "ppe_not_worn"),
+    (r"\bbina\s+[\w\s]{0,24}?\s*(ke|kiye|liye)\b", "procedure_not_followed"),
+    (r"\b(kiye|liye|banaye|lagaye)\s+bina\b", "procedure_not_followed"),
+    (r"\bwithout\s+(a\s+)?(permit|ptw|loto|isolation|gas\s*test|jsa|authorisation|authorization|clearance|barricad\w*|supervision)\b", "procedure_not_followed"),
+    (r"\b(bypass\w*|override\w*|overrode|disabl\w*|defeat\w*|tamper\w*)\b", "control_bypassed"),
+    (r"\b(hata\s*(diya|di|dena)|nikal\s*(diya|di)|utar\s*(diya|di)|khol\s*(diya|di|na\s+shuru))\b", "control_bypassed"),
+    (r"\b(climb\w*|jump\w*|reach\w*\s+into|lean\w*|stood\s+on|standing\s+on|crawl\w*|crossed?\s+over)\b", "risky_position"),
+    (r"\b(chadh\s*(gaya|gayi|kar)|kood\w*|jhuk\s*kar|latak\w*)\b", "risky_position"),
+    (r"\b(switched?\s+on|started|operated|ran)\b[^.]{0,40}\bwhile\b[^.]{0,40}\b(fixing|repair\w*|cleaning|adjust\w*|inside)\b", "operated_during_work"),
+    (r"\b(manually|by\s+hand)\s+(push\w*|lift\w*|operat\w*|open\w*)\b", "manual_workaround"),
+    (r"\b(push\w*|lift\w*|operat\w*|open\w*|mov\w*)\s+manually\b", "manual_workaround"),
+    (r"\b(speed\w*|rash\w*|overload\w*|short\s*cut|shortcut)\b", "risky_behaviour"),
+]
+CONDITIONS = [
+    (r"\b(slip+er\w*|phisal\w*|chikn\w*|greasy|wet\s+floor|gil[ae])\b", "slippery_surface"),
+    (r"\b(slip+ed|slid|slipping|tripp?ed|trip+ing|stumbl\w*|phisal\s*gay\w*)\b", "slip_trip_surface"),
+    (r"\b(spill\w*|leak\w*|seep\w*|overflow\w*|ris\w*\s+leak|tapak\w*)\b", "spill_or_leak"),
+    (r"\b(broken|damaged|defective|faulty|crack\w*|tut[ae]|toot\w*|phat[ae]|fat\s+gay\w*|kharab|bigad\w*|collaps\w*|(rope|wire|sensor|brake|valve|switch|limit)\s+fail\w*|worn\s*out|corrod\w*|jang)\b", "damaged_equipment"),
+    (r"\b(uncovered|open\s+(manhole|drain|pit|trench)|khul[ai]\s+(nali|manhole|pit)|bina\s+cover|cover\s+nahi|missing\s+(cover|guard|grating))\b", "opening_unprotected"),
+    (r"\b(unguarded|no\s+guard|guard\s+(missing|removed)|exposed\s+(wire|cable|conductor|terminal|part)|naked\s+wire|tar\s+khul\w*)\b", "unguarded_hazard"),
+    (r"\b(barricad\w*\s+(nahi|absent|missing|not)|no\s+barricad\w*|bina\s+barricad\w*|unbarricaded|cordon\w*\s+nahi)\b", "no_barricade"),
+    (r"\b(poor|dim|insufficient|inadequate|low)\s+(light\w*|illuminat\w*|visibility)\b", "poor_lighting"),
+    (r"\b(andher[aa]|roshni\s+(kam|nahi)|light\s+nahi)\b", "poor_lighting"),
+    (r"\b(obstruct\w*|cluttered|blocked|block\s+ho|jam+ed|jam\s+(hai|tha)|kept\s+(near|along|on)|padd?[ae]\s+(the|tha|hue))\b", "obstruction"),
+    (r"\b(loose|dheel[ae]|unbalanc\w*|unstable|uneven|wobbl\w*|hil\s+rah\w*|high\s+stack\w*|improperly\s+stack\w*)\b", "unstable_arrangement"),
+    (r"\b(sharp\s+edge|protrud\w*|nikl[ae]\s+hu\w*|dangling|hanging|latk\w*)\b", "protrusion_or_dangling"),
+    (r"\b(short[\s-]*circuit\w*|spark\w*|earthing\s+(nahi|missing)|no\s+earthing)\b", "electrical_defect"),
+    (r"\b(kaam\s+nahi\s+kar|not\s+working|non[\s-]*functional|out\s+of\s+order|band\s+(pada|padi|hai|tha))\b", "equipment_not_working"),
+    (r"\bnot\s+(rotating|turning|running|functioning|closing|latching|holding|locking|seated|secured)\b", "equipment_not_working"),
+]
 PASSIVE = r"\b(almost|nearly|about\s+to\s+be|narrowly)\s+(hit|struck|knock\w*|injur\w*|caught|pinch\w*|crush\w*|run\s+over)\b|\b(hit|struck|knock\w*|pinch\w*)\s+by\b"
+
+# Descriptions of routine operations, which are no events.
+ROUTINE = ["vehicle arrived at the gate", "parked in the designated area", "toolbox talk conducted", "routine patrol"]

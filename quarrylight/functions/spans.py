@@ -41,6 +41,14 @@ def hit(text: Column, pattern: str) -> Column:
     return text.rlike(FLAGS + pattern)
 
 
+def first_match(text: Column, pattern: str) -> Column:
+    """struct<text,start,end> of a pattern's first match, the text trimmed and the offsets not; null without one."""
+    regex = FLAGS + pattern
+    found = F.regexp_extract(text, regex, 0)
+    start = F.length(F.get(F.split(text, regex, 2), F.lit(0)))
+    return F.when(hit(text, pattern), F.struct(F.trim(found).alias("text"), start.alias("start"), (start + F.length(found)).alias("end")))
+
+
 def around(text: Column, start: Column, end: Column, reach: int) -> Column:
     """What stands within ``reach`` characters of a span, the span included."""
     first = F.greatest(start - reach, F.lit(0))

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions import rules as R
-from quarrylight.functions.spans import around, first_of, hit, matches, overlaps
+from quarrylight.functions.spans import around, first_match, first_of, hit, matches, overlaps
+from quarrylight.operators.gates import OUT, decision, hard_evidence, routine
+from quarrylight.operators.spelling import led_back, normalised
 
 FAST_LANE, REVIEW_BELOW = 0.75, 0.55
 # Words of the language test.
@@ -230,8 +232,18 @@ def decision_path(high: Column, released: Column, injured: Column, control: Colu
     return F.concat(path, F.lit(" -> "), F.coalesce(verdict, F.lit("undecided")))
 
 
-def cue_tags(text: Column, table: dict[str, str]) -> Column:
-    return F.array_compact(F.array(*(F.when(hit(text, p), tag) for tag, p in table.items())))
+def cues(text: Column, table: list[tuple[str, str]]) -> Column:
+    """array<struct<cue,text,start,end>>: the first match of each pattern, one a tag, in the order of the table."""
+    def tagged(pattern: str, tag: str) -> Column:
+        return F.get(F.transform(F.array(first_match(text, pattern)), lambda m: F.when(m.isNotNull(), cue(tag, m))), F.lit(0))
+
+    found = F.array_compact(F.array(*(tagged(p, tag) for p, tag in table)))
+    earlier = lambda c, k: F.exists(F.slice(found, F.lit(1), k), lambda o: o["cue"] == c["cue"])
+    return F.filter(found, lambda c, k: ~earlier(c, k))
+
+
+def cue(tag: str, found: Column) -> Column:
+    return F.struct(F.lit(tag).alias("cue"), found["text"].alias("text"), found["start"].alias("start"), found["end"].alias("end"))
 
 
 def primary_flag(act: Column, condition: Column, acts: Column, conditions: Column) -> Column:
@@ -239,29 +251,75 @@ def primary_flag(act: Column, condition: Column, acts: Column, conditions: Colum
     return F.when(act & condition, F.when(acts > conditions, "UA").otherwise("UC")).when(act, "UA").when(condition, "UC")
 
 
-def score(df: DataFrame, text: str = "text", lexicon: dict[str, list[str]] | None = None, max_chars: int | None = None, model_spans: str | None = None, fuse: bool = True) -> DataFrame:
+#: Columns that ``score`` may be told of for its gates; those that are not named are null.
+GATE_COLUMNS = {"p": "double", "prefilter": "string", "head": "string", "head_confidence": "double", "event_type": "string", "event_p": "double", "p_routine": "double", "p_safety": "double"}
+#: Score from which a model's energy span bears out what a text is about (N22), and from which it counts by itself.
+WEAK_SPAN, SURE_SPAN = 0.50, 0.60
+FACTS = ("high_energy_present", "energy_released", "serious_injury", "direct_control_present")
+
+
+def hazard_of(name: Column) -> Column:
+    """The entry of a hazard by its name, shaped as ``hazard`` gives it; null for an unknown name."""
+    options = {n: F.struct(F.lit(n).alias("name"), F.lit(energy).alias("energy"), F.lit(barrier).alias("barrier"), F.lit(consequence).alias("consequence"), F.lit(cluster).alias("cluster"), F.array(*map(F.lit, lsr)).alias("lsr")) for n, (_, energy, barrier, consequence, cluster, lsr) in R.HAZARDS.items()}
+    return reduce(lambda e, x: e.when(name == x[0], x[1]), options.items(), F.when(F.lit(False), next(iter(options.values()))))
+
+
+def score(
+    df: DataFrame, text: str = "text", lexicon: dict[str, list[str]] | None = None, max_chars: int | None = None, model_spans: str | None = None, fuse: bool = True,
+    spelling: bool = False, semantic: str | None = None, gates: dict[str, str] | None = None,
+) -> DataFrame:
     """``df`` with language, statement_type, hazard, spans, energy, facts, verdict, confidence, review and act/condition columns.
 
     A null or blank text gets the verdict INSUFFICIENT with no spans. Texts are read whole, unless ``max_chars`` cuts
-    them (the scorer of the reference takes 8000). ``model_spans`` names a column of spans from a model: they are fused
-    with the rules' own or, without ``fuse``, added as they are. Input columns of the same names as the added ones are
-    replaced.
+    them (the scorer of the reference takes 8000). Offsets are those of ``scored_text``, the text without the spaces
+    around it. ``model_spans`` names a column of spans from a model: they are fused with the rules' own or, without
+    ``fuse``, added as they are. Input columns of the same names as the added ones are replaced.
+
+    The whole rule stack is a matter of three options (X01). ``spelling``: every layer reads the corrected text, and the
+    spans, facts, harms and cues that come back have the words and offsets of the text as it was typed; ``changes`` lists
+    what was corrected (N05, N06). ``semantic`` names a column struct<hazard,score> of the hazard that the text is about;
+    it counts only where a model's energy span bears it out (N22). ``gates`` maps names of GATE_COLUMNS to columns (it may
+    be empty): routine texts become NON_EVENT, those out of scope OUT_OF_SCOPE, all with the full row, nothing asked
+    and nothing to review; ``gate`` tells the stage and what spoke for the others (N19 to N21, N25). Routine and scope
+    leave before anything else is sought in the text.
     """
+    out = df.withColumn("__whole", F.trim(F.coalesce(F.col(text), F.lit(""))))
+    if max_chars is not None:
+        out = out.withColumn("__whole", F.substring("__whole", 1, max_chars))
+    out = out.withColumn("scored_text", F.col("__whole"))
+    out = normalised(out, "__whole", ("__text", "changes")) if spelling else out.withColumn("__text", F.col("__whole"))
+    model = F.coalesce(F.col(model_spans).cast(SPAN), F.array().cast(SPAN)) if model_spans else F.array().cast(SPAN)
+    out = out.withColumn("__model", model)
     t = F.col("__text")
-    whole = F.trim(F.coalesce(F.col(text), F.lit("")))
-    out = df.withColumn("__text", whole if max_chars is None else F.substring(whole, 1, max_chars))
-    out = out.withColumn("language", language(t)).withColumn("statement_type", statement_type(t)).withColumn("hazard", hazard(t))
-    out = out.withColumn("__rules", rule_spans(t))
+    out = out.withColumn("language", language(t)).withColumn("statement_type", statement_type(t)).withColumn("__rules", rule_spans(t))
     spans = with_lexicon(t, F.col("__rules"), lexicon or {})
-    for cues, *_ in R.HAZARDS.values():
+    for words, *_ in R.HAZARDS.values():
         out = out.withColumn("__rules", spans)
-        spans = F.concat(F.col("__rules"), as_spans(unclaimed(matches(t, cues), F.col("__rules"), ("negation_cue", "energy_cue")), "energy_cue", "rules:hazard_lexicon"))
-    out = out.withColumn("__spans", spans).withColumn("energy", energy_gate(t, F.col("hazard.energy"))).withColumn("harms", harms(t, F.col("hazard.energy")))
+        spans = F.concat(F.col("__rules"), as_spans(unclaimed(matches(t, words), F.col("__rules"), ("negation_cue", "energy_cue")), "energy_cue", "rules:hazard_lexicon"))
+    out = out.withColumn("__found", spans)
+    g = {name: (F.col(gates[name]) if gates and name in gates else F.lit(None)).cast(kind) for name, kind in GATE_COLUMNS.items()}
+    if gates is not None:
+        early = F.when(routine(t, g["event_type"], g["event_p"], g["p_routine"], g["p_safety"]), "routine").when((g["p"] > OUT) & hard_evidence(F.col("__found")).isNull(), "scope")
+        # What leaves here has no more text to look at, and no model has run on it.
+        out = out.withColumn("__early", early).withColumn("__read", t).withColumn("__text", F.when(F.col("__early").isNull(), t).otherwise("")).withColumn("__model", F.when(F.col("__early").isNull(), F.col("__model")).otherwise(F.array().cast(SPAN)))
+    out = out.withColumn("hazard", hazard(t)).withColumn("__spans", F.col("__found"))
+    if semantic:
+        borne = F.exists("__model", lambda s: (s["role"] == "energy_cue") & (s["score"] >= WEAK_SPAN))
+        out = out.withColumn("__meant", F.when(borne & (F.col("__text") != ""), F.struct(F.col(semantic)["hazard"].alias("hazard"), F.col(semantic)["score"].cast("double").alias("score"))))
+        out = out.withColumn("__meant", F.when(F.col("__meant.hazard").isNotNull(), F.col("__meant"))).withColumn("hazard", F.coalesce("hazard", hazard_of(F.col("__meant.hazard"))))
+        # Two weak signals that agree make an energy span, where neither the rules nor the model are sure of one.
+        weak = F.filter("__model", lambda s: (s["role"] == "energy_cue") & (s["score"] >= WEAK_SPAN))
+        top = F.array_max(F.transform(weak, lambda s: s["score"]))
+        named = F.exists("__spans", lambda s: s["role"] == "energy_cue") | F.exists("__model", lambda s: (s["role"] == "energy_cue") & (s["score"] >= SURE_SPAN))
+        raised = F.transform(F.slice(F.filter(weak, lambda s: s["score"] == top), 1, 1), lambda s: s.withField("source", F.lit("gliner+semantic")))
+        sure = F.filter("__model", lambda s: s["score"] >= SURE_SPAN) if fuse else F.col("__model")
+        out = out.withColumn("__model", F.when(F.col("__meant").isNotNull() & ~named, F.concat(sure, raised)).otherwise(sure))
+    out = out.withColumn("energy", energy_gate(t, F.col("hazard.energy"))).withColumn("harms", harms(t, F.col("hazard.energy")))
     # A harm that no outcome span covers is an outcome; an energy source or a person is no control.
     fresh = F.filter("harms", lambda h: ~F.exists("__spans", lambda s: (s["role"] == "outcome_cue") & overlaps(s, h)))
     out = out.withColumn("__spans", F.concat("__spans", as_spans(fresh, "outcome_cue", "rules:harm")))
     if model_spans:
-        out = out.withColumn("__spans", fused_spans(F.col("__spans"), F.col(model_spans)) if fuse else F.concat(F.col("__spans"), F.col(model_spans).cast(SPAN)))
+        out = out.withColumn("__spans", fused_spans(F.col("__spans"), F.col("__model"), 0.0 if semantic else SURE_SPAN) if fuse else F.concat(F.col("__spans"), F.col("__model")))
     order = lambda a, b: F.when((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["end"] < b["end"])), -1).when((a["start"] == b["start"]) & (a["end"] == b["end"]), 0).otherwise(1)
     out = out.withColumn("spans", F.array_sort("__spans", order))
     wrong = lambda s: s["role"].isin(*PRESENT) & (F.exists("spans", lambda e: (e["role"] == "energy_cue") & overlaps(s, e)) | s["text"].rlike("(?iU)" + R.PERSON_ONLY))
@@ -293,16 +351,23 @@ def score(df: DataFrame, text: str = "text", lexicon: dict[str, list[str]] | Non
     low = F.get(matches(t, R.LOW_ENERGY), F.lit(0))
     implied = F.coalesce(plain(c("absent")), plain(c("present")))
     out = out.withColumn("__low", F.when(~(hit(t, R.MINIMISER) & c("absent").isNotNull()), low)).withColumn("__implied", implied)
+    meant = F.col("__meant").isNotNull() if semantic else F.lit(False)
+    about = F.format_string("semantic(%s@%.2f)", "__meant.hazard", "__meant.score") if semantic else F.lit("none")
     high = (
         F.when(F.col("energy.gate") == "EXCEEDS", fact(F.lit(True), plain(c("energy")), "energy_model"))
         .when(F.col("energy.gate") == "BELOW", fact(F.lit(False), plain(c("energy")), "energy_model"))
         .when(c("low").isNotNull(), fact(F.lit(False), c("low"), "rules:low_energy_marker"))
         .when(c("energy").isNotNull(), fact(F.lit(True), plain(c("energy")), c("energy")["source"]))
         .when(c("implied").isNotNull(), fact(F.lit(True), c("implied"), "derived(barrier implies its energy)"))
+        .when(meant, fact(F.lit(True), nothing, about))
         .when(F.col("serious_injury.value"), fact(F.lit(True), F.struct(F.col("serious_injury.span").alias("text"), F.col("serious_injury.span_start").alias("start"), F.col("serious_injury.span_end").alias("end")), "derived(serious injury implies high energy)"))
         .otherwise(fact(F.lit(None), nothing, "none"))
     )
     out = out.withColumn("high_energy_present", high)
+    if semantic:
+        # A minor harm alone speaks against an energy that only the meaning names.
+        slight = F.col("high_energy_present.value") & (c("worst")["level"] == 1) & (F.col("high_energy_present.source").startswith("semantic") | (F.col("high_energy_present.source") == "gliner+semantic"))
+        out = out.withColumn("high_energy_present", F.when(slight, fact(F.lit(False), plain(c("worst")), "derived(minor harm, no named energy)")).otherwise(F.col("high_energy_present")))
 
     # Was it released? Was a direct control in place?
     released = (
@@ -323,18 +388,18 @@ def score(df: DataFrame, text: str = "text", lexicon: dict[str, list[str]] | Non
     out = out.withColumn("energy_released", released).withColumn("direct_control_present", control).withColumn("control_effective", effective(t, own))
 
     # Verdict, confidence by kind of evidence, review.
-    facts = ("high_energy_present", "energy_released", "serious_injury", "direct_control_present")
-    derived = tree(*(F.col(f"{f}.value") for f in facts), F.col("statement_type"), F.col("control_effective"))
+    derived = tree(*(F.col(f"{f}.value") for f in FACTS), F.col("statement_type"), F.col("control_effective"))
     verdict = F.when(c("no_exposure").isNotNull() & ~F.coalesce(F.col("serious_injury.value"), F.lit(False)), "NON_EVENT").otherwise(derived)
     out = out.withColumn("__verdict", verdict)
-    path = decision_path(*(F.col(f"{f}.value") for f in facts), F.col("statement_type"), F.col("control_effective"), derived)
+    path = decision_path(*(F.col(f"{f}.value") for f in FACTS), F.col("statement_type"), F.col("control_effective"), derived)
     out = out.withColumn("decision_path", F.when(c("no_exposure").isNotNull() & ~F.coalesce(F.col("serious_injury.value"), F.lit(False)), "no_exposure -> NON_EVENT").otherwise(path))
 
     def worth(name: str) -> Column:
         source = F.col(f"{name}.source")
-        return F.when(F.col(f"{name}.value").isNull(), 0.0).when(source.startswith("default") | source.startswith("derived"), 0.06).otherwise(0.13)
+        model_only = ~source.startswith("rules") & (source.contains("gliner") | source.startswith("semantic"))
+        return F.when(F.col(f"{name}.value").isNull(), 0.0).when(source.startswith("default") | source.startswith("derived"), 0.06).when(model_only, 0.08).otherwise(0.13)
 
-    confidence = F.lit(0.34) + reduce(Column.__add__, map(worth, facts))
+    confidence = F.lit(0.34) + reduce(Column.__add__, map(worth, FACTS))
     confidence = F.when(c("verdict").isNull(), 0.4).when(~F.col("control_effective"), F.least(confidence, F.lit(0.62))).otherwise(confidence)
     out = out.withColumn("verdict", F.coalesce(c("verdict"), F.lit("INSUFFICIENT"))).withColumn("confidence", F.bround(confidence, 3))
     sif_like = F.col("verdict").isin("H_SIF", "L_SIF", "P_SIF", "EXPOSURE", "CAPACITY")
@@ -343,13 +408,54 @@ def score(df: DataFrame, text: str = "text", lexicon: dict[str, list[str]] | Non
     mode = F.when(F.exists("spans", lambda s: s["role"] == "control_ineffective"), "present_but_degraded").when(F.exists("spans", lambda s: s["role"] == "pseudo_control") & ~F.col("direct_control_present.value"), "pseudo_control_only").when(~F.col("direct_control_present.value"), "not_established").when(F.col("direct_control_present.value"), "effective")
     out = out.withColumn("barrier_failure_mode", mode).withColumn("negation_scope", negation_scope(t, F.col("spans")))
 
-    # Unsafe act, unsafe condition: two flags.
-    out = out.withColumn("act_cues", cue_tags(t, R.ACTS)).withColumn("condition_cues", cue_tags(t, R.CONDITIONS))
-    has = lambda role: F.exists("spans", lambda s: s["role"] == role)
-    named = F.when((F.size("condition_cues") == 0) & (F.size("act_cues") == 0) & has("control_absent"), F.array(F.lit("control_absent_span"))).when((F.size("condition_cues") == 0) & has("control_ineffective"), F.array(F.lit("control_degraded_span"))).otherwise(F.col("condition_cues"))
-    out = out.withColumn("condition_cues", named)
+    # Unsafe act, unsafe condition: two flags, and what speaks for them.
+    out = out.withColumn("act_cues", cues(t, R.ACTS)).withColumn("__conditions", cues(t, R.CONDITIONS))
+    of_role = lambda role: F.get(F.filter("spans", lambda s: s["role"] == role), F.lit(0))
+    absent, degraded = of_role("control_absent"), of_role("control_ineffective")
+    none = F.size("__conditions") == 0
+    named = F.when(none & (F.size("act_cues") == 0) & absent.isNotNull(), F.array(cue("control_absent_span", absent))).when(none & degraded.isNotNull(), F.array(cue("control_degraded_span", degraded))).otherwise(F.col("__conditions"))
+    actor = first_match(t, R.ACTOR)["text"]
+    out = out.withColumn("condition_cues", named).withColumn("actor", actor).withColumn("passive_victim", hit(t, R.PASSIVE))
     act, condition = F.size("act_cues") > 0, F.size("condition_cues") > 0
-    behind = ~act & ~condition & (hit(t, R.ACTOR) | hit(t, R.PASSIVE))
+    behind = ~act & ~condition & (F.col("actor").isNotNull() | F.col("passive_victim"))
     out = out.withColumn("unsafe_act", act | behind).withColumn("unsafe_condition", condition | (~act & ~condition & ~behind & (F.size("spans") > 0)))
+    sure = F.lit(0.35) + F.least(F.lit(0.5), F.lit(0.18) * (F.size("act_cues") + F.size("condition_cues"))) + F.when(F.col("actor").isNotNull(), 0.08).otherwise(0.0)
+    out = out.withColumn("flag_confidence", F.bround(F.least(F.lit(0.95), sure), 3))
     out = out.withColumn("primary_flag", primary_flag(F.col("unsafe_act"), F.col("unsafe_condition"), F.size("act_cues"), F.size("condition_cues")))
+    if gates is not None:
+        out = turned_away(out, g, F.col("__meant.hazard") if semantic else F.lit(None).cast("string"))
+    if spelling:
+        out = as_typed(out)
     return out.select(*(x for x in out.columns if not x.startswith("__")))
+
+
+def turned_away(out: DataFrame, g: dict[str, Column], meant: Column) -> DataFrame:
+    """Rows that a gate turns away with the full width: verdict and stage, spans found so far, and everything else not asked."""
+    found = decision({**g, "text": F.col("__read"), "spans": F.col("__found"), "model_spans": F.col("__model"), "hazard": F.col("hazard.name"), "semantic": meant, "energy_gate": F.col("energy.gate")})
+    early = F.col("__early")
+    out = out.withColumn("gate", F.when(early.isNull(), found).otherwise(F.struct(F.lit(True).alias("reject"), early.alias("stage"), F.array().cast("array<string>").alias("evidence"))))
+    stage, away = F.col("gate.stage"), F.col("gate.reject")
+    label = F.when(stage == "routine", "NON_EVENT").otherwise("OUT_OF_SCOPE")
+    chance = F.coalesce(F.when(stage == "routine", F.coalesce(g["p_routine"], F.lit(1.0))).otherwise(g["p"]), F.lit(0.0))
+    instead = {
+        "verdict": label, "confidence": F.bround(chance, 3), "route": F.lit("gated"), "review_required": F.lit(False), "decision_path": F.concat(stage, F.lit(" -> "), label),
+        "energy": F.struct(F.lit("NOT_ASSESSED").alias("gate"), F.lit(None).cast("double").alias("estimate_j"), F.lit(None).cast("string").alias("basis")),
+        "act_cues": F.filter("act_cues", lambda x: F.lit(False)), "condition_cues": F.filter("condition_cues", lambda x: F.lit(False)), "harms": F.filter("harms", lambda x: F.lit(False)), "flag_confidence": F.lit(0.0), "unsafe_act": F.lit(False), "unsafe_condition": F.lit(False), "passive_victim": F.lit(False),
+    }
+    instead |= {name: F.lit(None) for name in ("hazard", "barrier_failure_mode", "negation_scope", "actor", "primary_flag", "control_effective")}
+    asked = F.concat(F.lit("not_asked("), stage, F.lit(")"))
+    nothing = F.lit(None).cast("struct<text:string,start:int,end:int>")
+    instead |= {name: fact(F.lit(None), nothing, asked) for name in FACTS}
+    for name, value in instead.items():
+        out = out.withColumn(name, F.when(away, value).otherwise(F.col(name)))
+    return out
+
+
+def as_typed(out: DataFrame) -> DataFrame:
+    """Spans, harms, cues and facts of the corrected text with the words and offsets of the text as it was typed."""
+    whole, changes = F.col("__whole"), F.col("changes")
+    for name in ("spans", "harms", "act_cues", "condition_cues"):
+        out = out.withColumn(name, led_back(whole, changes, F.col(name)))
+    for name in FACTS:
+        out = out.withColumn(name, F.get(led_back(whole, changes, F.array(name), ("span", "span_start", "span_end")), F.lit(0)))
+    return out

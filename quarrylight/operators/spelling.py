@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +38,7 @@ CORE_TERMS = (
 KEPT = ["dopahar", "hamesha", "because", "between", "yesterday", "tomorrow", "morning", "evening", "reported", "request"]
 
 WORD = r"[A-Za-zऀ-ॿ]+"
+CHANGES = "array<struct<old:string,new:string,start:int,end:int>>"
 PIECE = WORD + r"|[^A-Za-zऀ-ॿ]+"
 #: Letters a word must have to be corrected, those from which two edits count, and those of a term that a word may go on from.
 LEAST, LONG, STEM = 7, 10, 6
@@ -52,68 +52,79 @@ def doubtful_words(text: Column) -> Column:
     return F.filter(low, lambda w: w.isin(*VARIANTS) | ((F.length(w) >= LEAST) & w.rlike("^[a-z]+$") & ~sound(w)))
 
 
-def edits(a: str, b: str) -> int:
-    """Insertions, deletions, replacements and swaps of neighbours that turn ``a`` into ``b``; no place is edited twice."""
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(row[-1] + 1, rows[-1][j] + 1, rows[-1][j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, rows[-2][j - 2] + 1)
-            row.append(best)
-        rows.append(row)
-    return rows[-1][-1]
+def _swapped(word: Column, i: Column) -> Column:
+    """``word`` with its letters at ``i`` and behind it (from 1) in turn."""
+    return F.concat(word.substr(F.lit(1), i - 1), word.substr(i + 1, F.lit(1)), word.substr(i, F.lit(1)), word.substr(i + 2, F.length(word)))
 
 
-def corrections(words: DataFrame) -> DataFrame:
-    """(word, fix) of the distinct words (word) that lie near a core term: one edit, two from ten letters on.
+def _swaps(word: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), lambda i: F.struct(i.alias("i"), _swapped(word, i).alias("word")))
 
-    The term has the word's first letter; the nearest counts, the alphabetically first of equals. A swap of neighbours
-    costs two of ``levenshtein``, so twice the allowance there loses nothing and leaves few pairs to the exact count.
+
+def _put_between(swap: Column, term: Column) -> Column:
+    """Whether ``term`` is a swapped word with a new letter between the two: that edits one place twice."""
+    i, word = swap["i"], swap["word"]
+    new, pair = term.substr(i + 1, F.lit(1)), word.substr(i, F.lit(2))
+    same = (term.substr(F.lit(1), i) == word.substr(F.lit(1), i)) & (term.substr(i + 2, F.length(term)) == word.substr(i + 1, F.length(word)))
+    return (F.length(term) == F.length(word) + 1) & same & ~F.contains(pair, new)
+
+
+def edits(word: Column, term: Column, cap: Column) -> Column:
+    """Insertions, deletions, replacements and swaps of neighbours that turn ``word`` into ``term``; above ``cap`` (1 or 2), null.
+
+    No place is edited twice. A swap costs two of ``levenshtein``; so within twice the cap swaps are tried, and within two
+    of them one more plain edit or one more swap.
+    """
+    plain = F.levenshtein(word, term)
+    one = F.exists(_swaps(word), lambda s: s["word"] == term)
+    two = F.exists(_swaps(word), lambda s: ((F.levenshtein(s["word"], term) == 1) & ~_put_between(s, term)) | F.exists(_swaps(s["word"]), lambda r: (r["word"] == term) & (F.abs(r["i"] - s["i"]) > 1)))
+    return F.when(plain <= 1, plain).when((plain == 2) & one, 1).when(cap < 2, F.lit(None).cast("int")).when(plain == 2, 2).when((plain <= 4) & two, 2)
+
+
+def correction(word: Column) -> Column:
+    """The core term that a long word in lower case lies near, one edit off or from ten letters on two; null without one.
+
+    The term has the word's first letter; the nearest counts, the alphabetically first of equals.
     """
     by_letter = {}
     for term in sorted(CORE_TERMS):
         by_letter.setdefault(term[0], []).append(term)
     table = F.create_map(*(x for letter, terms in by_letter.items() for x in (F.lit(letter), F.array(*map(F.lit, terms)))))
-    pairs = words.select("word", F.explode(F.try_element_at(table, F.substring("word", 1, 1))).alias("term"))
-    cap = F.when(F.length("word") < LONG, 1).otherwise(2)
-    reach = F.when(F.length("word") < LONG, F.levenshtein("word", "term", 2)).otherwise(F.levenshtein("word", "term", 4))
-    near = pairs.where((F.abs(F.length("word") - F.length("term")) <= cap) & (reach >= 0))
+    cap = F.when(F.length(word) < LONG, 1).otherwise(2)
+    near = F.filter(F.try_element_at(table, F.substring(word, 1, 1)), lambda t: (F.abs(F.length(word) - F.length(t)) <= cap) & (F.levenshtein(word, t, 4) >= 0))
+    return F.array_min(F.filter(F.transform(near, lambda t: F.struct(edits(word, t, cap).alias("d"), t.alias("term"))), lambda x: x["d"].isNotNull()))["term"]
 
-    @F.pandas_udf("int")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([edits(x, y) for x, y in zip(a, b)], dtype="int32")
 
-    best = near.withColumn("d", distance("word", "term")).where(F.col("d") <= cap).groupBy("word").agg(F.min(F.struct("d", "term"))["term"].alias("fix"))
-    return best
+def fixes(text: Column) -> Column:
+    """map<string,string> of the words of a text, in lower case, that are to be replaced."""
+    known = F.create_map(*(F.lit(x) for pair in VARIANTS.items() for x in pair))
+    pairs = F.transform(doubtful_words(text), lambda w: F.struct(w.alias("word"), F.coalesce(F.try_element_at(known, w), correction(w)).alias("fix")))
+    return F.map_from_entries(F.filter(pairs, lambda p: p["fix"].isNotNull()))
 
 
-def normalised(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+def normalised(df: DataFrame, text: str = "text", into: tuple[str, str] = ("normalised", "changes")) -> DataFrame:
     """``df`` with the columns normalised (the corrected text) and changes: array<struct<old,new,start,end>> in order.
 
-    ``key`` tells rows apart. Offsets are code points of the original, ends exclusive. A null text has null columns, an
-    empty or sound one no changes. Only distinct long words meet the core terms, and a text without anything to correct
-    is not taken apart.
+    ``into`` names them otherwise; columns of these names are replaced.
+    Offsets are code points of the original, ends exclusive. A null text has null columns, an empty or sound one no
+    changes. Each row is corrected where it is read, by built-in functions: rows may repeat and need no key, nothing is
+    shuffled, and a text without anything to correct is not taken apart.
     """
-    own = df.select(F.col(key).alias("__key"), F.explode(doubtful_words(F.col(text))).alias("word"))
-    fixes = corrections(own.where(~F.col("word").isin(*VARIANTS)).select("word").distinct())
-    known = F.try_element_at(F.create_map(*(F.lit(x) for pair in VARIANTS.items() for x in pair)), F.col("word"))
-    found = own.join(fixes, "word", "left").select("__key", "word", F.coalesce(known, "fix").alias("fix")).where("fix is not null")
-    by_row = found.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("word", "fix"))).alias("__fixes"))
-    joined = df.join(by_row, df[key] == by_row["__key"], "left").drop("__key")
+    column = F.col(text)
+    found = df.withColumn("__fixes", fixes(column))
+    known = F.col("__fixes")
 
     def fixed(word: Column) -> Column:
-        fix = F.try_element_at(F.col("__fixes"), F.lower(word))
+        fix = F.try_element_at(known, F.lower(word))
         capital = F.substring(word, 1, 1).rlike("[A-Z]")
         return F.when(capital, F.concat(F.upper(F.substring(fix, 1, 1)), fix.substr(F.lit(2), F.length(fix)))).otherwise(fix)
 
-    places = F.filter(matches(F.col(text), WORD), lambda m: F.map_contains_key(F.col("__fixes"), F.lower(m["text"])))
+    places = F.filter(matches(column, WORD), lambda m: F.map_contains_key(known, F.lower(m["text"])))
     changes = F.transform(places, lambda m: F.struct(m["text"].alias("old"), fixed(m["text"]).alias("new"), m["start"].alias("start"), m["end"].alias("end")))
-    none = F.array().cast("array<struct<old:string,new:string,start:int,end:int>>")
-    whole = F.array_join(F.transform(F.regexp_extract_all(F.col(text), F.lit(PIECE), 0), lambda p: F.coalesce(fixed(p), p)), "")
-    sound = F.col("__fixes").isNull()
-    return joined.select("*", F.when(sound, F.col(text)).otherwise(whole).alias("normalised"), F.when(sound, F.when(F.col(text).isNotNull(), none)).otherwise(changes).alias("changes")).drop("__fixes")
+    none = F.array().cast(CHANGES)
+    whole = F.array_join(F.transform(F.regexp_extract_all(column, F.lit(PIECE), 0), lambda p: F.coalesce(fixed(p), p)), "")
+    sound = F.size(known) <= 0
+    return found.select(*(c for c in df.columns if c not in into), F.when(sound | column.isNull(), column).otherwise(whole).alias(into[0]), F.when(column.isNotNull(), F.when(sound, none).otherwise(changes)).alias(into[1]))
 
 
 def _original(changes: Column, at: Column) -> Column:
@@ -134,3 +145,12 @@ def restored(changes: Column, start: Column, end: Column) -> Column:
     """struct<start,end> in the original of a span of the normalised text; an empty span stays as it is."""
     span = F.struct(_original(changes, start)["start"].alias("start"), _original(changes, end - 1)["end"].alias("end"))
     return F.when(start < end, span).otherwise(F.struct(start.alias("start"), end.alias("end")))
+
+
+def led_back(original: Column, changes: Column, found: Column, names: tuple[str, str, str] = ("text", "start", "end")) -> Column:
+    """An array of structs with a text and offsets, as the original has them; without changes it stays as it is."""
+    text, start, end = names
+    placed = F.transform(found, lambda s: F.struct(s.alias("own"), restored(changes, s[start], s[end]).alias("at")))
+    words = lambda x: original.substr(x["at"]["start"] + 1, x["at"]["end"] - x["at"]["start"])
+    moved = F.transform(placed, lambda x: x["own"].withField(text, words(x)).withField(start, x["at"]["start"]).withField(end, x["at"]["end"]))
+    return F.when(F.size(changes) > 0, moved).otherwise(found)

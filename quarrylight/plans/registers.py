@@ -189,7 +189,7 @@ def corrected_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrected whole texts, what was changed, and the changed places led back to the original."""
     typed = F.concat(dealt(TYPED, "doc_id"), F.lit(" "), F.coalesce("text", F.lit("")))
     docs = read_texts(spark, sf_dir, "documents").select("doc_id", typed.alias("text"))
-    found = S.normalised(docs, "doc_id")
+    found = S.normalised(docs)
     changes = found["changes"]
     shift = lambda c: F.length(c["new"]) - (c["end"] - c["start"])
     # Where the changed words stand in the corrected text: each is moved by the changes before it.

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylight.plans import analytics, corpus, curation, registers
+from quarrylight.plans import analytics, corpus, curation, registers, replies, reports
 
-PARTS = (analytics, corpus, curation, registers)
+PARTS = (analytics, corpus, curation, registers, replies, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,5 +1,7 @@
 """Register projections, spelling and semantic types on small rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,22 +47,49 @@ def test_mine_accidents(spark):
     assert {r["id"]: r["split_hint"] for r in chosen.collect()} == {1: "train_candidate", 4: "eval_pool"}
 
 
-def test_edits():
-    assert [S.edits(*p) for p in (("ab", "ab"), ("ab", "ba"), ("", "abc"), ("ca", "abc"), ("barrikading", "barricading"))] == [0, 1, 3, 3, 1]
+def plain_edits(a, b):
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, rows[-1][j] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[-1] = min(row[-1], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def test_edits(spark):
+    """The count by built-in functions against the table of all prefixes, on terms with up to three edits."""
+    rng = random.Random(5)
+    terms = [t for t in S.CORE_TERMS if len(t) > 5]
+    rows = [("abcdef", "abcdef"), ("abcdefghij", "badcefghij"), ("abcdefghij", "abcdefghxi"), ("abcdefghij", "bxacdefghij"), ("aabbccddee", "ababccddee"), ("ab", "ba")]
+    for _ in range(1500):
+        word = term = rng.choice(terms)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(word))
+            word = rng.choice([word[:k] + word[k + 1 :], word[:k] + rng.choice("aeinrst") + word[k:], word[:k] + rng.choice("aeinrst") + word[k + 1 :], word[:k] + word[k : k + 2][::-1] + word[k + 2 :]])
+        rows.append((word, term))
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", *(S.edits(F.col("a"), F.col("b"), F.lit(cap)).alias(f"d{cap}") for cap in (1, 2)))
+    for r in df.collect():
+        want = plain_edits(r.a, r.b)
+        assert (r.d1, r.d2) == (want if want <= 1 else None, want if want <= 2 else None), r
 
 
 def test_spelling(spark):
     texts = ["Barrikading nhi, PRESURE high", "machines request morning chala", "वाल्व leek हुआ", "", None, "no  change", "scafoldnig " * 300]
-    df = S.normalised(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id")
+    df = S.normalised(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
     got = {r["id"]: r for r in df.collect()}
     assert got[0]["normalised"] == "Barricading nahi, Pressure high"
     assert [(c["old"], c["start"], c["end"]) for c in got[0]["changes"]] == [("Barrikading", 0, 11), ("nhi", 12, 15), ("PRESURE", 17, 24)]
     assert got[1]["changes"] == [] and got[2]["normalised"] == "वाल्व leak हुआ" and got[3]["normalised"] == "" and got[4]["normalised"] is None and got[5]["normalised"] == "no  change"
+    twice = S.normalised(spark.createDataFrame([(None, "presure gauge")] * 2 + [(1, "presure leek"), (1, "presure high"), (1, None)], "id int, text string")).collect()
+    assert sorted(r["normalised"] or "" for r in twice) == ["", "pressure gauge", "pressure gauge", "pressure high", "pressure leak"]
     assert got[6]["normalised"] == "scaffolding " * 300 and got[6]["changes"][-1]["start"] == 299 * 11
 
 
 def test_offsets_lead_back(spark):
-    df = S.normalised(spark.createDataFrame([(1, "gass nhi presure")], "id int, text string"), "id")
+    df = S.normalised(spark.createDataFrame([(1, "gass nhi presure")], "id int, text string"))
     assert df.first()["normalised"] == "gas nahi pressure"
     spans = [(0, 3), (4, 8), (9, 17), (0, 17), (5, 6), (3, 4), (2, 2)]
     back = [S.restored(F.col("changes"), F.lit(a), F.lit(b)).alias(f"s{k}") for k, (a, b) in enumerate(spans)]

@@ -69,3 +69,66 @@ def test_paths_and_flags(spark):
     assert rows[2].decision_path.endswith("control_present=True -> SUCCESS") and rows[3].decision_path == "high_energy=unknown -> INSUFFICIENT"
     assert all(r.decision_path.endswith(f"-> {r.verdict}") for r in rows.values())
     assert rows[4].primary_flag == "UC" and rows[4].unsafe_act and rows[3].primary_flag is None
+
+
+def composed(spark, rows, **more):
+    """Rows (text, p) through the whole stack."""
+    df = spark.createDataFrame([(k, t, p, "0") for k, (t, p) in enumerate(rows)], "k int, text string, p double, prefilter string")
+    return {r.k: r for r in score(df, spelling=True, gates={"p": "p", "prefilter": "prefilter"}, **more).collect()}
+
+
+def test_misspelt_reports(spark):
+    """Patterns read the corrected text; what comes back is what was typed, where it was typed."""
+    texts = ["  Worker ne harnes nhi pehna, 12 m hight pe kaam.", "Presure line leek, haath jl gya.", "manager ko permision nhi thi, non permited area me chala gya", "Bina permision ke panl khola.", None, "nhi " * 200 + "gir gya"]
+    rows = composed(spark, [(t, 0.0) for t in texts])
+    for k, text in enumerate(texts):
+        r, typed = rows[k], (text or "").strip()
+        assert r.scored_text == typed
+        for s in [*r.spans, *r.harms, *r.act_cues, *r.condition_cues]:
+            assert typed[s.start : s.end].strip() == s.text.strip(), (k, s)
+        for name in ("high_energy_present", "energy_released", "serious_injury", "direct_control_present"):
+            if (f := r[name]).span_start is not None:
+                assert typed[f.span_start : f.span_end] == f.span
+    assert [(c.old, c.new) for c in rows[0].changes] == [("harnes", "harness"), ("nhi", "nahi"), ("hight", "height")]
+    assert [(c.cue, c.text, c.start) for c in rows[0].act_cues] == [("ppe_not_worn", "nhi pehna", 17)] and rows[0].hazard.name == "fall_from_height"
+    assert [(h.harm, h.part, h.text) for h in rows[1].harms] == [("burn", "hand", "jl gya")] and rows[1].serious_injury.value and rows[1].verdict == "H_SIF"
+    plain = score(spark.createDataFrame([(texts[1],)], "text string")).first()
+    assert plain.harms == [] and plain.verdict != "H_SIF"
+    assert rows[4].verdict == "INSUFFICIENT" and rows[4].changes == [] and len(rows[5].changes) == 201
+
+
+def test_gated_reports(spark):
+    rows = composed(spark, [("Canteen me khana thanda tha aaj bhi.", 0.95), ("Worker fell from the scaffold.", 0.95), ("Canteen me khana thanda tha aaj bhi.", 0.5), ("Canteen me khana thanda tha aaj bhi.", 0.2), ("Vehicle arrived at the gate, worker fell.", 0.0), ("Nil", 0.5), ("Truck khada tha canteen ke paas.", 0.5), ("Canteen me khana thanda tha aaj bhi.", None)])
+    assert {k: (r.gate.stage, r.verdict) for k, r in rows.items() if r.gate.reject} == {0: ("scope", "OUT_OF_SCOPE"), 2: ("evidence", "OUT_OF_SCOPE"), 4: ("routine", "NON_EVENT"), 6: ("evidence", "OUT_OF_SCOPE")}
+    for k in (0, 2, 4, 6):
+        r = rows[k]
+        assert r.route == "gated" and not r.review_required and r.hazard is None and r.harms == [] and r.act_cues == [] and r.energy.gate == "NOT_ASSESSED" and r.flag_confidence == 0 and r.primary_flag is None
+        assert all(r[f].value is None and r[f].source == f"not_asked({r.gate.stage})" for f in ("high_energy_present", "energy_released", "serious_injury", "direct_control_present"))
+    assert rows[0].confidence == 0.95 and rows[4].confidence == 1.0 and rows[4].decision_path == "routine -> NON_EVENT"
+    assert [s.role for s in rows[4].spans if s.role == "release_cue"] == ["release_cue"]
+    assert rows[1].gate.evidence[0] == "rule span release_cue=fell"
+    df = spark.createDataFrame([(1, "All quiet on the site today.", "routine_operations", 0.9, 0.1), (2, "All quiet on the site today.", "routine_operations", 0.9, 0.5), (3, "All quiet on the site today.", "incident", 0.9, 0.1)], "k int, text string, e string, c double, s double")
+    assert [r.gate.stage for r in score(df, gates={"event_type": "e", "event_p": "c", "p_safety": "s"}).orderBy("k").collect()] == ["routine", None, None]
+
+
+def test_hazards_by_meaning(spark):
+    text = "Sulphur ki wajah se sab bahar aaye."
+    span = lambda p: [("energy_cue", "Sulphur", 0, 7, "gliner", p)]
+    rows = [(1, text, ("confined_space", 0.61), span(0.55)), (2, text, ("confined_space", 0.61), span(0.4)), (3, text, None, span(0.55)), (4, "A harness hung there.", ("confined_space", 0.61), []), (5, text, ("confined_space", 0.61), span(0.7)), (6, text, ("unheard", 0.9), span(0.55))]
+    df = spark.createDataFrame(rows, f"k int, text string, meant struct<hazard:string,score:double>, found {SPAN}")
+    got = {r.k: r for r in score(df, model_spans="found", semantic="meant").collect()}
+    assert {k: r.hazard and r.hazard.name for k, r in got.items()} == {1: "confined_space", 2: None, 3: None, 4: "fall_from_height", 5: "confined_space", 6: None}
+    assert [(s.source, s.text) for s in got[1].spans if s.role == "energy_cue"] == [("gliner+semantic", "Sulphur")] and got[1].high_energy_present.source == "gliner+semantic"
+    assert got[2].high_energy_present.value is None and got[5].high_energy_present.source == "gliner"
+
+
+def test_cues_in_the_order_of_the_patterns(spark):
+    """The tag's first pattern that hits gives the text, not the leftmost match."""
+    texts = ["failed to wear it, helmet pehne bina", "not wearing gloves, harness nahi pehna", "almost hit by a trolley", "The valve was damaged.", "LOTO nahi tha", "🙂 Mistri ne loto hata diya"]
+    rows = {r.k: r for r in score(spark.createDataFrame(list(enumerate(texts)), "k int, text string")).collect()}
+    assert [(c.cue, c.text, c.start, c.end) for c in rows[0].act_cues] == [("procedure_not_followed", "failed to wear", 0, 14), ("ppe_not_worn", "pehne bina", 26, 36)]
+    assert [(c.cue, c.text) for c in rows[1].act_cues] == [("ppe_not_worn", "nahi pehna")]
+    assert rows[2].passive_victim and rows[2].unsafe_act and rows[2].act_cues == [] and rows[2].flag_confidence == 0.35
+    assert [(c.cue, c.text) for c in rows[3].condition_cues] == [("damaged_equipment", "damaged")] and rows[3].flag_confidence == 0.53
+    assert [(c.cue, c.start) for c in rows[4].condition_cues] == [("control_absent_span", 0)]
+    assert rows[5].actor == "Mistri" and [(c.cue, texts[5][c.start : c.end]) for c in rows[5].act_cues] == [("control_bypassed", "hata diya")] and rows[5].flag_confidence == 0.61
