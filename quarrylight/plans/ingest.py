@@ -37,7 +37,7 @@ def nested_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     plus = lambda n: (k.cast("long") + n).cast("string")
     json = (
         F.when(kind == 0, entry(t, k)).when(kind == 1, F.concat(F.lit("["), entry(F.concat(t, F.lit("0")), plus(0)), F.lit(', {"more": {"a": '), entry(F.concat(t, F.lit("1")), plus(1), ', "meaning": "low"'), F.lit(', "b": ['), entry(F.concat(t, F.lit("2")), plus(2)), F.lit("]}}]")))
-        .when(kind == 2, F.concat(F.lit('{"x": [[[[1, {"y": '), entry(t, k, ', "meaning": "deep"'), F.lit("}]]]]}"))).when(kind == 3, F.concat(entry(t, k), F.lit(",")))
+        .when(kind == 2, F.concat(F.lit('{"x": [[[[1, {"y": '), entry(t, k, ', "meaning": "deep"'), F.lit("}]]]]}"))).when(kind == 3, F.concat(F.lit("["), entry(t, k), F.lit(", {")))
         .otherwise(entry(t, F.lit('"none"'), ', "meaning": "outer", "sub": {"term": "inner"}'))
     )
     json = F.when(kind == 4, F.col("props")).otherwise(json)
