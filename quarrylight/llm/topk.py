@@ -30,20 +30,30 @@ PACKED = "block long, dim int, ids binary, vectors binary"
 
 
 def whole_vectors(vectors: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, ints): floor(scale * x) of each component as doubles; vectors null, empty or with a null or non-finite component are left out."""
+    """(vec_id, parts): floor(scale * x) / scale of each component as doubles; vectors null, empty or with a null or non-finite component are left out.
+
+    The whole numbers themselves can be beyond doubles; ``scaled`` makes them where they are needed.
+    """
     sound = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    # From 2^52 on a double is a whole number already, and floor would cut it to 64 bits.
-    whole = lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
-    ints = F.transform("embedding", lambda x: whole(x.cast("double") * scale))
-    return vectors.where(sound & F.col("vec_id").isNotNull()).select("vec_id", ints.alias("ints"))
+    # From 2^52 on a double is a whole number already.
+    part = lambda x: F.when(F.abs(x) < 2.0**52 / scale, F.floor(x * scale).cast("double") / scale).otherwise(x)
+    parts = F.transform("embedding", lambda x: part(x.cast("double")))
+    return vectors.where(sound & F.col("vec_id").isNotNull()).select("vec_id", parts.alias("parts"))
+
+
+def scaled(parts: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) from ``whole_vectors``: doubles while they hold them all exactly enough, else Python's integers."""
+    if float(np.abs(parts).max(initial=0)) < 2.0**1000 / scale:
+        return np.where(np.abs(parts) < 2.0**52 / scale, np.rint(parts * scale), parts * scale)
+    return np.frompyfunc(lambda v: int(v) * scale if abs(v) >= 2.0**52 / scale and v == int(v) else round(v * scale), 1, 1)(parts)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         ids, blocks = batch.column("vec_id").to_numpy(), batch.column("block").to_numpy()
-        ends = batch.column("ints").offsets.to_numpy()
-        values = batch.column("ints").values.to_numpy(zero_copy_only=False)
+        ends = batch.column("parts").offsets.to_numpy()
+        values = batch.column("parts").values.to_numpy(zero_copy_only=False)
         sizes = np.diff(ends)
         for block, dim in {*zip(blocks.tolist(), sizes.tolist(), strict=True)}:
             own = np.flatnonzero((sizes == dim) & (blocks == block))
@@ -62,12 +72,14 @@ def packed(vectors: DataFrame, rows: int, what: str) -> tuple[DataFrame, int]:
 
 def whole_numbers(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both in a type in which every sum of products is exact: doubles, 64-bit integers, else Python's."""
+    python = np.frompyfunc(int, 1, 1)
+    if object in (x.dtype, q.dtype):
+        return python(x), python(q)
     bound = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * 4 * max(1, x.shape[1])
     if bound < 2**53:
         return x, q
     if bound < 2**63:
         return x.astype(np.int64), q.astype(np.int64)
-    python = np.frompyfunc(int, 1, 1)
     return python(x), python(q)
 
 
@@ -141,13 +153,13 @@ def best_in_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.n
         depth = n if hopeless else min(n, 2 * depth)
 
 
-def _search(k: int):
+def _search(k: int, scale: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], "<i8")
                 query_ids = np.frombuffer(row["query_ids"], "<i8")
-                x, q = (np.frombuffer(row[c], "<f8").reshape(-1, row["dim"]) for c in ("vectors", "queries"))
+                x, q = (scaled(np.frombuffer(row[c], "<f8").reshape(-1, row["dim"]), scale) for c in ("vectors", "queries"))
                 found = list(best_in_block(ids, x, query_ids, q, k))
                 if found:
                     columns = [np.repeat([f[0] for f in found], [len(f[1]) for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])]
@@ -172,6 +184,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     blocks, n = packed(whole_vectors(vectors, scale), BLOCK, "vector-blocks")
     asked, _ = packed(whole_vectors(queries, scale).distinct(), QUERY_BLOCK, "query-blocks")
     asked = asked.select("dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
-    best = blocks.join(asked, ["block", "dim"]).select("dim", "ids", "vectors", "query_ids", "queries").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    best = blocks.join(asked, ["block", "dim"]).select("dim", "ids", "vectors", "query_ids", "queries").mapInArrow(_search(k, scale), "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
