@@ -105,9 +105,12 @@ def _predictor(model: Model):
 
 
 def train(docs: DataFrame) -> Model:
-    """Fit on a bounded sample (SAMPLE_*) of the documents with a language that are not held out."""
+    """Fit on a bounded sample (SAMPLE_*) of the documents with a language that are not held out.
+
+    Null texts and languages don't count; a document with several languages takes the least.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sample = stratified_ids(known, "lang", SAMPLE_PER_LANG, SAMPLE_ROWS).dropDuplicates(["doc_id"])
+    sample = stratified_ids(known, "lang", SAMPLE_PER_LANG, SAMPLE_ROWS).groupBy("doc_id").agg(F.min("lang").alias("lang"))
     return fit(labelled_texts(docs.select("doc_id", "text"), sample, "lang", SAMPLE_ROWS, SAMPLE_CHARS))
 
 

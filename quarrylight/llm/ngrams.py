@@ -82,10 +82,13 @@ def stratified_ids(df: DataFrame, label: str, per_class: int, total: int) -> Dat
 def labelled_texts(docs: DataFrame, sample: DataFrame, label: str, total: int, chars: int) -> list[tuple[str, object]]:
     """(text, label) of the sampled documents, bounded by ``total`` rows and ``chars`` characters, in a fixed order.
 
-    Texts over LONGEST_SAMPLED or over the whole budget are left out and do not count, so that the rows behind them do.
+    A document whose row is repeated counts once. Texts over LONGEST_SAMPLED or over the whole budget are left out and do not count, so that the rows behind them do.
     The sample holds ``total`` ids at most, so it may be broadcast and no text is shuffled for the join.
     """
-    texts = docs.select("doc_id", "text").where(F.length("text") <= min(LONGEST_SAMPLED, chars)).join(F.broadcast(sample), "doc_id")
-    first = texts.withColumn("__h", F.xxhash64("doc_id")).orderBy("__h", "doc_id", "text").limit(total)
-    sized = first.withColumn("__sum", F.sum(F.length("text")).over(Window.orderBy("__h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)))
-    return [(r["text"], r[label]) for r in sized.where(F.col("__sum") <= chars).select("text", label).collect()]
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("__t")).where(F.length("text") <= min(LONGEST_SAMPLED, chars))
+    # Lengths decide before any text is gathered: one narrow row for each sampled document, ``total`` at most.
+    order = [F.xxhash64("doc_id"), "doc_id", "__n", "__t"]
+    sized = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "__t", label, F.length("text").alias("__n")).distinct().orderBy(*order).limit(total)
+    chosen = sized.withColumn("__sum", F.sum("__n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("__sum") <= chars).select("doc_id", "__t", label, "__sum")
+    found = texts.join(F.broadcast(chosen), ["doc_id", "__t"]).dropDuplicates(["doc_id", "__t", label])
+    return [(r["text"], r[label]) for r in sorted(found.select("__sum", "doc_id", "__t", "text", label).collect(), key=lambda r: (r["__sum"], str(r["doc_id"]), r["__t"]))]

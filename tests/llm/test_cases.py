@@ -260,3 +260,29 @@ def test_stages_on_awkward_rows(spark, tmp_path, long_text):
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).collect()
     assert sum(r.length for r in packed) == sum(len(tokens.encoder().encode(r.text or "")) + 1 for r in kept.collect())
     assert corpus_pipeline.STAGES[-1][1](spark, docs(spark, []), str(tmp_path)).count() == 0
+
+
+def test_components_near_the_end_of_doubles(spark):
+    """Whole numbers beyond doubles are compared exactly, also where two of them cancel."""
+    rows = [(0, [1.0, 1.0]), (1, [1e308, -1e308]), (2, [1e308, 0.0]), (3, [1.5e308, -1.0e308]), (4, [-1e308, 0.0]), (5, [0.0004, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    top = (1 << 63) - 1
+    assert got == [(2, top), (3, top), (5, 2048 * 1024), (1, 0), (4, -top)]
+
+
+def test_sample_is_measured_before_texts_are_gathered(spark):
+    """The texts within the budget are found from lengths; a repeated row counts once, an id with two texts twice."""
+    rows = [(i, chr(97 + i) * 40) for i in range(8)] + [(3, "d" * 40), (3, "x" * 40)]
+    table = docs(spark, rows)
+    sample = table.select("doc_id").distinct().withColumn("lang", F.lit("en"))
+    found = ngrams.labelled_texts(table, sample, "lang", 100, 5 * 40)
+    assert len(found) == 5 and len({t for t, _ in found}) == 5 and all(len(t) == 40 for t, _ in found)
+    assert len(ngrams.labelled_texts(table, sample, "lang", 100, 10_000)) == 9 and len(ngrams.labelled_texts(table, sample, "lang", 3, 10_000)) == 3
+
+
+def test_language_of_a_document_with_two(spark):
+    rows = [(i, "aaa bbb" if i % 2 else "ccc ddd", "x" if i % 2 else "y") for i in range(40)]
+    both = spark.createDataFrame(rows + [(i, t, "z") for i, t, _ in rows], "doc_id long, text string, lang string")
+    models = [language.train(both.repartition(n)) for n in (1, 5)]
+    assert [language.predict(m, ["aaa bbb", "ccc ddd"])[0] for m in models] == [["x", "y"]] * 2
