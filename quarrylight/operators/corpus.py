@@ -146,7 +146,8 @@ def semantic_types(vectors: DataFrame, prototypes: DataFrame, floor: float = 0.4
 
     ``prototypes`` (proto_label, proto) is a small fixed set, at most MAX_PROTOTYPES; those without a label are negatives.
     The best class is that of the nearest prototype by cosine, the smaller label among equals; it has to reach the floor
-    and to lie the margin above the nearest negative. Vectors that are null, empty or all zero fit nothing.
+    and to lie the margin above the nearest negative. Vectors that are null, of another
+    length than the prototypes, all zero or not finite fit nothing; prototypes of two lengths are an error.
     """
     rows = prototypes.limit(MAX_PROTOTYPES + 1).select("proto_label", F.col("proto").cast("array<double>").alias("p")).collect()
     if len(rows) > MAX_PROTOTYPES:
@@ -156,6 +157,8 @@ def semantic_types(vectors: DataFrame, prototypes: DataFrame, floor: float = 0.4
     labels = sorted({r["proto_label"] for r in positive})
     if not labels:
         raise ValueError("no labelled prototypes")
+    if len({len(r["p"]) for r in rows}) > 1:
+        raise ValueError("prototypes of different lengths")
 
     def unit(vectors_: list) -> np.ndarray:
         m = np.array(vectors_, dtype=np.float64)
@@ -177,5 +180,5 @@ def semantic_types(vectors: DataFrame, prototypes: DataFrame, floor: float = 0.4
             out = pd.DataFrame({"vec_id": batch["vec_id"], "best": [labels[k] for k in order[:, 0]], "score": first.round(5), "margin": gap.round(5), "runner_up": second})
             yield out[(first >= floor) & (gap >= margin)]
 
-    own = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("aggregate(v, 0D, (s, x) -> s + x * x) > 0")
+    own = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(f"size(v) = {len(positive[0]['p'])} AND aggregate(v, 0D, (s, x) -> s + x * x) BETWEEN 1e-300 AND 1e300")
     return own.mapInPandas(typed, f"vec_id long, best {label_type}, score double, margin double, runner_up {label_type}")

@@ -99,10 +99,12 @@ def test_offsets_lead_back(spark):
 
 def test_semantic_types(spark):
     protos = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), (None, [0.7, 0.7])], "proto_label string, proto array<double>")
-    rows = spark.createDataFrame([(1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [0.0, 3.0])], "vec_id long, embedding array<double>")
+    rows = spark.createDataFrame([(1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [0.0, 3.0]), (7, [1.0, 0.0, 0.0]), (8, [1.0]), (9, [float("nan"), 1.0]), (10, [None, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], r["best"], r["runner_up"]) for r in semantic_types(rows, protos).orderBy("vec_id").collect()] == [(1, "a", "b"), (6, "b", "a")]
     with pytest.raises(ValueError, match="no labelled"):
         semantic_types(rows, protos.where("proto_label is null"))
+    with pytest.raises(ValueError, match="different lengths"):
+        semantic_types(rows, protos.union(spark.createDataFrame([("c", [1.0])], protos.schema)))
 
 
 def test_page_records(spark):
