@@ -61,7 +61,7 @@ def fit_head(train: DataFrame, features: str, label: str, strength: float = STRE
     """
     rows, classes, _ = balanced(_sound(train, features), label)
     total = rows.agg(F.sum("__weight").alias("w")).first()["w"]
-    solver = LogisticRegression(featuresCol="__vector", labelCol="__place", weightCol="__weight", maxIter=steps, regParam=1 / (strength * total), elasticNetParam=0.0, standardization=False, tol=1e-9)
+    solver = LogisticRegression(featuresCol="__vector", labelCol="__place", weightCol="__weight", maxIter=steps, regParam=1 / (strength * total), elasticNetParam=0.0, standardization=False, tol=1e-7)
     return Head(solver.fit(rows.select(array_to_vector("__features").alias("__vector"), "__place", "__weight")), classes)
 
 

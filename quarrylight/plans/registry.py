@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylight.plans import analytics, corpus, curation, ingest, registers, replies, reports
+from quarrylight.plans import analytics, corpus, curation, ingest, registers, replies, reports, training
 
-PARTS = (analytics, corpus, curation, ingest, registers, replies, reports)
+PARTS = (analytics, corpus, curation, ingest, registers, replies, reports, training)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
