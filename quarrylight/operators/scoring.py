@@ -64,12 +64,15 @@ def statement_type(text: Column) -> Column:
     return reduce(lambda e, x: e.when(hit(text, x[1]), x[0]), R.STATEMENT_TYPES.items(), F.when(F.lit(False), "")).otherwise("condition_only")
 
 
-def hazard(text: Column) -> Column:
-    """Struct of the hazard with the most cues, the earliest of equals; null without a cue."""
+def hazard(text: Column, cues: list[Column] | None = None) -> Column:
+    """Struct of the hazard with the most cues, the earliest of equals; null without a cue.
+
+    ``cues`` are the matches of each hazard's pattern, where they have been sought already.
+    """
     options = []
-    for name, (cues, energy, barrier, consequence, cluster, lsr) in R.HAZARDS.items():
-        found = matches(text, cues)
-        options.append(F.when(F.size(found) > 0, F.struct(F.size(found).alias("n"), (-F.get(found, F.lit(0))["start"]).alias("at"), F.lit(-len(options)).alias("order"), F.struct(F.lit(name).alias("name"), F.lit(energy).alias("energy"), F.lit(barrier).alias("barrier"), F.lit(consequence).alias("consequence"), F.lit(cluster).alias("cluster"), F.array(*map(F.lit, lsr)).alias("lsr")).alias("hazard"))))
+    for k, (name, (pattern, energy, barrier, consequence, cluster, lsr)) in enumerate(R.HAZARDS.items()):
+        found = cues[k] if cues else matches(text, pattern)
+        options.append(F.when(F.size(found) > 0, F.struct(F.size(found).alias("n"), (-F.get(found, F.lit(0))["start"]).alias("at"), F.lit(-k).alias("order"), F.struct(F.lit(name).alias("name"), F.lit(energy).alias("energy"), F.lit(barrier).alias("barrier"), F.lit(consequence).alias("consequence"), F.lit(cluster).alias("cluster"), F.array(*map(F.lit, lsr)).alias("lsr")).alias("hazard"))))
     return F.array_max(F.array_compact(F.array(*options)))["hazard"]
 
 
@@ -293,16 +296,20 @@ def score(
     t = F.col("__text")
     out = out.withColumn("language", language(t)).withColumn("statement_type", statement_type(t)).withColumn("__rules", rule_spans(t))
     spans = with_lexicon(t, F.col("__rules"), lexicon or {})
-    for words, *_ in R.HAZARDS.values():
+    # The cues of hazards are sought once, for the spans that they add and for the hazard that they name.
+    cued = [f"__cues{k}" for k in range(len(R.HAZARDS))]
+    out = out.withColumns({c: matches(t, words) for c, (words, *_) in zip(cued, R.HAZARDS.values(), strict=True)})
+    for c in cued:
         out = out.withColumn("__rules", spans)
-        spans = F.concat(F.col("__rules"), as_spans(unclaimed(matches(t, words), F.col("__rules"), ("negation_cue", "energy_cue")), "energy_cue", "rules:hazard_lexicon"))
-    out = out.withColumn("__found", spans)
+        spans = F.concat(F.col("__rules"), as_spans(unclaimed(F.col(c), F.col("__rules"), ("negation_cue", "energy_cue")), "energy_cue", "rules:hazard_lexicon"))
+    out = out.withColumn("__found", spans).withColumn("hazard", hazard(t, [F.col(c) for c in cued]))
     g = {name: (F.col(gates[name]) if gates and name in gates else F.lit(None)).cast(kind) for name, kind in GATE_COLUMNS.items()}
     if gates is not None:
         early = F.when(routine(t, g["event_type"], g["event_p"], g["p_routine"], g["p_safety"]), "routine").when((g["p"] > OUT) & hard_evidence(F.col("__found")).isNull(), "scope")
         # What leaves here has no more text to look at, and no model has run on it.
         out = out.withColumn("__early", early).withColumn("__read", t).withColumn("__text", F.when(F.col("__early").isNull(), t).otherwise("")).withColumn("__model", F.when(F.col("__early").isNull(), F.col("__model")).otherwise(F.array().cast(SPAN)))
-    out = out.withColumn("hazard", hazard(t)).withColumn("__spans", F.col("__found"))
+        out = out.withColumn("hazard", F.when(F.col("__early").isNull(), F.col("hazard")))
+    out = out.withColumn("__spans", F.col("__found"))
     if semantic:
         borne = F.exists("__model", lambda s: (s["role"] == "energy_cue") & (s["score"] >= WEAK_SPAN))
         out = out.withColumn("__meant", F.when(borne & (F.col("__text") != ""), F.struct(F.col(semantic)["hazard"].alias("hazard"), F.col(semantic)["score"].cast("double").alias("score"))))

@@ -10,6 +10,7 @@ from quarrylight.functions.spans import matches
 from quarrylight.operators import curation as C
 from quarrylight.operators.corpus import quota_report
 from quarrylight.plans.corpus import KEY, PAIRS
+from quarrylight.plans.registers import dealt, dealt_sql
 from quarrylight.plans.tables import read, read_texts
 
 QUERIES, ORACLE = {}, {}
@@ -245,14 +246,21 @@ def name_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", F.array_join(C.multi_hot(F.split(F.lower("p_name"), " "), [r.split()[0].lower() for r in P.RULES]), "").alias("hot"))
 
 
-@query(r"""
-WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_\s]') AS m FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\x00-\x7F]'))
-SELECT conv_id, turn, len(m) AS tokens, sha1(array_to_string(m, ' ')) AS tokens_sha1, CASE WHEN len(m) > 0 THEN 0 END AS first_token FROM t""")
+#: A start in each script, so that every turn has words of all of them.
+SCRIPTS = ["मिस्त्री गिर गया, ", "কাজ বন্ধ ছিল। ", "Hot work! ", "año_2 "]
+
+
+@query(rf"""
+WITH t AS (SELECT conv_id, turn, {dealt_sql(SCRIPTS, 'conv_id * 10 + turn')} || coalesce(text, '') AS text FROM conversations),
+m AS (SELECT conv_id, turn, text, regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}_\x{{0900}}-\x{{097F}}\x{{0980}}-\x{{09FF}}]+|[^\s\x{{0085}}\x{{00A0}}\p{{L}}\p{{M}}\p{{N}}_]') AS m FROM t)
+SELECT conv_id, turn, len(m) AS tokens, sha1(array_to_string(m, ' ')) AS tokens_sha1, 0 AS first_token, CASE WHEN length(m[2]) > 1 THEN NULL ELSE 0 END AS cut_token FROM m""")
 def turn_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every ASCII turn, and the token that its first characters align with."""
-    turns = read(spark, sf_dir, "conversations").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7F]")).select("conv_id", "turn", C.token_spans(F.col("text")).alias("m"))
-    first = F.get("m", F.lit(0))
-    return turns.select("conv_id", "turn", F.size("m").cast("long").alias("tokens"), F.sha1(F.array_join(F.transform("m", lambda x: x["text"]), " ")).alias("tokens_sha1"), C.aligned(F.col("m"), first["start"], first["end"])["first"].alias("first_token"))
+    """Tokens of every turn in Latin, Devanagari and Bengali script; the token that the first one's span aligns with, and one that may cut a token."""
+    turns = read_texts(spark, sf_dir, "conversations").withColumn("n", F.col("conv_id") * 10 + F.col("turn")).select("conv_id", "turn", F.concat(dealt(SCRIPTS, "n"), F.coalesce("text", F.lit(""))).alias("text"))
+    found = turns.select("conv_id", "turn", C.token_spans(F.col("text")).alias("m"))
+    first, second = F.get("m", F.lit(0)), F.get("m", F.lit(1))
+    cut = C.aligned(F.col("m"), first["start"], second["start"] + 1)["first"]
+    return found.select("conv_id", "turn", F.size("m").cast("long").alias("tokens"), F.sha1(F.array_join(F.transform("m", lambda x: x["text"]), " ")).alias("tokens_sha1"), C.aligned(F.col("m"), first["start"], first["end"])["first"].alias("first_token"), cut.alias("cut_token"))
 
 
 @query(r"""
@@ -308,12 +316,14 @@ def appended_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("note")
 
 
-@query(f"""
-WITH {_spans_sql('t', 'license|licen')}, {_spans_sql('p', 'idiot')}, x AS (SELECT doc_id, e, 'a' AS role, length(label) AS n FROM t UNION ALL SELECT doc_id, e, 'b', length(label) FROM p)
-SELECT doc_id, string_agg((e - n) || ':' || e || ':' || role, ',' ORDER BY e) AS spans FROM x GROUP BY 1""")
+@query(rf"""
+WITH s AS (SELECT doc_id, t, unnest(regexp_extract_all(t, '(?i)\b(?:mit license|license|licensed under)\b')) AS hit, unnest(string_split_regex(t, '(?i)\b(?:mit license|license|licensed under)\b')[1 : len(regexp_extract_all(t, '(?i)\b(?:mit license|license|licensed under)\b'))]) AS gap, unnest(range(len(regexp_extract_all(t, '(?i)\b(?:mit license|license|licensed under)\b')))) AS k
+  FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^ -~]+', ' ', 'g') || ' the MIT License, a license' AS t FROM documents)),
+e AS (SELECT doc_id, hit, k, (sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT AS e FROM s)
+SELECT doc_id, string_agg((e - length(hit)) || ':' || e || ':' || CASE WHEN lower(hit) = 'mit license' THEN 'long' WHEN lower(hit) = 'license' THEN 'short' ELSE 'other' END, ',' ORDER BY e) AS spans FROM e GROUP BY 1""")
 def weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexicon spans without overlaps, the longer first."""
-    docs = read_texts(spark, sf_dir, "documents").where("text is not null").select("doc_id", matches(F.col("text"), "license|licen").alias("long"), matches(F.col("text"), "idiot").alias("b"), matches(F.col("text"), "licen").alias("short"))
-    rank = lambda col, role, k: F.transform(col, lambda m: F.struct((m["start"] - m["end"]).alias("size"), F.lit(k).alias("rank"), m["start"].alias("start"), m["end"].alias("end"), F.lit(role).alias("role")))
-    kept = C.without_overlaps(F.concat(rank("long", "a", 0), rank("b", "b", 1), rank("short", "c", 2)))
-    return docs.select("doc_id", F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["start"], s["end"], s["role"])), ",").alias("spans")).where("spans <> ''")
+    """Lexicon spans of three roles without overlaps, the longer first, so that a shorter role keeps only what is left."""
+    text = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]+", " "), F.lit(" the MIT License, a license"))
+    docs = read_texts(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+    kept = C.weak_spans(F.col("t"), {"short": "license", "long": "mit license", "other": "licensed under"})
+    return docs.select("doc_id", F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["start"], s["end"], s["role"])), ",").alias("spans"))

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.operators import alerts as A
+from quarrylight.operators import audit as U
 from quarrylight.operators import heads as H
 from quarrylight.operators import training as T
+from quarrylight.operators.scoring import language
 from quarrylight.plans.replies import TIDY
+from quarrylight.plans.reports import has_sql, language_sql, report_sql, report_text
 from quarrylight.plans.tables import read, read_texts
 
 QUERIES, ORACLE = {}, {}
@@ -110,3 +113,60 @@ def balanced_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     head = H.fit_head(vectors.where("vec_id % 4 <> 2"), "embedding", "label")
     return head.scored(vectors.where("vec_id % 4 = 2"), "embedding").groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _share_sql(n: str, total: str = "n") -> str:
+    return f"CASE WHEN {total} > 0 THEN round_even(100 * {n} / {total}, 0)::BIGINT || '%' ELSE 'n/a' END"
+
+
+def _top_sql(items: dict[str, str], most: int) -> str:
+    """The first of 'name:n', the highest first, by name among equals."""
+    rows = ", ".join(f"{{'n': -({expr}), 'name': '{name}'}}" for name, expr in items.items())
+    return f"array_to_string(list_transform(list_slice(list_sort(list_filter([{rows}], lambda x: x.n < 0)), 1, {most}), lambda x: x.name || ':' || -x.n), ' ')"
+
+
+LANGS = ["english", "hinglish", "hindi", "assamese_mix"]
+AUDIT_SUMS = {
+    "n": "count(*)", "words": "sum(w)", "long": "count(*) FILTER (w > 300)", "short": "count(*) FILTER (w < 15)", "relevant": "count(*) FILTER (relevant)", "energy": "count(*) FILTER (e > 0)", "multi": "count(*) FILTER (e > 1)",
+    **{m: f"count(*) FILTER ({has_sql(p)})" for m, p in U.MEASURES.items()}, **{f"l_{x}": f"count(*) FILTER (lang = '{x}')" for x in LANGS}, **{f"d_{x}": f"count(*) FILTER ({has_sql(p)})" for x, p in U.DOMAINS.items()},
+}
+KIND_SQL = "(['near_miss', 'fatal', 'incident', 'injury', 'drill', 'audit', 'other', 'first_aid'])[doc_id % 8 + 1]"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(source, '?') AS source, {KIND_SQL} AS kind, {report_sql('doc_id')} AS t FROM documents),
+m AS (SELECT source, kind, t, len(regexp_extract_all(t, '\\S+')) AS w, {language_sql()} AS lang, regexp_matches(t, '(?i)\\b(rig|drill|crane)') AS relevant, {' + '.join(f"{has_sql(p)}::INT" for p in U.ENERGY.values())} AS e FROM d),
+b AS (SELECT source, kind, {', '.join(f'{e} AS {n}' for n, e in AUDIT_SUMS.items())} FROM m GROUP BY 1, 2), a AS (SELECT * FROM b UNION ALL SELECT '(all)', kind, {', '.join(f'sum({n})' for n in AUDIT_SUMS)} FROM b GROUP BY kind),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, kind) AS place FROM a),
+s AS (SELECT source, {', '.join(f'sum({n})::BIGINT AS {n}' for n in AUDIT_SUMS)}, count(*) AS n_kinds, string_agg(kind || ':' || n, ' ' ORDER BY n DESC, kind) FILTER (place <= 6) AS record_types FROM r GROUP BY 1)
+SELECT source, n, {_share_sql('relevant')} AS relevant, {_share_sql('energy')} AS energy_cue, multi AS multi_energy_rows, {', '.join(f'{_share_sql(m)} AS {m}' for m in U.MEASURES)}, round_even(words / n, 0)::BIGINT AS avg_words, {_share_sql('long')} AS over_300_words, {_share_sql('short')} AS under_15_words,
+  n_kinds, {_top_sql({x: f'l_{x}' for x in LANGS}, 4)} AS language, {_top_sql({x: f'd_{x}' for x in U.DOMAINS}, 4)} AS top_domains, record_types FROM s""")
+def full_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve measures and three nested counters of each source of reports, and of all."""
+    kind = F.element_at(F.array(*map(F.lit, ["near_miss", "fatal", "incident", "injury", "drill", "audit", "other", "first_aid"])), (F.col("doc_id") % 8 + 1).cast("int"))
+    docs = read_texts(spark, sf_dir, "documents").select("doc_id", "source", report_text("doc_id").alias("t"))
+    found = U.source_audit(docs, "source", "t", kind, language(F.col("t")), LANGS, U.DOMAINS, F.col("t").rlike(r"(?i)\b(rig|drill|crane)"))
+    return found.withColumns({c: F.array_join(c, " ") for c in ("language", "top_domains", "record_types")})
+
+
+TARGETS = {"Hot Work": 5, "Driving": 100_000}
+
+
+@query(f"""
+WITH d AS (SELECT {report_sql('doc_id')} AS t FROM documents), c AS ({' UNION ALL '.join(f"SELECT '{r}' AS rule, count(*) FILTER ({has_sql(p)}) AS n, {TARGETS.get(r, 0)}::BIGINT AS target FROM d" for r, p in U.RULES.items())})
+SELECT rule, n, target, greatest(target - n, 0) AS gap, CASE WHEN n = 0 THEN 'missing' WHEN n < 150 OR n < target THEN 'thin' ELSE 'ok' END AS status FROM c""")
+def rule_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that speak of each rule against targets."""
+    return U.rule_gaps(read_texts(spark, sf_dir, "documents").select(report_text("doc_id").alias("t")), "t", TARGETS)
+
+
+@query("""
+WITH p AS (SELECT c_mktsegment AS source, CASE WHEN c_custkey % 3 = 0 THEN 'label' ELSE 'rewind' END AS job, count(*) AS n FROM customer GROUP BY 1, 2),
+j AS (SELECT job, sum(CASE WHEN source = 'BUILDING' THEN least(n, 20) ELSE n END)::BIGINT AS seeds FROM p GROUP BY 1),
+e AS (SELECT job, seeds, round_even(seeds * CASE WHEN job = 'rewind' THEN 4 * 0.7::DOUBLE ELSE 0.8::DOUBLE END, 0)::BIGINT AS expected FROM j UNION ALL SELECT 'generate', 0, 450 UNION ALL SELECT 'agree', 0, 0),
+t AS (SELECT * FROM e UNION ALL SELECT '(total)', sum(seeds)::BIGINT, sum(expected)::BIGINT FROM e)
+SELECT job, seeds, expected, CASE WHEN job = '(total)' THEN (expected - round_even(expected * 0.08::DOUBLE, 0))::BIGINT END AS usable, CASE WHEN job = '(total)' THEN 5000::BIGINT END AS target, CASE WHEN job = '(total)' THEN expected - round_even(expected * 0.08::DOUBLE, 0) >= 5000 END AS ok FROM t""")
+def seed_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the seeds of each job will yield."""
+    rows = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("source"), F.when(F.col("c_custkey") % 3 == 0, "label").otherwise("rewind").alias("job"))
+    return U.sufficiency(rows, "source", "job", {"BUILDING": 20}, {"generate": 0.9, "rewind": 0.7, "label": 0.8, "agree": 0.5}, {"rewind": 4}, 500, 5000)

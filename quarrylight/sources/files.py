@@ -139,3 +139,36 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 def insert_absent(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
     """Rows to append: one for each key that the table lacks."""
     return new.dropDuplicates(key).join(old.select(*key), key, "left_anti")
+
+
+# What headers of uploaded statements may hold, by column.
+STATEMENT_HEADERS = {"text": ["statement", "report", "observation", "description", "text"], "site": ["site", "location", "yard"], "activity": ["activity", "operation", "work"]}
+
+
+def statement_columns(headers: list[str]) -> dict[str, str | None]:
+    """The header of each column of uploaded statements: the first that holds one of its words, else the one in its place.
+
+    A header is given away once: where two columns would take it, the earlier of text, site, activity has it. Without a
+    header in its place a column has none.
+    """
+    found: dict[str, str | None] = {}
+    for name, words in STATEMENT_HEADERS.items():
+        found[name] = next((h for h in headers if h not in found.values() and any(w in h.strip().lower() for w in words)), None)
+    for place, name in enumerate(STATEMENT_HEADERS):
+        if found[name] is None and place < len(headers) and headers[place] not in found.values():
+            found[name] = headers[place]
+    return found
+
+
+def statements(df: DataFrame) -> DataFrame:
+    """(text, site, activity) of uploaded rows whatever their headers; rows without a text are dropped, missing columns are empty."""
+    columns = statement_columns(df.columns)
+    clean = lambda name: F.coalesce(F.trim(F.col(f"`{columns[name]}`").cast("string")), F.lit("")) if columns[name] else F.lit("")
+    return df.select(*(clean(name).alias(name) for name in STATEMENT_HEADERS)).where("text <> ''")
+
+
+def read_statements(spark: SparkSession, path: str) -> DataFrame:
+    """Uploaded statements: CSV with headers, or a JSON array of objects, by the suffix."""
+    if path.lower().endswith(".json"):
+        return statements(spark.read.option("multiLine", True).json(path))
+    return statements(spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path))
