@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g").config("spark.local.dir", str(own / "local")).config("spark.checkpoint.dir", f"file://{own}/shared").config("spark.sql.warehouse.dir", str(own / "warehouse"))
-        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
