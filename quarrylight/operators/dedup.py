@@ -43,6 +43,8 @@ def exact_duplicates(df: DataFrame, key: str, text: str, rank: Column, normalise
     """
     keyed = df.select(key, text_key(text, normalised).alias("__text"), rank.alias("__rank"))
     keyed = keyed.select(key, "__rank", F.when(F.col("__text") != "", F.unhex(F.md5("__text"))).alias("__key"))
+    # Digests are asked for twice; texts are normalised once.
+    keyed = keyed if normalised else _written(keyed)
     best = keyed.where("__key is not null").groupBy("__key").agg(F.min(F.struct(-F.col("__rank"), F.col(key).alias("canonical")))["canonical"].alias("canonical"))
     return keyed.join(best, "__key", "left").select(key, F.coalesce("canonical", F.col(key)).alias("canonical"))
 
