@@ -5,6 +5,7 @@ Every function takes DataFrames and column names and returns a DataFrame; nothin
 
 from __future__ import annotations
 
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -253,6 +254,7 @@ def safe_cut(sweep: DataFrame, floor: float) -> DataFrame:
 def sessions(df: DataFrame, by: list[str], ts: str, gap_seconds: int) -> DataFrame:
     """Gaps and islands: a new session where the gap exceeds the limit; session number, span and size."""
     order = Window.partitionBy(*by).orderBy(ts)
-    gap = F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(order))
-    marked = df.withColumn("opens", F.when(gap.isNull() | (gap > gap_seconds), 1).otherwise(0)).withColumn("session", F.sum("opens").over(order.rangeBetween(Window.unboundedPreceding, 0)))
+    # A difference of timestamps keeps fractions of a second; whole seconds would let a gap just above the limit pass.
+    gap = F.col(ts) - F.lag(ts).over(order)
+    marked = df.withColumn("opens", F.when(gap.isNull() | (gap > F.lit(timedelta(seconds=gap_seconds))), 1).otherwise(0)).withColumn("session", F.sum("opens").over(order.rangeBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*by, "session").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n"))

@@ -104,3 +104,11 @@ def test_score_reads_whole_texts(spark):
     assert (whole.verdict, whole.hazard, len(whole.spans)) == (short.verdict, short.hazard, len(short.spans)) and short.verdict == "P_SIF"
     assert min(s.start for s in whole.spans) > 8000 and all(long[s.start : s.end] == s.text for s in whole.spans)
     assert score(df, max_chars=8000).orderBy("id").collect()[1].spans == []
+
+
+def test_sessions_keep_fractions_of_a_second(spark):
+    from quarrylight.operators.analytics import sessions
+
+    rows = spark.sql("SELECT * FROM VALUES (1, timestamp_ntz'2024-01-01 00:00:00.2'), (1, timestamp_ntz'2024-01-01 06:00:00.2'), (1, timestamp_ntz'2024-01-01 12:00:00.9'), (2, timestamp_ntz'2024-01-01 00:00:00') t(u, ts)")
+    for df in (rows, rows.withColumn("ts", F.col("ts").cast("timestamp"))):
+        assert sorted((r.u, r.session, r.n) for r in sessions(df, ["u"], "ts", 6 * 3600).collect()) == [(1, 1, 2), (1, 2, 1), (2, 1, 1)]
