@@ -70,30 +70,40 @@ WITH f AS (SELECT user_id, event_type, min((ts, event_id)) AS first FROM events
 v AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first) AS version, lag(event_type) OVER (PARTITION BY user_id ORDER BY first) AS before, count(*) OVER (PARTITION BY user_id) AS n FROM f)
 SELECT user_id, event_type AS current_type, version, n AS n_versions, before AS superseded_type FROM v WHERE version = n""")
 def ingested_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The current version of every key after a stream in three batches that is killed between its second batch's rows and their commit, and replayed."""
+    """The current version of every key after a stream in three batches that is killed between its second batch's rows and their commit, and replayed.
+
+    A batch is a third of the days, in however many files that is written: a batch a file would order versions by files.
+    """
     root = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
     events = read(spark, sf_dir, "events")
     third = F.ntile(3).over(Window.orderBy("day"))
     days = events.select(F.to_date("ts").alias("day")).distinct().select("day", third.alias("third"))
-    for k in (1, 2, 3):
-        events.join(F.broadcast(days.where(F.col("third") == k)), F.to_date("ts") == F.col("day"), "left_semi").write.mode("append").parquet(f"{root}/in")
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     store = VersionStore(spark, f"{root}/store", schema, ["user_id"], ["event_type"], ["ts", "event_id"])
-    stream = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+    def arrive(k: int) -> None:
+        events.join(F.broadcast(days.where(F.col("third") == k)), F.to_date("ts") == F.col("day"), "left_semi").write.mode("append").parquet(f"{root}/in")
+
+    def ingest() -> None:
+        store.ingest(spark.readStream.schema(events.schema).parquet(f"{root}/in"))
 
     def killed(batch: int, commit=store.commit) -> None:
         if batch == 1:
             raise Killed
         commit(batch)
 
+    arrive(1)
+    ingest()
+    arrive(2)
     store.commit = killed
     try:
-        store.ingest(stream())
+        ingest()
     except Exception as broken:
         if "Killed" not in str(broken):
             raise
     del store.commit
-    store.ingest(stream())
+    arrive(3)
+    ingest()
     rows = store.history()
     before = rows.select(F.col("version_id").alias("supersedes"), F.col("event_type").alias("superseded_type"))
     counted = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_versions"))

@@ -3,6 +3,7 @@
 import itertools
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,15 @@ def test_glossary_entries(spark):
     assert found == {"lock out": ("LOTO", True), "Loto": ("LOTO", False), "permit": ("PTW", False)}
     row = spark.range(1).select(full_year(F.lit(89)).alias("a"), full_year(F.lit(90)).alias("b"), pseudonym(F.lit("Ab")).alias("c"), pseudonym(F.lit("aB")).alias("d"), *(tidy_category(F.lit(x)).alias(n) for n, x in (("e", " [] "), ("f", "NaN"), ("g", "HOT WORK"), ("h", " Mixed Case ")))).first()
     assert (row.a, row.b) == (2089, 1990) and row.c == row.d and len(row.c) == 8 and (row.e, row.f, row.g, row.h) == (None, None, "Hot work", "Mixed Case")
+
+
+def test_versions_of_many_files_follow_the_days(spark, tmp_path):
+    from quarrylight.plans.ingest import ORACLE, ingested_versions
+
+    # Every day in each of nine files: a batch a file would take a user's later events before earlier ones.
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("user_id", F.col("user_id") % 7)
+    events.repartition(9, "event_type", "value").write.parquet(f"file://{tmp_path}/events.parquet")
+    got = sorted(map(str, (tuple(r) for r in ingested_versions(spark, str(tmp_path)).select("user_id", "current_type", "version", "n_versions", "superseded_type").collect())))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(map(str, con.execute(ORACLE["ingested_versions"]).fetchall()))
