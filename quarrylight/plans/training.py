@@ -80,7 +80,7 @@ def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH d AS (SELECT doc_id, doc_id % 5 AS k FROM documents), n AS (SELECT count(*) AS n FROM d),
 r AS (SELECT doc_id, k, row_number() OVER (ORDER BY k DESC, sha1(doc_id::VARCHAR), doc_id) AS place FROM d WHERE k > 0)
-SELECT doc_id, k::INTEGER AS scarce FROM r, n WHERE place <= (n.n * 0.5)::BIGINT""")
+SELECT doc_id, k::INTEGER AS scarce FROM r, n WHERE place <= floor(n.n * 0.5)::BIGINT""")
 def weak_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak rows that may be trained with: those with most scarce roles first, half as many as there are real ones."""
     docs = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("scarce"))

@@ -3,6 +3,7 @@
 import json
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,16 @@ def test_balanced_weak(spark):
     assert {r.id for r in T.balanced_weak(df, 140, "id").collect()} == {r.id for r in T.balanced_weak(df.repartition(2), 140, "id").collect()}
 
 
+def test_weak_balance_of_an_odd_count_rounds_down(spark, tmp_path):
+    from quarrylight.plans.training import ORACLE, weak_balance
+
+    spark.range(5).withColumnRenamed("id", "doc_id").write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in weak_balance(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(ORACLE["weak_balance"]).fetchall()) == [(3, 3), (4, 4)]
+
+
 def test_glossary(spark):
     whole = {"term": " Lock out ", "variants": ["LOTO", " loto ", ""], "meaning": "m", "category": "Barrier", "safety_signal": "positive", "example_line": "e", "lsr": "l", "confidence": "high", "source_hint": "s"}
     rows = [(1, json.dumps(whole)), (2, json.dumps(whole | {"term": "lock OUT", "variants": ["LOCKOUT"], "category": "magic", "safety_signal": "odd", "more": 1})), (3, json.dumps({"term": "PTW", "variants": ["loto"]})), (4, json.dumps({"term": " "})), (5, "{broken"), (6, None)]
