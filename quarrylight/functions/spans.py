@@ -2,19 +2,129 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FLAGS = "(?iU)"
+#: Characters of a match's beginning that are held against a text's words, and what parts these in ``beginnings``.
+LOOK, PART = 6, "\x01"
+CLASSES = {"CATEGORY_DIGIT": r"\d", "CATEGORY_WORD": r"\w", "CATEGORY_SPACE": r"\s"}
+
+Heads = set[tuple[tuple[str, ...], bool]]
+
+
+def _heads(items, depth: int, inside: bool = False) -> Heads:
+    """What matches of a parsed pattern begin with: a piece for each character or edge, and whether what follows may go on from there."""
+    found = {((), True)}
+    for op, arg in items:
+        longer = set()
+        for head, goes_on in found:
+            if goes_on and len(head) < depth:
+                longer |= {(head + more, on) for more, on in _head(str(op), arg, depth - len(head), inside or bool(head))}
+            else:
+                longer.add((head, False))
+        found = longer
+    return found
+
+
+def _head(op: str, arg, depth: int, inside: bool) -> Heads:
+    if op == "LITERAL":
+        return {((re.escape(chr(arg)),), True)}
+    if op == "AT" and str(arg) == "AT_BOUNDARY" and inside:
+        return {((r"\b",), True)}
+    if op in ("AT", "ASSERT", "ASSERT_NOT"):
+        return {((), True)}
+    if op == "SUBPATTERN" and not arg[1] and not arg[2]:
+        return _heads(arg[3], depth, inside)
+    if op == "BRANCH":
+        return set().union(*(_heads(branch, depth, inside) for branch in arg[1]))
+    if op in ("MAX_REPEAT", "MIN_REPEAT"):
+        least, most, body = arg
+        own = {(head, on and most == 1) for head, on in _heads(body, depth, inside)}
+        return own if least else own | {((), True)}
+    if op == "IN":
+        kinds = [(str(kind), str(value)) if str(kind) == "CATEGORY" else (str(kind), value) for kind, value in arg]
+        if all(k in ("LITERAL", "RANGE") or (k == "CATEGORY" and v in CLASSES) for k, v in kinds):
+            piece = lambda k, v: re.escape(chr(v)) if k == "LITERAL" else CLASSES[v] if k == "CATEGORY" else f"{re.escape(chr(v[0]))}-{re.escape(chr(v[1]))}"
+            return {((piece(k, v),), True) for k, v in kinds}
+    return {((), False)}
+
+
+def _edged(items) -> bool:
+    """Whether matches of a parsed pattern stand at a word's edge."""
+    for op, arg in items:
+        if str(op) == "AT":
+            return str(arg) == "AT_BOUNDARY"
+        if str(op) == "SUBPATTERN":
+            return _edged(arg[3])
+        if str(op) == "ASSERT_NOT":
+            # No letter before, of those that make words: an edge, if the match begins with such a letter.
+            return arg[0] < 0 and str(arg[1][0][0]) == "IN" and any(str(v) == "CATEGORY_WORD" for _, v in arg[1][0][1]) and all(head and (head[0] in (r"\d", r"\w") or head[0].isalnum()) for head, _ in _heads(items, 1))
+        return str(op) == "BRANCH" and all(map(_edged, arg[1]))
+    return False
+
+
+def _any_of(heads: set[tuple[str, ...]]) -> str:
+    """A pattern for any of the beginnings, read piece by piece; pieces with the same continuation share a class."""
+    if () in heads:
+        return ""
+    after, alike = {}, {}
+    for head in heads:
+        after.setdefault(head[0], set()).add(head[1:])
+    for piece, rest in after.items():
+        alike.setdefault((piece == r"\b", _any_of(rest)), []).append(piece)
+    return "(?:" + "|".join((r"\b" if edge else f"[{''.join(sorted(pieces))}]") + rest for (edge, rest), pieces in sorted(alike.items())) + ")"
+
+
+@functools.cache
+def begins(pattern: str) -> frozenset[tuple[str, ...]]:
+    """What a pattern's matches begin with at a word's edge; empty if they may stand elsewhere or begin with anything."""
+    try:
+        parsed = re._parser.parse(pattern)
+    except re.error:
+        return frozenset()
+    heads = frozenset(head for head, _ in _heads(parsed, LOOK)) if _edged(parsed) else frozenset()
+    return frozenset() if () in heads else heads
+
+
+@functools.cache
+def quick(pattern: str) -> str:
+    """A pattern with its flags and the same matches: one at a word's edge first looks at the letters that may follow there."""
+    heads = begins(pattern)
+    if not heads:
+        return FLAGS + pattern
+    return rf"{FLAGS}\b(?=[{''.join(sorted({head[0] for head in heads}))}])(?={_any_of(set(heads))}){pattern}"
+
+
+def beginnings(text: Column, patterns: list[str]) -> Column:
+    """One string of all places of a text where a match of one of many patterns could begin, for ``may_match``.
+
+    A text is read once for all patterns instead of once for each, most of which it doesn't hold.
+    """
+    heads = set().union(*map(begins, patterns))
+    found = F.regexp_extract_all(text, F.lit(rf"{FLAGS}\b(?={_any_of(heads)})(?=([\s\S]{{1,{LOOK}}}))"), 1)
+    return F.concat(F.lit(PART), F.array_join(F.array_distinct(found), PART))
+
+
+def may_match(begun: Column | None, pattern: str) -> Column:
+    """Whether a text with these ``beginnings`` may hold a match of one of their patterns; never false where it does."""
+    heads = begins(pattern)
+    return F.lit(True) if begun is None or not heads else begun.rlike(FLAGS + PART + _any_of(set(heads)))
 
 
 #: Matches that one inner fold takes; a fold copies its array at every step, so long lists are folded in two levels.
 CHUNK = 64
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<text,start,end>> of a pattern's matches, leftmost and non-overlapping; ends are exclusive."""
-    regex = FLAGS + pattern
+def matches(text: Column, pattern: str, begun: Column | None = None) -> Column:
+    """array<struct<text,start,end>> of a pattern's matches, leftmost and non-overlapping; ends are exclusive.
+
+    ``begun`` are the text's ``beginnings``, where they have been found already.
+    """
+    regex = quick(pattern)
     empty = F.array().cast("array<struct<text:string,start:int,end:int>>")
 
     def step(state: Column, pair: Column) -> Column:
@@ -34,19 +144,20 @@ def matches(text: Column, pattern: str) -> Column:
 
     # Bound to a lambda's variable, the hits are sought once; a text without any is not split.
     hits = F.array(F.regexp_extract_all(text, F.lit(regex), 0))
-    return F.get(F.transform(hits, lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(empty)), F.lit(0))
+    sought = F.get(F.transform(hits, lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(empty)), F.lit(0))
+    return sought if begun is None else F.when(may_match(begun, pattern), sought).otherwise(empty)
 
 
-def hit(text: Column, pattern: str) -> Column:
-    return text.rlike(FLAGS + pattern)
+def hit(text: Column, pattern: str, begun: Column | None = None) -> Column:
+    return text.rlike(quick(pattern)) if begun is None else may_match(begun, pattern) & text.rlike(quick(pattern))
 
 
-def first_match(text: Column, pattern: str) -> Column:
+def first_match(text: Column, pattern: str, begun: Column | None = None) -> Column:
     """struct<text,start,end> of a pattern's first match, the text trimmed and the offsets not; null without one."""
-    regex = FLAGS + pattern
+    regex = quick(pattern)
     found = F.regexp_extract(text, regex, 0)
     start = F.length(F.get(F.split(text, regex, 2), F.lit(0)))
-    return F.when(hit(text, pattern), F.struct(F.trim(found).alias("text"), start.alias("start"), (start + F.length(found)).alias("end")))
+    return F.when(hit(text, pattern, begun), F.struct(F.trim(found).alias("text"), start.alias("start"), (start + F.length(found)).alias("end")))
 
 
 def around(text: Column, start: Column, end: Column, reach: int) -> Column:

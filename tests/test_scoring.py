@@ -1,5 +1,8 @@
 """The scorer on sentences of both scripts, on barriers that a model names, and on its own path."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +135,19 @@ def test_cues_in_the_order_of_the_patterns(spark):
     assert [(c.cue, c.text) for c in rows[3].condition_cues] == [("damaged_equipment", "damaged")] and rows[3].flag_confidence == 0.53
     assert [(c.cue, c.start) for c in rows[4].condition_cues] == [("control_absent_span", 0)]
     assert rows[5].actor == "Mistri" and [(c.cue, texts[5][c.start : c.end]) for c in rows[5].act_cues] == [("control_bypassed", "hata diya")] and rows[5].flag_confidence == 0.61
+
+
+def test_beginnings_miss_no_match(spark):
+    """Every pattern that whole texts are searched for, held against the pattern alone, in texts cut from the rules' own words and odd letters."""
+    from quarrylight.functions.spans import FLAGS, beginnings, begins, matches, may_match
+    from quarrylight.operators.scoring import SOUGHT
+
+    assert all(begins(p) for p in SOUGHT)
+    random.seed(3)
+    pieces = sorted({w for p in SOUGHT for w in re.findall(r"[\wऀ-ॿ]+", re.sub(r"\\.", " ", p))}) + ["Kick", "ſlipped", "GİRA", "12 kv", "3 log", "किसी", "電", "मौत", "\x01", "n't", "कट कर अलग"]
+    texts = ["".join(random.choice(pieces) + random.choice([" ", "  ", "\n", "-", "", ". ", "́ "]) for _ in range(random.randrange(1, 40))) for _ in range(150)]
+    df = spark.createDataFrame([(t,) for t in [*texts, *(t.upper() for t in texts), "", "Zzz qq."]], "t string").withColumn("b", beginnings(F.col("t"), SOUGHT)).localCheckpoint()
+    for pattern in SOUGHT:
+        wrong = F.transform(matches(F.col("t"), pattern, F.col("b")), lambda m: m["text"]) != F.regexp_extract_all("t", F.lit(FLAGS + pattern), 0)
+        assert df.where(wrong | (~may_match(F.col("b"), pattern) & F.col("t").rlike(FLAGS + pattern))).count() == 0, pattern
+    assert df.where("t = 'Zzz qq.'").first().b == "\x01"
