@@ -36,6 +36,8 @@ CAUSAL = r"^(PEOPLE \(ACTS\)|PROCESS \(CONDITIONS\))\s*:\s*(.*)$"
 VICTIM_LABEL = "(" + "|".join(VICTIM_FIELDS) + r"):\s*"
 #: Words that a narrative needs to stand alone, and below which it is called very short.
 ALONE, SHORT = 12, 8
+#: More lines than a section has.
+MOST = 1 << 30
 
 
 def file_kind(path: Column) -> Column:
@@ -47,9 +49,15 @@ def file_kind(path: Column) -> Column:
 
 
 def page_lines(pages: DataFrame, by: list[str], page: str, text: str) -> DataFrame:
-    """(by, page, at, line): the lines of each page without blank ones, headers and page numbers; ``at`` counts on over the pages."""
+    """(by, page, at, line): the lines of each page without blank ones, headers and page numbers; ``at`` counts on over the pages.
+
+    Pages are dealt by ``by`` before they are taken apart: a file of few row groups is read by few tasks, and what numbers
+    the records of ``by`` finds its lines where they are.
+    """
+    pages = pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
     tidy = F.transform(F.split(F.col(text), r"\r\n|\r|\n"), lambda x: collapse_ws(normalize_unicode(x, compose=False)))
-    lines = pages.select(*by, page, F.posexplode(tidy).alias("k", "line")).where((F.col("line") != "") & ~F.col("line").rlike(PAGE_HEADERS))
+    # An inner explode would have Spark tidy a page twice, to see first whether it has lines; those of none are dropped below.
+    lines = pages.select(*by, page, F.posexplode_outer(tidy).alias("k", "line")).where((F.col("line") != "") & ~F.col("line").rlike(PAGE_HEADERS))
     return lines.select(*by, page, F.struct(page, "k").alias("at"), "line")
 
 
@@ -91,12 +99,17 @@ def _split(body: Column) -> Column:
     """struct<head,parts>: the lines before any section, and struct<section,lines> of each section's lines in order."""
     names = "|".join(SECTIONS)
     apart = F.regexp_replace(body, rf"(?m)(?:(?<=\s)|^)({names}):\s*", "\n$1:\n")
-    chunks = F.split(apart, rf"(?m)^(?=(?:{names}):$)")
+    split = F.split(apart, rf"(?m)^(?=(?:{names}):$)")
     rows = lambda x: F.filter(F.transform(F.split(x, "\n"), lambda x: F.trim(x)), lambda y: y != "")
     headed = lambda c: c.rlike(rf"^(?:{names}):")
-    head = F.flatten(F.transform(F.filter(chunks, lambda c: ~headed(c)), rows))
-    parts = F.transform(F.filter(chunks, headed), lambda c: F.struct(F.regexp_extract(c, rf"^({names}):", 1).alias("section"), F.slice(rows(c), F.lit(2), F.greatest(F.size(rows(c)) - 1, F.lit(0))).alias("lines")))
-    return F.struct(head.alias("head"), parts.alias("parts"))
+
+    def placed(chunks: Column) -> Column:
+        head = F.flatten(F.transform(F.filter(chunks, lambda c: ~headed(c)), rows))
+        parts = F.transform(F.filter(chunks, headed), lambda c: F.struct(F.regexp_extract(c, rf"^({names}):", 1).alias("section"), F.slice(rows(c), F.lit(2), F.lit(MOST)).alias("lines")))
+        return F.struct(head.alias("head"), parts.alias("parts"))
+
+    # Bound to a lambda's variable, a body is split once; a bare struct would be worked out again for each field that is asked for.
+    return F.get(F.transform(F.array(split), placed), F.lit(0))
 
 
 def _placed(head: Column) -> Column:
