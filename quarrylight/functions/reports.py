@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarrylight.functions.spans import matches
+from quarrylight.functions.spans import beginnings, first_start, matches, quick
 from quarrylight.functions.text import collapse_ws
 
 # Life-saving rules, what says that none applies, and other names of the rules.
@@ -110,24 +110,37 @@ def hedged(text: Column, start: Column) -> Column:
     return text.substr(first + 1, start - first).rlike(HEDGE)
 
 
-def actual_fatality(text: Column) -> Column:
-    """Whether a fatality word stands without a hedge: "could have been fatal" is none."""
-    return F.exists(matches(text, FATALITY), lambda m: ~hedged(text, m["start"]))
+def report_cues(text: Column) -> Column:
+    """Where the words of fatalities and outcomes could begin: a text is read once for all of them."""
+    return beginnings(text, [FATALITY, *OUTCOMES.values()])
 
 
-def outcome(text: Column) -> Column:
+def actual_fatality(text: Column, begun: Column | None = None) -> Column:
+    """Whether a fatality word stands without a hedge: "could have been fatal" is none.
+
+    ``begun`` are the text's ``report_cues``, where they have been found already.
+    """
+    return F.exists(matches(text, FATALITY, begun), lambda m: ~hedged(text, m["start"]))
+
+
+def outcome(text: Column, begun: Column | None = None) -> Column:
     """The outcome that stands first; each outcome counts by its first mention, unless that is hedged."""
     def first(name: str, pattern: str) -> Column:
-        at = F.get(matches(text, pattern), F.lit(0))["start"]
-        sound = at.isNotNull() & (F.lit(name == "near_miss") | ~hedged(text, at))
-        return F.when(sound, F.struct(at.alias("at"), F.lit(name).alias("name")))
+        # Bound to a lambda's variable, the place is sought once.
+        sound = lambda at: at.isNotNull() & (F.lit(name == "near_miss") | ~hedged(text, at))
+        return F.get(F.transform(F.array(first_start(text, pattern, begun)), lambda at: F.when(sound(at), F.struct(at.alias("at"), F.lit(name).alias("name")))), F.lit(0))
 
     return F.array_min(F.array_compact(F.array(*(first(n, p) for n, p in OUTCOMES.items()))))["name"]
 
 
-def record_type(text: Column) -> Column:
-    """fatal, near_miss, injury or incident, the first that holds."""
-    return F.when(actual_fatality(text), "fatal").when((outcome(text) == "near_miss") | text.rlike(NEAR_MISS), "near_miss").when(outcome(text).isin(*INJURED) | text.rlike(INJURY), "injury").otherwise("incident")
+def record_type(text: Column, fatal: Column | None = None, first: Column | None = None) -> Column:
+    """fatal, near_miss, injury or incident, the first that holds.
+
+    ``fatal`` and ``first`` are the text's ``actual_fatality`` and ``outcome``, where they have been found already.
+    """
+    fatal, first = actual_fatality(text) if fatal is None else fatal, outcome(text) if first is None else first
+    said = lambda pattern: text.rlike(quick(pattern.removeprefix("(?i)"), "(?i)"))
+    return F.when(fatal, "fatal").when((first == "near_miss") | said(NEAR_MISS), "near_miss").when(first.isin(*INJURED) | said(INJURY), "injury").otherwise("incident")
 
 
 def potential_consequence(text: Column) -> Column:

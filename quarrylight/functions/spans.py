@@ -91,12 +91,12 @@ def begins(pattern: str) -> frozenset[tuple[str, ...]]:
 
 
 @functools.cache
-def quick(pattern: str) -> str:
+def quick(pattern: str, flags: str = FLAGS) -> str:
     """A pattern with its flags and the same matches: one at a word's edge first looks at the letters that may follow there."""
     heads = begins(pattern)
     if not heads:
-        return FLAGS + pattern
-    return rf"{FLAGS}\b(?=[{''.join(sorted({head[0] for head in heads}))}])(?={_any_of(set(heads))}){pattern}"
+        return flags + pattern
+    return rf"{flags}\b(?=[{''.join(sorted({head[0] for head in heads}))}])(?={_any_of(set(heads))}){pattern}"
 
 
 def beginnings(text: Column, patterns: list[str]) -> Column:
@@ -152,6 +152,11 @@ def hit(text: Column, pattern: str, begun: Column | None = None) -> Column:
     return text.rlike(quick(pattern)) if begun is None else may_match(begun, pattern) & text.rlike(quick(pattern))
 
 
+def first_start(text: Column, pattern: str, begun: Column | None = None) -> Column:
+    """Where a pattern's first match starts; null without one."""
+    return F.when(hit(text, pattern, begun), F.length(F.get(F.split(text, quick(pattern), 2), F.lit(0))))
+
+
 def first_match(text: Column, pattern: str, begun: Column | None = None) -> Column:
     """struct<text,start,end> of a pattern's first match, the text trimmed and the offsets not; null without one."""
     regex = quick(pattern)

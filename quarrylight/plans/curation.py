@@ -86,7 +86,9 @@ def record_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hedged facts, outcome and record type of whole texts that open as reports do."""
     opened = F.concat(F.element_at(F.array(*map(F.lit, OPENINGS)), (F.col("doc_id") % 8 + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
     docs = read_texts(spark, sf_dir, "documents").select("doc_id", opened.alias("t"))
-    return docs.select("doc_id", P.actual_fatality(F.col("t")).alias("fatal"), P.outcome(F.col("t")).alias("outcome"), P.record_type(F.col("t")).alias("record_type"))
+    t, begun = F.col("t"), F.col("begun")
+    facts = docs.withColumn("begun", P.report_cues(t)).withColumns({"fatal": P.actual_fatality(t, begun), "outcome": P.outcome(t, begun)})
+    return facts.select("doc_id", "fatal", "outcome", P.record_type(t, F.col("fatal"), F.col("outcome")).alias("record_type"))
 
 
 @query(r"""

@@ -19,3 +19,14 @@ def test_pages_are_dealt_before_they_are_taken_apart_and_tidied_once(spark):
     lines = P.page_lines(pages, ["f"], "p", "t")
     assert lines.rdd.getNumPartitions() == 4 and lines.count() == 16
     assert plan(lines).count("translate") == 1
+
+
+def test_record_types_seek_each_cue_once(spark):
+    rows = [(1, "It could have been fatal."), (2, "Could be.\nHe died"), (3, "An LTI and a hipo."), (4, "no lti; first aid"), (5, "étatal fatality"), (6, ""), (7, None), (8, "dropped object injury, dropped object"), (9, "hospital")]
+    docs = spark.createDataFrame(rows, "id int, t string")
+    t = F.col("t")
+    facts = docs.withColumn("b", R.report_cues(t)).select("id", R.actual_fatality(t, F.col("b")).alias("f"), R.outcome(t, F.col("b")).alias("o"), R.record_type(t).alias("r"), R.actual_fatality(t).alias("f2"), R.outcome(t).alias("o2"))
+    got = {r.id: r for r in facts.collect()}
+    assert all((r.f, r.o) == (r.f2, r.o2) for r in got.values())
+    assert [(got[k].o, got[k].r) for k in range(1, 10)] == [(None, "incident"), (None, "fatal"), ("lost_time_injury", "near_miss"), (None, "injury"), ("fatality", "fatal"), (None, "incident"), (None, "incident"), ("equipment_damage", "injury"), (None, "injury")]
+    assert plan(E.queries()["record_types"](spark, SF)).count("were killed") <= 3
