@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.operators.dedup import shared_folder
-from quarrylight.plans.tables import read, read_texts
+from quarrylight.plans.tables import read, read_dealt, read_texts
 from quarrylight.sources import nested as N
 from quarrylight.sources.stages import FileStage
 from quarrylight.streaming.versions import VersionStore
@@ -41,7 +41,7 @@ def nested_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(entry(t, F.lit('"none"'), ', "meaning": "outer", "sub": {"term": "inner"}'))
     )
     json = F.when(kind == 4, F.col("props")).otherwise(json)
-    found = N.nested_entries(read(spark, sf_dir, "events").select("event_id", json.alias("json")), "json", "term", "term string, k long, meaning string")
+    found = N.nested_entries(read_dealt(spark, sf_dir, "events", ["event_id", "event_type", "props"]).select("event_id", json.alias("json")), "json", "term", "term string, k long, meaning string")
     return found.select("event_id", "place", "entry.term", "entry.k", "entry.meaning")
 
 

@@ -21,6 +21,15 @@ def read_texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def read_dealt(spark: SparkSession, sf_dir: str, table: str, columns: list[str]) -> DataFrame:
+    """Some columns of a table of small rows that much is worked out from, dealt evenly over the cores.
+
+    A scan has as many partitions with rows as its files have row groups, whatever its size: a million rows may be one.
+    """
+    rows = read(spark, sf_dir, table).select(*columns)
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
+
+
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their customer's segment and nation: precursor = priority, site = nation, barrier status = order status."""
     orders, customer, nation = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation"))

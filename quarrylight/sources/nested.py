@@ -63,7 +63,9 @@ def nested_entries(df: DataFrame, json: str, field: str, schema: str, depth: int
     """
     holds = lambda n: F.coalesce(F.map_contains_key(F.try_variant_get(n["v"], "$", "map<string,variant>"), field), F.lit(False))
     out = walked(df, F.col(json), "__entries", lambda n: F.when(holds(n), F.to_json(n["v"])), lambda n: ~holds(n), depth)
-    return out.select("*", F.posexplode("__entries").alias("place", "__entry")).withColumn("entry", F.from_json("__entry", schema)).drop("__entries", "__entry")
+    # An inner explode would have Spark ask before it, in one expression without the levels in between, whether there are any
+    # entries: each level would be walked again from the top.
+    return out.select("*", F.posexplode_outer("__entries").alias("place", "__entry")).where("place is not null").withColumn("entry", F.from_json("__entry", schema)).drop("__entries", "__entry")
 
 
 def data_scripts(html: Column) -> Column:

@@ -30,3 +30,7 @@ def test_record_types_seek_each_cue_once(spark):
     assert all((r.f, r.o) == (r.f2, r.o2) for r in got.values())
     assert [(got[k].o, got[k].r) for k in range(1, 10)] == [(None, "incident"), (None, "fatal"), ("lost_time_injury", "near_miss"), (None, "injury"), ("fatality", "fatal"), (None, "incident"), (None, "incident"), ("equipment_damage", "injury"), (None, "injury")]
     assert plan(E.queries()["record_types"](spark, SF)).count("were killed") <= 3
+
+
+def test_entries_are_walked_once(spark):
+    assert plan(E.queries()["nested_terms"](spark, SF)).count("array_sort") == 1
