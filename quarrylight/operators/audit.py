@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.functions.spans import beginnings, hit
+
 # Cues of energies, of life-saving rules, and of what a row may speak of.
 ENERGY = {
     "gravity": r"\b(fall|fell|height|dropped|drop(?:ped)? object|elevat|ladder|scaffold|roof|collapse|overhead|suspended load|from above)",
@@ -56,8 +58,8 @@ def percent(n: Column, total: Column) -> Column:
     return F.when(total > 0, F.concat(F.bround(100 * n / total).cast("long"), F.lit("%"))).otherwise("n/a")
 
 
-def hits(text: Column, table: dict[str, str]) -> Column:
-    return F.array_compact(F.array(*(F.when(text.rlike("(?iU)" + p), name) for name, p in table.items()))).cast("array<string>")
+def hits(text: Column, table: dict[str, str], begun: Column | None = None) -> Column:
+    return F.array_compact(F.array(*(F.when(hit(text, p, begun), name) for name, p in table.items()))).cast("array<string>")
 
 
 def top(counts: Column, most: int) -> Column:
@@ -73,11 +75,13 @@ def source_audit(df: DataFrame, by: str, text: str, kind: Column, language: Colu
     languages and domains have fixed names and are sums like the others; of the record types of a source, however many
     there are, the TYPES most frequent are kept by their place. A null text counts as empty, a null source or kind as '?'.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body, begun = F.coalesce(F.col(text), F.lit("")), F.col("__begun")
     words = F.size(F.filter(F.split(body, r"\s+"), lambda w: w != ""))
-    measured = df.select(
-        F.coalesce(F.col(by).cast("string"), F.lit("?")).alias("source"), F.coalesce(kind.cast("string"), F.lit("?")).alias("kind"), words.alias("w"), language.alias("lang"), hits(body, domains).alias("domains"), hits(body, ENERGY).alias("energy"),
-        hits(body, RULES).alias("rules"), relevant.alias("relevant"), *(body.rlike("(?iU)" + p).alias(name) for name, p in MEASURES.items()),
+    # A text is read once for the beginnings of all cues; those that it can't hold are not sought.
+    cues = [p for table in (domains, ENERGY, MEASURES) for p in table.values()]
+    measured = df.withColumn("__begun", beginnings(body, cues)).select(
+        F.coalesce(F.col(by).cast("string"), F.lit("?")).alias("source"), F.coalesce(kind.cast("string"), F.lit("?")).alias("kind"), words.alias("w"), language.alias("lang"), hits(body, domains, begun).alias("domains"), hits(body, ENERGY, begun).alias("energy"),
+        relevant.alias("relevant"), *(hit(body, p, begun).alias(name) for name, p in MEASURES.items()),
     )
     sums = {
         "n": F.count(F.lit(1)), "words": F.sum("w"), "long": F.count_if(F.col("w") > LONG), "short": F.count_if(F.col("w") < SHORT), "relevant": F.count_if("relevant"), "energy_cue": F.count_if(F.size("energy") > 0), "multi_energy": F.count_if(F.size("energy") > 1),

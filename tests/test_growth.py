@@ -34,3 +34,11 @@ def test_record_types_seek_each_cue_once(spark):
 
 def test_entries_are_walked_once(spark):
     assert plan(E.queries()["nested_terms"](spark, SF)).count("array_sort") == 1
+
+
+def test_audits_read_a_text_once_for_all_cues(spark):
+    docs = spark.createDataFrame([("a", "The crane fell on a truck. Fire!"), ("a", None), ("b", "no injury on the rig floor")], "s string, t string")
+    found = U.source_audit(docs, "s", "t", F.lit("k"), F.lit("english"), ["english"], U.DOMAINS, F.lit(True))
+    got = {r.source: r for r in found.collect()}
+    assert got["a"].energy_cue == "50%" and got["a"].multi_energy_rows == 1 and got["b"].near_miss_like == "100%" and got["b"].top_domains == ["drilling_well:1"]
+    assert "__begun" in plan(found)
