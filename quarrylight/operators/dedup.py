@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from quarrylight.functions.text import dedup_key, hashed_shingles
 
 
+#: Shingles that a task sorts.
+SHARE = 2_000_000
+
+
 def _written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder, so that loops start from data and not from lineage."""
     spark = df.sparkSession
@@ -50,8 +55,18 @@ def exact_duplicates(df: DataFrame, key: str, text: str, rank: Column, normalise
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, n: int, normalised: bool = False) -> DataFrame:
-    """(id, own): each row's distinct word shingles as 64-bit hashes; rows without words are left out."""
-    return df.select(F.col(key).alias("id"), hashed_shingles(text_key(text, normalised), n).alias("own")).where(F.size("own") > 0)
+    """(id, own): each row's distinct word shingles as 64-bit hashes; rows without words are left out.
+
+    A row is judged by its text: asked for the size of its set, Spark would make the set twice.
+    """
+    worded = F.col(text) != "" if normalised else F.col(text).rlike(r"[\p{L}\p{N}\p{M}]")
+    return df.where(worded).select(F.col(key).alias("id"), hashed_shingles(text_key(text, normalised), n).alias("own"))
+
+
+def parts(sets: DataFrame) -> int:
+    """Partitions over which written sets are dealt, so that a task sorts SHARE shingles or so in memory, however many there are."""
+    total = sets.agg(F.sum(F.size("own"))).first()[0] or 0
+    return max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / SHARE))
 
 
 def prefix_posts(sets: DataFrame, percent: int) -> DataFrame:
@@ -59,9 +74,10 @@ def prefix_posts(sets: DataFrame, percent: int) -> DataFrame:
 
     ``left`` counts the shared-with-anyone shingles from this one on, in the order from rare to frequent.
     """
-    each = sets.select("id", F.size("own").alias("size"), F.explode("own").alias("s"))
-    shared = _written(each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    known = each.join(shared, "s").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("ordered"))
+    # One shuffle: shingles are counted where they meet, and those of no one else go no further.
+    each = sets.select("id", F.size("own").alias("size"), F.explode("own").alias("s")).repartition(parts(sets), "s")
+    shared = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("s"))).where("n > 1")
+    known = shared.groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("ordered"))
     # Shingles of no one else come first in the order and take up their part of the prefix.
     longest = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.size("ordered"))
     posts = known.where(longest > 0).select("id", "size", F.posexplode(F.slice("ordered", F.lit(1), longest.cast("int"))).alias("at", "post"), F.size("ordered").alias("known"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from quarrylight.functions import reports as R
 from quarrylight.operators import audit as U
+from quarrylight.operators import dedup as D
 from quarrylight.operators import pages as P
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,12 @@ def test_audits_read_a_text_once_for_all_cues(spark):
     got = {r.source: r for r in found.collect()}
     assert got["a"].energy_cue == "50%" and got["a"].multi_energy_rows == 1 and got["b"].near_miss_like == "100%" and got["b"].top_domains == ["drilling_well:1"]
     assert "__begun" in plan(found)
+
+
+def test_sets_are_made_once_and_shingles_counted_in_one_shuffle(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "A b, c d!"), (3, "x"), (4, " ,. "), (5, None), (6, "")], "id int, t string")
+    sets = D.shingle_sets(docs, "id", "t", 3)
+    assert plan(sets).count("xxhash64") == 2
+    assert {r.id: len(r.own) for r in sets.collect()} == {1: 2, 2: 2, 3: 1}
+    own = D._written(sets)
+    assert D.parts(own) == 4 and {tuple(r) for r in D.prefix_posts(own, 85).select("id", "size", "left").collect()} == {(1, 2, 2), (2, 2, 2)}
