@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from quarrylight.functions.spans import matches
 from quarrylight.functions.text import dedup_key
 from quarrylight.operators.analytics import numbered, rounded
-from quarrylight.operators.dedup import exact_duplicates, near_groups, shared_folder
+from quarrylight.operators.dedup import _written as written
+from quarrylight.operators.dedup import exact_duplicates, near_groups, shared_folder, text_key
 from quarrylight.operators.scoring import primary_flag
 
 #: Word characters of the scripts that reports are written in.
@@ -54,9 +55,11 @@ def leakage_guard(corpus: DataFrame, held_out: DataFrame, key: str, text: str, p
     Both sides become one table in which held-out rows rank first; a group that one of them is in is left out whole.
     """
     both = corpus.select(F.struct(F.lit(1).alias("side"), F.col(key).alias("id")).alias("node"), text).unionByName(held_out.select(F.struct(F.lit(0).alias("side"), F.col(key).alias("id")).alias("node"), text))
-    exact = exact_duplicates(both, "node", text, F.lit(0))
+    # Texts are normalised once; both steps start from the written keys.
+    both = written(both.select("node", text_key(text, False).alias("__text")))
+    exact = exact_duplicates(both, "node", "__text", F.lit(0), normalised=True)
     survivors = both.join(exact.where("node = canonical").select("node"), "node", "left_semi")
-    roots = near_groups(survivors, "node", text, percent)
+    roots = near_groups(survivors, "node", "__text", percent, normalised=True)
     # The least node of a group is a held-out one if the group has any, for those come first.
     led = exact.join(roots.select(F.col("id").alias("canonical"), "root"), "canonical", "left").select("node", F.coalesce("root", "canonical").alias("root"))
     leaked = led.where("node.side = 1 and root.side = 0").select(F.col("node.id").alias(key))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from quarrylight.functions import reports as R
 from quarrylight.operators import audit as U
+from quarrylight.operators import curation as C
 from quarrylight.operators import dedup as D
 from quarrylight.operators import pages as P
 
@@ -52,3 +53,10 @@ def test_sets_are_made_once_and_shingles_counted_in_one_shuffle(spark):
     assert {r.id: len(r.own) for r in sets.collect()} == {1: 2, 2: 2, 3: 1}
     own = D._written(sets)
     assert D.parts(own) == 4 and {tuple(r) for r in D.prefix_posts(own, 85).select("id", "size", "left").collect()} == {(1, 2, 2), (2, 2, 2)}
+
+
+def test_a_guard_normalises_texts_once(spark):
+    corpus = spark.createDataFrame([(1, "One two three four"), (2, "other words here now"), (3, None)], "id int, t string")
+    held = spark.createDataFrame([(9, "one, two three FOUR")], "id int, t string")
+    left = C.leakage_guard(corpus, held, "id", "t")
+    assert sorted(r.id for r in left.collect()) == [2, 3] and "lower(" not in plan(left)
