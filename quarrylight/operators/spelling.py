@@ -91,7 +91,7 @@ def correction(word: Column) -> Column:
         by_letter.setdefault(term[0], []).append(term)
     table = F.create_map(*(x for letter, terms in by_letter.items() for x in (F.lit(letter), F.array(*map(F.lit, terms)))))
     cap = F.when(F.length(word) < LONG, 1).otherwise(2)
-    near = F.filter(F.try_element_at(table, F.substring(word, 1, 1)), lambda t: (F.abs(F.length(word) - F.length(t)) <= cap) & (F.levenshtein(word, t, 4) >= 0))
+    near = F.filter(F.try_element_at(table, F.substring(word, 1, 1)), lambda t: (F.abs(F.length(word) - F.length(t)) <= cap) & F.when(F.length(word) < LONG, F.levenshtein(word, t, 2) >= 0).otherwise(F.levenshtein(word, t, 4) >= 0))
     return F.array_min(F.filter(F.transform(near, lambda t: F.struct(edits(word, t, cap).alias("d"), t.alias("term"))), lambda x: x["d"].isNotNull()))["term"]
 
 

@@ -8,6 +8,7 @@ from quarrylight.operators import audit as U
 from quarrylight.operators import curation as C
 from quarrylight.operators import dedup as D
 from quarrylight.operators import pages as P
+from quarrylight.operators import spelling as S
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +61,10 @@ def test_a_guard_normalises_texts_once(spark):
     held = spark.createDataFrame([(9, "one, two three FOUR")], "id int, t string")
     left = C.leakage_guard(corpus, held, "id", "t")
     assert sorted(r.id for r in left.collect()) == [2, 3] and "lower(" not in plan(left)
+
+
+def test_short_words_are_held_within_two_letters_of_a_term(spark):
+    words = spark.createDataFrame([("hanress",), ("lanyerd",), ("lanyxyd",), ("hydrualic",), ("electircain",)], "w string")
+    found = words.select("w", S.correction(F.col("w")).alias("fix"))
+    assert {r.w: r.fix for r in found.collect()} == {"hanress": "harness", "lanyerd": "lanyard", "lanyxyd": None, "hydrualic": "hydraulic", "electircain": "electrician"}
+    assert "Some(2)" in plan(found)
