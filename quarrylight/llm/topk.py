@@ -22,6 +22,8 @@ from quarrylight.llm.common import materialise
 
 #: Rows of a candidate block and of a query block.
 BLOCK, QUERY_BLOCK = 4096, 256
+#: Query blocks that meet a candidate block in one task.
+QUERIES_PER_CELL = 16
 #: The first round reads this part of each list, every further one as much again as has been read.
 FIRST_DEPTH = 8
 #: A round that leaves more than this share of the candidates in play is followed by reading to the end.
@@ -154,20 +156,31 @@ def best_in_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.n
 
 
 def _search(k: int, scale: int):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], "<i8")
-                query_ids = np.frombuffer(row["query_ids"], "<i8")
-                x, q = (scaled(np.frombuffer(row[c], "<f8").reshape(-1, row["dim"]), scale) for c in ("vectors", "queries"))
-                found = list(best_in_block(ids, x, query_ids, q, k))
-                if found:
-                    columns = [np.repeat([f[0] for f in found], [len(f[1]) for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+    def search(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        found = []
+        for block in blocks.to_pylist():
+            ids, x = np.frombuffer(block["ids"], "<i8"), scaled(np.frombuffer(block["vectors"], "<f8").reshape(-1, block["dim"]), scale)
+            for queries in asked.to_pylist():
+                q = scaled(np.frombuffer(queries["vectors"], "<f8").reshape(-1, queries["dim"]), scale)
+                found += best_in_block(ids, x, np.frombuffer(queries["ids"], "<i8"), q, k)
+        columns = [np.repeat([f[0] for f in found], [len(f[1]) for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])] if found else [[], [], []]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
     return search
 
 
+def cells(blocks: DataFrame, n: int, asked: DataFrame, m: int) -> tuple[DataFrame, DataFrame, int]:
+    """Both dealt over a grid of cells (block, part), and how many there are.
+
+    A cell holds a candidate block and at most QUERIES_PER_CELL query blocks, whatever the number of either.
+    """
+    parts = -(-m // QUERIES_PER_CELL)
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    candidates = blocks.select("block", "dim", "ids", "vectors", each(parts).alias("part"))
+    queries = asked.select(each(n).alias("block"), "dim", "ids", "vectors", F.floor(F.col("block") / QUERIES_PER_CELL).alias("part"))
+    return candidates, queries, n * parts
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024) -> DataFrame:
     """Each query's ``k`` highest integer inner products over ``vectors`` (vec_id, embedding) but for its own id.
 
@@ -178,12 +191,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
 
     Scores beyond 64 bits are given as the nearest 64-bit integer.
 
-    The query blocks are sent to every candidate block; each block keeps ``k`` of its rows for a query, and the ranks
-    are cut to ``k`` before they are shuffled by query as well as after.
+    Candidate and query blocks meet in the cells of a grid, by a shuffle: neither side passes through the driver or one
+    task. Each cell keeps ``k`` of its rows for a query, and the ranks are cut to ``k`` before they are shuffled by query
+    as well as after.
     """
     blocks, n = packed(whole_vectors(vectors, scale), BLOCK, "vector-blocks")
-    asked, _ = packed(whole_vectors(queries, scale).distinct(), QUERY_BLOCK, "query-blocks")
-    asked = asked.select("dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
-    best = blocks.join(asked, ["block", "dim"]).select("dim", "ids", "vectors", "query_ids", "queries").mapInArrow(_search(k, scale), "query_id long, vec_id long, score long")
+    asked, m = packed(whole_vectors(queries, scale).distinct(), QUERY_BLOCK, "query-blocks")
+    candidates, questions, count = cells(blocks, n, asked, m)
+    key = ["block", "part", "dim"]
+    left, right = (side.repartition(count, *key).groupBy(*key) for side in (candidates, questions))
+    best = left.cogroup(right).applyInArrow(_search(k, scale), "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -112,6 +112,25 @@ def test_top_k(spark):
     assert set(got) == {0, 100, 200, 300}
 
 
+def test_top_k_broadcasts_no_queries_and_meets_all_cells(spark, monkeypatch):
+    """However small they look before they are dealt, queries go to the candidate blocks by a shuffle, few to a task."""
+    rng = np.random.default_rng(9)
+    vectors = {i: [float(x) for x in rng.integers(-3, 4, 4)] for i in range(300)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(topk, "QUERIES_PER_CELL", 3, raising=False)
+    found = topk.top_k(df, df.where("vec_id % 3 = 0"), k=4)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = collections.defaultdict(list)
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(0, 300, 3):
+        want = sorted((-sum(1024 * 1024 * int(a) * int(b) for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q)[:4]
+        assert got[q] == [(i, -s) for s, i in want]
+    assert len(got) == 100
+
+
 def test_toxicity_held_out():
     random.seed(4)
     word = lambda: "".join(random.choice("abcdefgh") for _ in range(5))
