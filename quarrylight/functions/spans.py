@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import string
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,12 @@ FLAGS = "(?iU)"
 #: Characters of a match's beginning that are held against a text's words, and what parts these in ``beginnings``.
 LOOK, PART = 6, "\x01"
 CLASSES = {"CATEGORY_DIGIT": r"\d", "CATEGORY_WORD": r"\w", "CATEGORY_SPACE": r"\s"}
+#: ASCII letters of each kind and, of some letters, what equals them but for case. Java tells a listed ASCII letter by one
+#: look in a table, a range or one of Unicode's kinds by a chain of calls: so the looks before a pattern list their letters.
+KINDS = {r"\d": string.digits, r"\w": string.ascii_letters + string.digits + "_", r"\s": " \t\n\v\f\r"}
+FOLDED = {"i": "\u0130\u0131", "k": "\u212a", "s": "\u017f"}
+BEYOND = r"\x{80}-\x{10FFFF}"
+LETTERS = f"[{KINDS[r'\w']}]"
 
 Heads = set[tuple[tuple[str, ...], bool]]
 
@@ -67,16 +74,54 @@ def _edged(items) -> bool:
     return False
 
 
-def _any_of(heads: set[tuple[str, ...]]) -> str:
-    """A pattern for any of the beginnings, read piece by piece; pieces with the same continuation share a class."""
+def _explicit(piece: str) -> tuple[str, str]:
+    """What a piece of a beginning may be, as classes without flags: of ASCII letters in both cases, and of others; either may hold too much."""
+    if piece in KINDS:
+        return KINDS[piece], BEYOND
+    letter = piece.removeprefix("\\")
+    if len(letter) > 1:
+        return KINDS[r"\w"], BEYOND
+    return ("".join(sorted({letter.lower(), letter.upper()})) if letter.isascii() else ""), FOLDED.get(letter.lower(), "") if letter.isascii() else letter
+
+
+def _class(letters: str) -> str:
+    return "[" + "".join(rf"\{x}" if not x.isalnum() and x.isascii() and x.isprintable() else x for x in sorted(set(letters))) + "]"
+
+
+def _chosen(options: list[tuple[str, str]]) -> str:
+    """An alternation of (ASCII letters, what follows); many are halved behind a look at the letter."""
+    if len(options) <= 3:
+        return "|".join(_class(own) + rest for own, rest in options)
+    halves = options[: len(options) // 2], options[len(options) // 2 :]
+    return "|".join(f"(?={_class(''.join(own for own, _ in half))})(?:{_chosen(half)})" for half in halves)
+
+
+def _any_of(heads: set[tuple[str, ...]], behind: str = "") -> str:
+    """A pattern without flags for what may be any of the beginnings, read piece by piece; pieces with the same continuation share a class.
+
+    ``behind`` is the piece before: at an edge behind a letter none follows.
+    """
     if () in heads:
         return ""
-    after, alike = {}, {}
+    after, plain, others = {}, {}, {}
     for head in heads:
-        after.setdefault(head[0], set()).add(head[1:])
+        after.setdefault(head[0].lower() if len(head[0]) == 1 else head[0], set()).add(head[1:])
+    edge = after.pop(r"\b", None)
     for piece, rest in after.items():
-        alike.setdefault((piece == r"\b", _any_of(rest)), []).append(piece)
-    return "(?:" + "|".join((r"\b" if edge else f"[{''.join(sorted(pieces))}]") + rest for (edge, rest), pieces in sorted(alike.items())) + ")"
+        own, other = _explicit(piece)
+        follows = _any_of(rest, piece)
+        plain[follows] = plain.get(follows, "") + own
+        others[follows] = others.get(follows, "") + other
+    found = [_chosen(sorted((own, rest) for rest, own in plain.items() if own))] if any(plain.values()) else []
+    if edge is not None:
+        found.append((f"(?!{LETTERS})" if _lettered(behind) else "") + _any_of(edge))
+    if any(others.values()):
+        found.append(f"(?=[{BEYOND}])(?:" + "|".join(f"[{own}]{rest}" for rest, own in sorted(others.items()) if own) + ")")
+    return f"(?:{'|'.join(found)})"
+
+
+def _lettered(piece: str) -> bool:
+    return piece in (r"\d", r"\w") or piece.isalnum()
 
 
 @functools.cache
@@ -87,7 +132,12 @@ def begins(pattern: str) -> frozenset[tuple[str, ...]]:
     except re.error:
         return frozenset()
     heads = frozenset(head for head, _ in _heads(parsed, LOOK)) if _edged(parsed) else frozenset()
-    return frozenset() if () in heads else heads
+    return heads if all(head and _lettered(head[0]) for head in heads) else frozenset()
+
+
+def _may_begin(heads: set[tuple[str, ...]]) -> str:
+    """A look, without flags, at whether any of the beginnings may stand here at a word's edge."""
+    return rf"\b(?={_any_of(heads)})"
 
 
 @functools.cache
@@ -96,7 +146,7 @@ def quick(pattern: str, flags: str = FLAGS) -> str:
     heads = begins(pattern)
     if not heads:
         return flags + pattern
-    return rf"{flags}\b(?=[{''.join(sorted({head[0] for head in heads}))}])(?={_any_of(set(heads))}){pattern}"
+    return _may_begin(set(heads)) + flags + pattern
 
 
 def beginnings(text: Column, patterns: list[str]) -> Column:
@@ -105,14 +155,24 @@ def beginnings(text: Column, patterns: list[str]) -> Column:
     A text is read once for all patterns instead of once for each, most of which it doesn't hold.
     """
     heads = set().union(*map(begins, patterns))
-    found = F.regexp_extract_all(text, F.lit(rf"{FLAGS}\b(?={_any_of(heads)})(?=([\s\S]{{1,{LOOK}}}))"), 1)
+    found = F.regexp_extract_all(text, F.lit(rf"{_may_begin(heads)}(?=([\s\S]{{1,{LOOK}}}))"), 1)
     return F.concat(F.lit(PART), F.array_join(F.array_distinct(found), PART))
 
 
+def parted(text: Column, regex: str) -> Column:
+    """What stands between the matches of a pattern, as ``split`` gives it without a limit.
+
+    ``split`` compiles its pattern for every text, which costs more than the search; ``regexp_replace`` keeps it, and to
+    split at one plain character no pattern is compiled. That character in a text stands for another that no rule names.
+    """
+    own = F.when(F.contains(text, F.lit(PART)), F.translate(text, PART, "\x02")).otherwise(text)
+    return F.split(F.regexp_replace(own, regex, PART), PART, -1)
+
+
 def may_match(begun: Column | None, pattern: str) -> Column:
     """Whether a text with these ``beginnings`` may hold a match of one of their patterns; never false where it does."""
     heads = begins(pattern)
-    return F.lit(True) if begun is None or not heads else begun.rlike(FLAGS + PART + _any_of(set(heads)))
+    return F.lit(True) if begun is None or not heads else begun.rlike(PART + _any_of(set(heads)))
 
 
 #: Matches that one inner fold takes; a fold copies its array at every step, so long lists are folded in two levels.
@@ -137,7 +197,7 @@ def matches(text: Column, pattern: str, begun: Column | None = None) -> Column:
         return F.get(F.transform(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(state["out"], x["out"]).alias("out"))), F.lit(0))
 
     def placed(found: Column) -> Column:
-        gaps = F.transform(F.slice(F.split(text, regex, -1), F.lit(1), F.size(found)), F.length)
+        gaps = F.transform(F.slice(parted(text, regex), F.lit(1), F.size(found)), F.length)
         pairs = F.array(F.zip_with(gaps, found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))))
         cut = F.flatten(F.transform(pairs, lambda own: F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / CHUNK).cast("int")), lambda k: F.slice(own, k * CHUNK + 1, F.lit(CHUNK)))))
         return F.aggregate(cut, F.struct(F.lit(0).alias("at"), empty.alias("out")), chunk, lambda s: s["out"])
@@ -154,14 +214,14 @@ def hit(text: Column, pattern: str, begun: Column | None = None) -> Column:
 
 def first_start(text: Column, pattern: str, begun: Column | None = None) -> Column:
     """Where a pattern's first match starts; null without one."""
-    return F.when(hit(text, pattern, begun), F.length(F.get(F.split(text, quick(pattern), 2), F.lit(0))))
+    return F.when(hit(text, pattern, begun), F.length(F.get(parted(text, quick(pattern)), F.lit(0))))
 
 
 def first_match(text: Column, pattern: str, begun: Column | None = None) -> Column:
     """struct<text,start,end> of a pattern's first match, the text trimmed and the offsets not; null without one."""
     regex = quick(pattern)
     found = F.regexp_extract(text, regex, 0)
-    start = F.length(F.get(F.split(text, regex, 2), F.lit(0)))
+    start = F.length(F.get(parted(text, regex), F.lit(0)))
     return F.when(hit(text, pattern, begun), F.struct(F.trim(found).alias("text"), start.alias("start"), (start + F.length(found)).alias("end")))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.functions.spans import matches
-
 # Known variants of words, and what they stand for.
 VARIANTS = {
     "gya": "gaya", "gyi": "gayi", "gye": "gaye", "gayaa": "gaya", "nhi": "nahi", "nai": "nahi", "nahin": "nahi", "nhin": "nahi",
@@ -39,17 +40,12 @@ KEPT = ["dopahar", "hamesha", "because", "between", "yesterday", "tomorrow", "mo
 
 WORD = r"[A-Za-zऀ-ॿ]+"
 CHANGES = "array<struct<old:string,new:string,start:int,end:int>>"
-PIECE = WORD + r"|[^A-Za-zऀ-ॿ]+"
 #: Letters a word must have to be corrected, those from which two edits count, and those of a term that a word may go on from.
 LEAST, LONG, STEM = 7, 10, 6
-
-
-def doubtful_words(text: Column) -> Column:
-    """Distinct words, in lower case, that are known variants or long enough for a correction and not sound."""
-    low = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: F.lower(w)))
-    terms = F.array(*(F.lit(t) for t in CORE_TERMS if len(t) >= STEM))
-    sound = lambda w: w.isin(*KEPT, *CORE_TERMS) | F.exists(terms, lambda t: F.startswith(w, t))
-    return F.filter(low, lambda w: w.isin(*VARIANTS) | ((F.length(w) >= LEAST) & w.rlike("^[a-z]+$") & ~sound(w)))
+SOUND, STEMS = {*KEPT, *CORE_TERMS}, tuple(t for t in CORE_TERMS if len(t) >= STEM)
+BY_LETTER = {letter: [(t, set(t)) for t in CORE_TERMS if t[0] == letter] for letter in {t[0] for t in CORE_TERMS}}
+#: Words that a worker remembers.
+MOST_WORDS = 200_000
 
 
 def _swapped(word: Column, i: Column) -> Column:
@@ -95,11 +91,57 @@ def correction(word: Column) -> Column:
     return F.array_min(F.filter(F.transform(near, lambda t: F.struct(edits(word, t, cap).alias("d"), t.alias("term"))), lambda x: x["d"].isNotNull()))["term"]
 
 
-def fixes(text: Column) -> Column:
-    """map<string,string> of the words of a text, in lower case, that are to be replaced."""
-    known = F.create_map(*(F.lit(x) for pair in VARIANTS.items() for x in pair))
-    pairs = F.transform(doubtful_words(text), lambda w: F.struct(w.alias("word"), F.coalesce(F.try_element_at(known, w), correction(w)).alias("fix")))
-    return F.map_from_entries(F.filter(pairs, lambda p: p["fix"].isNotNull()))
+def _distance(a: str, b: str) -> int:
+    """Insertions, deletions, replacements and swaps of neighbours that turn one word into the other, no place edited twice."""
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                row[-1] = min(row[-1], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def near_term(word: str) -> str | None:
+    """What ``correction`` gives for a word in lower case that is doubtful; null for others."""
+    if len(word) < LEAST or not word.isascii() or word in SOUND or word.startswith(STEMS):
+        return None
+    cap, letters = 1 if len(word) < LONG else 2, set(word)
+    # An edit takes one letter away or adds one: words that differ in more letters are further off.
+    alike = (t for t, own in BY_LETTER.get(word[0], ()) if abs(len(t) - len(word)) <= cap and len(own - letters) <= cap and len(letters - own) <= cap)
+    near = [(d, t) for t in alike if (d := _distance(word, t)) <= cap]
+    return min(near)[1] if near else None
+
+
+class _Fixes(dict):
+    """What a word as it is typed is replaced by, found once a worker for as long as MOST_WORDS are held; null for sound ones."""
+
+    def __missing__(self, word: str) -> str | None:
+        low = word.lower()
+        fix = VARIANTS.get(low) or near_term(low)
+        if fix and word[0].isupper():
+            fix = fix[0].upper() + fix[1:]
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        self[word] = fix
+        return fix
+
+
+FIXES, WORDS = _Fixes(), re.compile(WORD)
+
+
+def corrected(texts: pa.Array) -> pa.Array:
+    """struct<text,changes> of each text: the corrected one, null where nothing was, and its changes in order."""
+    whole, changes = [], []
+    for text in texts.to_pylist():
+        wrong = {w for w in set(WORDS.findall(text)) if FIXES[w]} if text else ()
+        found = [{"old": m[0], "new": FIXES[m[0]], "start": m.start(), "end": m.end()} for m in WORDS.finditer(text) if m[0] in wrong] if wrong else []
+        changes.append(found)
+        whole.append(WORDS.sub(lambda m: FIXES[m[0]] if m[0] in wrong else m[0], text) if wrong else None)  # noqa: B023
+    kind = pa.list_(pa.struct([("old", pa.string()), ("new", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    return pa.StructArray.from_arrays([pa.array(whole, pa.string()), pa.array(changes, kind)], ["text", "changes"])
 
 
 def normalised(df: DataFrame, text: str = "text", into: tuple[str, str] = ("normalised", "changes")) -> DataFrame:
@@ -107,24 +149,13 @@ def normalised(df: DataFrame, text: str = "text", into: tuple[str, str] = ("norm
 
     ``into`` names them otherwise; columns of these names are replaced.
     Offsets are code points of the original, ends exclusive. A null text has null columns, an empty or sound one no
-    changes. Each row is corrected where it is read, by built-in functions: rows may repeat and need no key, nothing is
-    shuffled, and a text without anything to correct is not taken apart.
+    changes. Each row is corrected where it is read: rows may repeat and need no key, nothing is shuffled, and a text
+    without anything to correct is not taken apart. A worker looks a word up once, however many texts hold it.
     """
     column = F.col(text)
-    found = df.withColumn("__fixes", fixes(column))
-    known = F.col("__fixes")
-
-    def fixed(word: Column) -> Column:
-        fix = F.try_element_at(known, F.lower(word))
-        capital = F.substring(word, 1, 1).rlike("[A-Z]")
-        return F.when(capital, F.concat(F.upper(F.substring(fix, 1, 1)), fix.substr(F.lit(2), F.length(fix)))).otherwise(fix)
-
-    places = F.filter(matches(column, WORD), lambda m: F.map_contains_key(known, F.lower(m["text"])))
-    changes = F.transform(places, lambda m: F.struct(m["text"].alias("old"), fixed(m["text"]).alias("new"), m["start"].alias("start"), m["end"].alias("end")))
-    none = F.array().cast(CHANGES)
-    whole = F.array_join(F.transform(F.regexp_extract_all(column, F.lit(PIECE), 0), lambda p: F.coalesce(fixed(p), p)), "")
-    sound = F.size(known) <= 0
-    return found.select(*(c for c in df.columns if c not in into), F.when(sound | column.isNull(), column).otherwise(whole).alias(into[0]), F.when(column.isNotNull(), F.when(sound, none).otherwise(changes)).alias(into[1]))
+    found = df.withColumn("__fixed", F.arrow_udf(corrected, f"struct<text:string,changes:{CHANGES}>")(column))
+    fixed = F.col("__fixed")
+    return found.select(*(c for c in df.columns if c not in into), F.coalesce(fixed["text"], column).alias(into[0]), F.when(column.isNotNull(), fixed["changes"]).alias(into[1]))
 
 
 def _original(changes: Column, at: Column) -> Column:

@@ -1,14 +1,20 @@
 """Steps whose time or volume grew too fast: work that was done several times over, or by few tasks."""
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from quarrylight.functions import reports as R
+from quarrylight.functions import rules as RULES
+from quarrylight.functions import spans as N
 from quarrylight.operators import audit as U
 from quarrylight.operators import curation as C
 from quarrylight.operators import dedup as D
 from quarrylight.operators import pages as P
 from quarrylight.operators import spelling as S
+from quarrylight.operators.scoring import energy_gate
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +74,31 @@ def test_short_words_are_held_within_two_letters_of_a_term(spark):
     found = words.select("w", S.correction(F.col("w")).alias("fix"))
     assert {r.w: r.fix for r in found.collect()} == {"hanress": "harness", "lanyerd": "lanyard", "lanyxyd": None, "hydrualic": "hydraulic", "electircain": "electrician"}
     assert "Some(2)" in plan(found)
+
+
+def test_words_are_corrected_once_a_worker(spark):
+    """A word's fix is kept by the worker, as the column expression gives it, and no more words than are allowed."""
+    words = ["hanress", "lanyerd", "lanyxyd", "hydrualic", "electircain", "harnessed", "morning", "sacffoldnig", "barricadng"]
+    fixes = {r.w: r.fix for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", S.correction(F.col("w")).alias("fix")).collect()}
+    assert [S.near_term(w) for w in words] == [None if w in ("harnessed", "morning") else fixes[w] for w in words]
+    S.FIXES.clear()
+    got = S.corrected(pa.array(["Hanress nhi, hanress", "all well", "", None])).to_pylist()
+    assert got[0]["text"] == "Harness nahi, harness" and [(c["start"], c["new"]) for c in got[0]["changes"]] == [(0, "Harness"), (8, "nahi"), (13, "harness")]
+    assert all(r == {"text": None, "changes": []} for r in got[1:]) and set(S.FIXES) == {"Hanress", "nhi", "hanress", "all", "well"}
+
+
+def test_matches_compile_no_pattern_for_each_text(spark):
+    """``split`` by a pattern compiles it for every text: what stands between matches is found without."""
+    docs = spark.createDataFrame([("no fall, \x01 no drop",), ("x",), ("",), ("no spill",), (None,), ("\x01no fall\x02",)], "t string")
+    pattern = RULES.SPAN_PATTERNS["no_release_cue"]
+    found = docs.select("t", N.matches(F.col("t"), pattern).alias("m"), N.first_match(F.col("t"), pattern).alias("f"))
+    assert plan(found).count("split(") == plan(found).count(f", {N.PART}, -1)") > 0
+    for r in found.collect():
+        assert [(m.start, m.end) for m in r.m or []] == [m.span() for m in re.finditer(pattern, r.t or "")]
+        assert (r.f and r.f.start) == (r.m[0].start if r.m else None)
+
+
+def test_mass_and_height_are_sought_once(spark):
+    gate = spark.createDataFrame([("a spanner of 2 kg fell 12 m", "gravity"), ("a spanner", "gravity"), ("440 volt", "electrical"), ("x", None)], "t string, k string").select(energy_gate(F.col("t"), F.col("k")).alias("e"))
+    assert plan(gate).count("cargo net") == 1
+    assert [tuple(r.e) for r in gate.collect()] == [("EXCEEDS", 235.0, "stated"), ("UNKNOWN", None, "insufficient"), ("EXCEEDS", None, "stated"), ("UNKNOWN", None, None)]
